@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,8 +19,9 @@ from larkspur.llm.common import text_bytes
 #: The label of texts without a letter.
 NO_LANGUAGE = "und"
 #: Text is encoded in blocks of so many bytes, each beginning with the dictionary alone.
-BLOCK = 2_048
-LEVEL = 3
+BLOCK = 16_384
+LEVEL = 12
+NO_LETTERS = re.compile(r"[\W\d_]+")
 OUTPUTS = ("lang_pred", "lang_score", "lang_accepted")
 
 
@@ -33,11 +35,11 @@ class Model:
 
 
 def prepared(text: str) -> bytes:
-    """What is encoded: lower case, so that the start of a sentence counts like its middle."""
-    return text.lower().encode()
+    """What is encoded: words in lower case with single spaces, so that layout and marks don't count."""
+    return (" " + NO_LETTERS.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace")
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 131_072, sample_rows: int = 600, max_languages: int = 256, min_margin: int = 1, seed: int = 17) -> Model:
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 32_768, sample_rows: int = 400, max_languages: int = 256, min_margin: int = 1, seed: int = 17) -> Model:
     """Learn a dictionary for each language of labelled ``rows`` (those with null text or label are left out).
 
     The sample is bounded: about ``sample_rows`` rows a language are drawn by a hash of
@@ -62,7 +64,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", diction
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in sample.limit(4 * sample_rows * len(counts)).collect():
         parts.setdefault(r["lang"], []).append((r["t"], prepared(r["text"])))
-    built = {lang: b"\n".join(dict.fromkeys(x for _, x in sorted(p)))[:dictionary_bytes] for lang, p in parts.items()}
+    built = {lang: b"".join(dict.fromkeys(x for _, x in sorted(p)))[:dictionary_bytes] for lang, p in parts.items()}
     size = max(256, min(len(d) for d in built.values()))
     return Model(tuple((lang, d[:size]) for lang, d in sorted(built.items())), min_margin)
 
