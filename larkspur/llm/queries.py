@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_tree, language_id, media_ogg, sharding
+from larkspur.llm import bpe_tree, language_id, media_ogg, sharding, simhash
 
 SHARDS = 16
 
@@ -52,8 +52,14 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by SimHash over three-word shingles, two bits apart at most."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op3_media_ogg, op6_language_id, op9_bpe_tree)
+    own = (op1_shard_hypergeometric, op3_media_ogg, op6_language_id, op8_simhash_ball, op9_bpe_tree)
     return {f.__name__: f for f in own}
 
 
