@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_tree, language_id, media_ogg, sharding, simhash
+from larkspur.llm import bpe_tree, language_id, media_ogg, repeats, sharding, simhash
 
 SHARDS = 16
 
@@ -58,8 +58,13 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "kept")
 
 
+def op4_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 200-byte strings that occur elsewhere."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op3_media_ogg, op6_language_id, op8_simhash_ball, op9_bpe_tree)
+    own = (op1_shard_hypergeometric, op3_media_ogg, op4_suffix_columns, op6_language_id, op8_simhash_ball, op9_bpe_tree)
     return {f.__name__: f for f in own}
 
 
