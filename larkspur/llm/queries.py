@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_tree, language_id, media_ogg, repeats, sharding, simhash
+from larkspur.llm import bpe_tree, language_id, media_ogg, packing, repeats, sharding, simhash
 
 SHARDS = 16
 
@@ -63,8 +63,14 @@ def op4_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of up to 2048 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op3_media_ogg, op4_suffix_columns, op6_language_id, op8_simhash_ball, op9_bpe_tree)
+    own = (op1_shard_hypergeometric, op3_media_ogg, op4_suffix_columns, op6_language_id, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls)
     return {f.__name__: f for f in own}
 
 
