@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_tree, language_id, media_ogg, packing, repeats, sharding, simhash
+from larkspur.llm import bpe_tree, language_id, media_ogg, packing, repeats, secrets, sharding, simhash
 
 SHARDS = 16
 
@@ -69,8 +69,17 @@ def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op7_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: base patterns, and strings of high entropy."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secret_spans", lambda s: s["kind"] != "entropy")
+    count = {k: F.size(F.filter("secret_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS}
+    digest = F.sha2(secrets.joined_spans(base), 256).alias("base_sha256")
+    return found.select("doc_id", *count.values(), digest, secrets.joined_spans(F.col("secret_spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op3_media_ogg, op4_suffix_columns, op6_language_id, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls)
+    own = (op1_shard_hypergeometric, op3_media_ogg, op4_suffix_columns, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls)
     return {f.__name__: f for f in own}
 
 
