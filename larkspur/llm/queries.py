@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_tree, language_id, media_ogg, packing, repeats, secrets, sharding, simhash
+from larkspur.llm import bpe_tree, html_text, language_id, media_ogg, packing, repeats, secrets, sharding, simhash
 
 SHARDS = 16
 
@@ -78,8 +78,13 @@ def op7_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count.values(), digest, secrets.joined_spans(F.col("secret_spans")).alias("spans"))
 
 
+def op5_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op3_media_ogg, op4_suffix_columns, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls)
+    own = (op1_shard_hypergeometric, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls)
     return {f.__name__: f for f in own}
 
 
