@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_tree, html_text, language_id, media_ogg, packing, repeats, secrets, sharding, simhash
+from larkspur.llm import bpe_tree, html_text, language_id, media_ogg, packing, projections, repeats, secrets, sharding, simhash
 
 SHARDS = 16
 
@@ -83,8 +83,13 @@ def op5_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings within their labels."""
+    return projections.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls)
+    own = (op1_shard_hypergeometric, op2_embedding_collisions, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls)
     return {f.__name__: f for f in own}
 
 
