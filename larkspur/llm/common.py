@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder that the session names and go on from there.
-
-    A folder is chosen here only where the session has none (local runs and tests).
-    """
+def checkpoint_folder(df: DataFrame) -> str:
+    """The checkpoint folder that the session names; one is chosen here only where it names none (local runs and tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+    return str(sc.getCheckpointDir())
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder, which outlives executors, and go on from there."""
+    checkpoint_folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read again; lighter than a checkpoint for long rows."""
+    path = f"{checkpoint_folder(df)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def row_hash(*cols: str) -> list[Column]:
     """Two longs that stand for the contents of ``cols``; equal rows get equal values, and nulls differ from empty strings."""
     marked = [x for c in cols for x in (F.col(c), F.col(c).isNull())]

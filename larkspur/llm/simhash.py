@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from larkspur.llm.common import cut_lineage, text_bytes
+from larkspur.llm.common import cut_lineage, row_hash, text_bytes
 from larkspur.llm.components import connected_components
 
 BITS = 64
@@ -36,16 +37,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id_col, fp long) of each row, from whole texts; null text counts as empty."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, the columns ``carry``, fp long) of each row, from whole texts; null text counts as empty."""
+    own = [id_col, *carry]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, width, seed) for x in text_bytes(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_col, "fp"])
+            found = np.array([fingerprint(x, width, seed) for x in text_bytes(batch.column(len(own)))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*own, "fp"])
 
-    return df.select(id_col, text_col).mapInArrow(convert, f"`{id_col}` {kinds[id_col]}, fp bigint")
+    return df.select(*own, text_col).mapInArrow(convert, StructType([*(df.schema[c] for c in own), StructField("fp", LongType())]))
 
 
 def ball(fp: Column, radius: int) -> Column:
@@ -70,8 +71,8 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= radius).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """(id_col, fp, component_id, kept) of each row.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, the columns ``carry``, fp, component_id, kept) of each row.
 
     component_id is the smallest id reachable over links, the own one included; kept marks
     one row of each component, that of the smallest id (of repeated rows the first).
@@ -81,14 +82,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows shrink to (id, fingerprint) in one pass and are checkpointed; from then on equal
     fingerprints are one node, so a large group of copies costs one row and a grouped count.
     """
-    rows = cut_lineage(fingerprints(df, id_col, text_col, width, seed)).withColumn("_row", F.monotonically_increasing_id())
+    rows = cut_lineage(fingerprints(df, id_col, text_col, width, seed, carry)).withColumn("_row", F.monotonically_increasing_id())
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("first")
     nodes = rows.groupBy("fp").agg(first)
     links = connected_components(near_links(nodes, radius))
     named = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     names = cut_lineage(named.join(least, "component").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("_kept")))
-    return rows.join(names, "fp").select(id_col, "fp", "component_id", (F.col("_row") == F.col("_kept")).alias("kept"))
+    return rows.join(names, "fp").select(id_col, *carry, "fp", "component_id", (F.col("_row") == F.col("_kept")).alias("kept"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """The rows of ``df`` that ``near_duplicates`` keeps: one of each component, whole.
+
+    Kept rows are found again by two hashes of id and text; of repeated rows one stays.
+    """
+    a, b = row_hash(id_col, text_col)
+    named = df.withColumns({"_a": a, "_b": b})
+    kept = near_duplicates(named, id_col, text_col, width, radius, seed, ("_a", "_b")).where("kept").select("_a", "_b")
+    one = Window.partitionBy("_a", "_b").orderBy("_a")
+    return named.join(kept, ["_a", "_b"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*df.columns)
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -12,6 +12,12 @@ from larkspur.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def token_counts(rows):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    return {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows}
+
+
 def check(rows, pieces, window=2048):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
