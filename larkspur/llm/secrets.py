@@ -120,6 +120,11 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("secret_spans", F.array_sort(spans))
 
 
+def count_of(kind: str) -> Column:
+    """How many spans of ``scan`` are of a kind."""
+    return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined_spans(spans: Column) -> Column:
     """kind:start:stop of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")

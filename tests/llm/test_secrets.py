@@ -39,6 +39,8 @@ def run(spark, rows):
     df = spark.createDataFrame([(*r, "y") for r in rows], "doc_id long, text string, secret_spans string")
     found = secrets.scan(df)
     spans = secrets.joined_spans(found.secret_spans)
+    counts = found.select("text", *map(secrets.count_of, ("assign", "access", "hex"))).collect()
+    assert [tuple(r)[1:] for r in counts] == [plain(r.text)[:3] for r in counts]
     return [tuple(r) for r in found.select("doc_id", spans).collect()], [tuple(r) for r in secrets.redact(df).select("doc_id", "text").collect()]
 
 
