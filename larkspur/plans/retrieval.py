@@ -1,21 +1,261 @@
-"""Queries of vector retrieval and its scores."""
+"""Queries of vector retrieval and its scores. Labels stand for chunk types; concepts and authorities come from ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as tx
 from larkspur.functions.vector import cosine
+from larkspur.operators import relational
+from larkspur.operators import retrieval as ops
 from larkspur.plans.registry import query, table
 
+_S = """s AS (SELECT e.vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim, ['c' || e.vec_id % 7, 'd' || e.vec_id % 11] AS cuis,
+    0.5 + (e.vec_id % 6) / 10.0::DOUBLE AS authority FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
+ASKED = F.array(F.lit("c3"), F.lit("d5"))
 
-@query("""
-    SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
-    FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-    WHERE list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.1
-    ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10""")
+
+def candidates(spark: SparkSession, sf_dir: str, query_id: int = 0) -> DataFrame:
+    """Embeddings with their similarity to one of them, concepts and an authority."""
+    e = table(spark, sf_dir, "embeddings")
+    s = ops.scored(e, e.where(F.col("vec_id") == query_id).select("embedding"), name="sim")
+    cuis = F.array(F.concat(F.lit("c"), F.col("vec_id") % 7), F.concat(F.lit("d"), F.col("vec_id") % 11))
+    return s.select("vec_id", "label", "embedding", "sim", cuis.alias("cuis"), (0.5 + (F.col("vec_id") % 6) / 10.0).alias("authority"))
+
+
+@query(f"WITH {_S} SELECT vec_id, label, round(sim * (1 + (authority - 0.7) * 0.15), 6) AS score FROM s WHERE sim >= 0.1 ORDER BY round(sim * (1 + (authority - 0.7) * 0.15), 6) DESC, vec_id LIMIT 10")
 def vector_topk_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = candidates(spark, sf_dir).where("sim >= 0.1")
+    score = F.round(F.col("sim") * ops.authority_boost(F.col("authority"), F.lit("body")), 6)
+    return ops.top_k(s.select("vec_id", "label", score.alias("score")), "score", "vec_id", 10)
+
+
+@query(f"WITH {_S}, t AS (SELECT vec_id, label, round(sim, 6) AS similarity FROM s ORDER BY round(sim, 6) DESC, vec_id LIMIT 50) SELECT * FROM t WHERE similarity >= 0.25")
+def vector_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = candidates(spark, sf_dir).select("vec_id", "label", F.round("sim", 6).alias("similarity"))
+    return ops.top_k(s, "similarity", "vec_id", 50, 0.25, "after")
+
+
+@query(f"WITH {_S} SELECT vec_id, label, round(sim, 6) AS similarity FROM s WHERE round(sim, 6) >= 0.1 AND label IN (1, 3, 5) ORDER BY 3 DESC, vec_id LIMIT 20")
+def vector_topk_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = candidates(spark, sf_dir).where(F.col("label").isin(1, 3, 5)).select("vec_id", "label", F.round("sim", 6).alias("similarity"))
+    return ops.top_k(s, "similarity", "vec_id", 20, 0.1)
+
+
+@query(f"WITH {_S} SELECT vec_id, len(list_intersect(cuis, ['c3', 'd5'])) AS cui_overlap, round(sim * CASE WHEN list_has_any(cuis, ['c3', 'd5']) THEN 1.2 ELSE 1.0 END, 6) AS score FROM s ORDER BY 3 DESC, vec_id LIMIT 25")
+def hybrid_step_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overlap = F.size(F.array_intersect("cuis", ASKED)).cast("long")
+    s = candidates(spark, sf_dir).select("vec_id", overlap.alias("cui_overlap"), F.round(F.col("sim") * ops.step_boost(F.col("cuis"), ASKED), 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 25)
+
+
+@query(f"WITH {_S} SELECT vec_id, round(sim * (1 + 0.2::DOUBLE * least(len(list_intersect(cuis, ['c3', 'd5'])) / 2.0::DOUBLE, 1)), 6) AS score FROM s ORDER BY 2 DESC, vec_id LIMIT 25")
+def linear_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = candidates(spark, sf_dir).select("vec_id", F.round(F.col("sim") * ops.linear_boost(F.col("cuis"), ASKED), 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 25)
+
+
+@query(f"WITH {_S} SELECT vec_id, round(sim * CASE WHEN label = 4 THEN 1.15 ELSE 1.0 END, 6) AS score FROM s ORDER BY 2 DESC, vec_id LIMIT 25")
+def type_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = candidates(spark, sf_dir).select("vec_id", F.round(F.col("sim") * ops.type_boost(F.col("label"), 4), 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 25)
+
+
+@query(f"WITH {_S} SELECT vec_id, round(sim * CASE WHEN label = 0 THEN 0.1 ELSE 1 + (authority - 0.7) * 0.15 END, 6) AS score FROM s WHERE sim > 0.1")
+def authority_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boost = ops.authority_boost(F.col("authority"), F.col("label"), 0)
+    return candidates(spark, sf_dir).where("sim > 0.1").select("vec_id", F.round(F.col("sim") * boost, 6).alias("score"))
+
+
+@query("""
+    WITH q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id IN (0, 1)),
+    s AS (SELECT qid, vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS sim FROM embeddings e, q),
+    r AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) - 1 AS rank FROM s), l AS (SELECT * FROM r WHERE rank < 40)
+    SELECT vec_id, round(sum(CASE qid WHEN 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END / (61 + rank)), 9) AS score FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = [(ops.top_k(candidates(spark, sf_dir, q).select("vec_id", F.round("sim", 9).alias("sim")), "sim", "vec_id", 40), w) for q, w in ((0, 0.7), (1, 0.3))]
+    fused = ops.reciprocal_rank_fusion(lists, ["vec_id"], "sim", "vec_id", 80).select("vec_id", F.round("score", 9).alias("score"))
+    return ops.top_k(fused, "score", "vec_id", 30)
+
+
+def _parts() -> dict:
+    v = F.col("vec_id")
+    return {"authority": F.col("authority"), "readability": (v % 5) / 5.0, "coherence": (v % 7) / 7.0, "completeness": (v % 9) / 9.0, "kind": F.when(F.col("label") < 3, 1.0).when(F.col("label") < 6, 0.7).otherwise(0.4)}
+
+
+_QUALITY = "greatest(0, least(1, 0.30::DOUBLE * authority + 0.20::DOUBLE * ((vec_id % 5) / 5.0::DOUBLE) + 0.20::DOUBLE * ((vec_id % 7) / 7.0::DOUBLE) + 0.20::DOUBLE * ((vec_id % 9) / 9.0::DOUBLE) + 0.10::DOUBLE * CASE WHEN label < 3 THEN 1.0 WHEN label < 6 THEN 0.7 ELSE 0.4 END))"
+
+
+@query(f"WITH {_S} SELECT vec_id, round({_QUALITY}, 6) AS quality FROM s")
+def quality_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).select("vec_id", F.round(ops.quality_score(_parts()), 6).alias("quality"))
+
+
+@query(f"WITH {_S} SELECT vec_id, round((0.6::DOUBLE * sim + 0.4::DOUBLE * authority), 6) AS score FROM s ORDER BY 2 DESC, 1 LIMIT 30")
+def ensemble_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = candidates(spark, sf_dir).select("vec_id", F.round(ops.ensemble({"sim": 0.6, "authority": 0.4}), 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 30)
+
+
+@query(f"""
+    WITH {_S}, r AS (SELECT label, vec_id, sim + len(list_intersect(cuis, ['c3', 'd5'])) * 0.2::DOUBLE * 0.1::DOUBLE + CASE WHEN vec_id % 4 = 0 THEN 0.1 ELSE 0 END::DOUBLE AS raw FROM s WHERE sim > 0)
+    SELECT vec_id, round(raw / max(raw) OVER (PARTITION BY label), 6) AS score FROM r""")
+def medical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overlap = F.size(F.array_intersect("cuis", ASKED))
+    raw = F.col("sim") + overlap * 0.2 * 0.1 + F.when(F.col("vec_id") % 4 == 0, 0.1).otherwise(0.0)
+    s = candidates(spark, sf_dir).where("sim > 0").withColumn("raw", raw)
+    return s.select("vec_id", F.round(ops.relative_to_best(F.col("raw"), "label"), 6).alias("score"))
+
+
+@query(f"""
+    WITH {_S}, r AS (SELECT vec_id, label, 0.4::DOUBLE * sim + 0.3::DOUBLE * {_QUALITY} AS a, (vec_id % 10) / 10.0::DOUBLE AS diversity FROM s WHERE sim > 0), t AS (SELECT *, 0.7::DOUBLE * a + 0.3::DOUBLE * diversity AS b FROM r)
+    SELECT vec_id, round(b / max(b) OVER (PARTITION BY label), 6) AS score FROM t""")
+def pipeline_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = candidates(spark, sf_dir).where("sim > 0")
+    b = 0.7 * (0.4 * F.col("sim") + 0.3 * ops.quality_score(_parts())) + 0.3 * ((F.col("vec_id") % 10) / 10.0)
+    return s.withColumn("b", b).select("vec_id", F.round(ops.relative_to_best(F.col("b"), "label"), 6).alias("score"))
+
+
+@query("""
+    WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), c AS (SELECT label AS name, list(x ORDER BY i) AS p FROM p GROUP BY 1),
+    s AS (SELECT vec_id, name, round(list_cosine_similarity(embedding::DOUBLE[], p), 9) AS sim FROM embeddings, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, name) AS n FROM s)
+    SELECT vec_id, name AS route, round(sim, 6) AS route_score, round(sim, 6) >= 0.3 AS confident FROM r WHERE n = 1""")
+def prototype_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    prototypes = ops.mean_vectors(e, "label", "embedding").select(F.col("label").alias("name"), F.col("mean").alias("p"))
+    routed = ops.route_to_prototypes(e.select("vec_id", "embedding"), prototypes, "embedding", 0.3)
+    return routed.select("vec_id", "route", F.round("route_score", 6).alias("route_score"), (F.round("route_score", 6) >= 0.3).alias("confident"))
+
+
+@query(f"WITH {_S.replace('vec_id = 0', 'vec_id = 7')} SELECT vec_id, round(sim, 6) AS similarity FROM s WHERE vec_id <> 7 ORDER BY 2 DESC, 1 LIMIT 12")
+def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = candidates(spark, sf_dir, 7).where("vec_id <> 7").select("vec_id", F.round("sim", 6).alias("similarity"))
+    return ops.top_k(s, "similarity", "vec_id", 12)
+
+
+@query("SELECT label, i - 1 AS i, round(avg(embedding[i]::DOUBLE), 8) AS mean FROM embeddings, (SELECT unnest(range(1, 65))::INTEGER AS i) GROUP BY 1, 2")
+def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = ops.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return means.select("label", F.posexplode("mean").alias("i", "mean")).select("label", "i", F.round("mean", 8).alias("mean"))
+
+
+@query("""
+    WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS m FROM p GROUP BY 1),
+    f AS (SELECT vec_id, e.embedding::DOUBLE[] AS o, m, list_transform(range(1, 65), lambda i: e.embedding[i]::DOUBLE * 0.7::DOUBLE + m[i] * 0.3::DOUBLE) AS v FROM embeddings e JOIN c ON c.label = e.label)
+    SELECT vec_id, round(list_cosine_similarity(v, o), 6) AS to_own, round(list_cosine_similarity(v, m), 6) AS to_mean FROM f""")
+def mean_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    means = ops.mean_vectors(e, "label", "embedding")
+    own = F.transform("embedding", lambda x: x.cast("double"))
+    both = e.join(F.broadcast(means), "label").select("vec_id", own.alias("o"), F.col("mean").alias("m")).withColumn("v", ops.fused(F.col("o"), F.col("m")))
+    return both.select("vec_id", F.round(cosine(F.col("v"), F.col("o")), 6).alias("to_own"), F.round(cosine(F.col("v"), F.col("m")), 6).alias("to_mean"))
+
+
+@query("""
+    SELECT a.vec_id AS first_id, b.vec_id AS second_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 30 AND b.vec_id < 30""")
+def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 30")
+    a, b = e.select(F.col("vec_id").alias("first_id"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("second_id"), F.col("embedding").alias("y"))
+    pairs = a.join(F.broadcast(b), F.col("first_id") < F.col("second_id"))
+    return pairs.select("first_id", "second_id", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query()
+def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten diverse vectors among the hundred nearest, for one query of each label."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    s = e.join(F.broadcast(q), "label").withColumn("sim", cosine(F.col("embedding"), F.col("q")))
+    near = relational.top_per_key(s, ["label"], [F.desc("sim"), F.col("vec_id")], 100, "place")
+    return ops.diversify(near, "label", "place", "embedding", "q", 10)
+
+
+_KW = "['the', 'of', 'thonly', 'ering']"
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), k AS (SELECT doc_id, len(list_intersect(w, {_KW})) / 4.0::DOUBLE AS kw FROM t),
+    s AS (SELECT vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+    SELECT k.doc_id, round(0.3::DOUBLE * kw + 0.7::DOUBLE * sim, 6) AS score FROM k JOIN s ON s.doc_id = k.doc_id ORDER BY 2 DESC, 1 LIMIT 20""")
+def keyword_semantic_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kw = table(spark, sf_dir, "documents").select("doc_id", ops.keyword_score(tx.tokens(F.col("text")), ["the", "of", "thonly", "ering"]).alias("kw"))
+    s = candidates(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "sim")
+    both = kw.join(s, "doc_id").select("doc_id", F.round(0.3 * F.col("kw") + 0.7 * F.col("sim"), 6).alias("score"))
+    return ops.top_k(both, "score", "doc_id", 20)
+
+
+@query("SELECT doc_id FROM documents WHERE list_has_all(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')), ['the', 'of', 'and', 'was'])")
+def all_terms_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(ops.has_all(tx.tokens(F.col("text")), ["the", "of", "and", "was"])).select("doc_id")
+
+
+@query("""
+    WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9_]+') AS a, regexp_extract_all(lower(p_type), '[a-z0-9_]+') AS b, regexp_extract_all(lower(p_brand), '[a-z0-9_]+') AS c FROM part)
+    SELECT p_partkey, round(1.0::DOUBLE * len(list_intersect(a, ['red', 'economy', 'brand'])) + 0.4::DOUBLE * len(list_intersect(b, ['red', 'economy', 'brand'])) + 0.2::DOUBLE * len(list_intersect(c, ['red', 'economy', 'brand'])), 6) AS score FROM t
+    ORDER BY 2 DESC, 1 LIMIT 40""")
+def weighted_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", *(tx.tokens(F.col(f"p_{c}")).alias(c) for c in ("name", "type", "brand")))
+    score = ops.field_score({"name": 1.0, "type": 0.4, "brand": 0.2}, ["red", "economy", "brand"])
+    return ops.top_k(p.select("p_partkey", F.round(score, 6).alias("score")), "score", "p_partkey", 40)
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_partkey, max(l_tax * 12) AS score FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_partkey) AS n FROM r WHERE score >= 0.5),
+    i AS (SELECT l_orderkey, list(l_partkey ORDER BY n) AS images FROM k WHERE n <= 3 GROUP BY 1)
+    SELECT o_orderkey AS l_orderkey, coalesce(images, []) AS images FROM orders LEFT JOIN i ON i.l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""")
+def attach_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max(F.col("l_tax") * 12).alias("score"))
+    results = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return ops.attach_images(results, links, "l_orderkey", "l_partkey", "score")
+
+
+@query("""
+    WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
+    d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, embedding::DOUBLE[] AS v, (doc_id % 3) / 2.0::DOUBLE AS tier FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id BETWEEN 100 AND 160),
+    s AS (SELECT item_id, doc_id, round(0.60::DOUBLE * list_cosine_similarity(b.v, d.v) + 0.25::DOUBLE * (CASE WHEN len(b.w) > 0 AND len(d.w) > 0 THEN len(list_intersect(b.w, d.w))::DOUBLE / len(list_distinct(list_concat(b.w, d.w))) ELSE 0 END) + 0.15::DOUBLE * tier, 6) AS score FROM b, d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score >= 0.25)
+    SELECT item_id, doc_id, score, n AS rank FROM r WHERE n <= 2""")
+def figure_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = table(spark, sf_dir, "benchmark").join(vectors, F.col("vec_id") == F.col("item_id")).select("item_id", tx.tokens(F.col("text")).alias("w"), F.col("embedding").alias("v"))
+    d = table(spark, sf_dir, "documents").where("doc_id BETWEEN 100 AND 160").join(vectors, F.col("vec_id") == F.col("doc_id"))
+    d = d.select("doc_id", tx.tokens(F.col("text")).alias("w2"), F.col("embedding").alias("v2"), ((F.col("doc_id") % 3) / 2.0).alias("tier"))
+    score = ops.figure_score(cosine(F.col("v"), F.col("v2")), F.col("w"), F.col("w2"), F.col("tier"))
+    s = b.crossJoin(F.broadcast(d)).select("item_id", "doc_id", F.round(score, 6).alias("score")).where("score >= 0.25")
+    return relational.top_per_key(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 2).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def exclusive_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of an order taken by at most one line each, lines in turn."""
+    s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_discount").alias("score"))
+    return ops.exclusive_assignment(s, "l_orderkey", "l_linenumber", "l_partkey", "score", 0.03)
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'how to|technique|approach|procedure|surgical|step|perform|operation') THEN 'procedure' WHEN regexp_matches(lower(text), 'anatomy|structure|location|where is|landmark|relationship') THEN 'anatomy' WHEN regexp_matches(lower(text), 'tumor|disease|pathology|lesion|diagnosis|syndrome') THEN 'pathology' END AS intent FROM documents")
+def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ops.detect_intent(F.col("text")).alias("intent"))
+
+
+@query("SELECT conv_id, turn, sha256(role || '|' || 'hybrid' || '|' || CAST(turn AS VARCHAR)) AS key FROM conversations")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ops.cache_key([F.col("role"), F.lit("hybrid"), F.col("turn").cast("string")]).alias("key"))
+
+
+@query("""
+    WITH q AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY 1),
+    s AS (SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.q), 6) AS sim FROM embeddings e JOIN q ON q.label = e.label),
+    t AS (SELECT *, round(sim * (1 + (0.5::DOUBLE + (vec_id % 6) / 10.0::DOUBLE - 0.7) * 0.15) * CASE WHEN vec_id % 7 = 3 THEN 1.1 ELSE 1.0 END, 6) AS score FROM s WHERE sim >= 0.1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM t)
+    SELECT label, vec_id, score, rank FROM r WHERE rank <= 5""")
+def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each label: filter, similarity, boosts, final order, five each."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(q)).select("vec_id", "label", cosine(F.col("embedding"), F.col("q")).alias("s")).where("s >= 0.1")
-    return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", "label", F.round("s", 6).alias("similarity"))
+    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    s = e.join(F.broadcast(q), "label").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).where("sim >= 0.1")
+    concepts = F.array(F.concat(F.lit("c"), F.col("vec_id") % 7))
+    boost = ops.authority_boost(0.5 + (F.col("vec_id") % 6) / 10.0, F.lit("body")) * ops.linear_boost(concepts, ASKED)
+    scored = s.select("label", "vec_id", F.round(F.col("sim") * boost, 6).alias("score"))
+    return relational.top_per_key(scored, ["label"], [F.desc("score"), F.col("vec_id")], 5).withColumn("rank", F.col("rank").cast("long"))
