@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
@@ -13,7 +13,11 @@ from larkspur.plans.registry import query, table
 
 _S = """s AS (SELECT e.vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim, ['c' || e.vec_id % 7, 'd' || e.vec_id % 11] AS cuis,
     0.5 + (e.vec_id % 6) / 10.0::DOUBLE AS authority FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
-ASKED = F.array(F.lit("c3"), F.lit("d5"))
+
+
+def asked() -> Column:
+    """Concepts of the query."""
+    return F.array(F.lit("c3"), F.lit("d5"))
 
 
 def candidates(spark: SparkSession, sf_dir: str, query_id: int = 0) -> DataFrame:
@@ -45,14 +49,14 @@ def vector_topk_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_S} SELECT vec_id, len(list_intersect(cuis, ['c3', 'd5'])) AS cui_overlap, round(sim * CASE WHEN list_has_any(cuis, ['c3', 'd5']) THEN 1.2 ELSE 1.0 END, 6) AS score FROM s ORDER BY 3 DESC, vec_id LIMIT 25")
 def hybrid_step_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    overlap = F.size(F.array_intersect("cuis", ASKED)).cast("long")
-    s = candidates(spark, sf_dir).select("vec_id", overlap.alias("cui_overlap"), F.round(F.col("sim") * ops.step_boost(F.col("cuis"), ASKED), 6).alias("score"))
+    overlap = F.size(F.array_intersect("cuis", asked())).cast("long")
+    s = candidates(spark, sf_dir).select("vec_id", overlap.alias("cui_overlap"), F.round(F.col("sim") * ops.step_boost(F.col("cuis"), asked()), 6).alias("score"))
     return ops.top_k(s, "score", "vec_id", 25)
 
 
 @query(f"WITH {_S} SELECT vec_id, round(sim * (1 + 0.2::DOUBLE * least(len(list_intersect(cuis, ['c3', 'd5'])) / 2.0::DOUBLE, 1)), 6) AS score FROM s ORDER BY 2 DESC, vec_id LIMIT 25")
 def linear_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = candidates(spark, sf_dir).select("vec_id", F.round(F.col("sim") * ops.linear_boost(F.col("cuis"), ASKED), 6).alias("score"))
+    s = candidates(spark, sf_dir).select("vec_id", F.round(F.col("sim") * ops.linear_boost(F.col("cuis"), asked()), 6).alias("score"))
     return ops.top_k(s, "score", "vec_id", 25)
 
 
@@ -102,7 +106,7 @@ def ensemble_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {_S}, r AS (SELECT label, vec_id, sim + len(list_intersect(cuis, ['c3', 'd5'])) * 0.2::DOUBLE * 0.1::DOUBLE + CASE WHEN vec_id % 4 = 0 THEN 0.1 ELSE 0 END::DOUBLE AS raw FROM s WHERE sim > 0)
     SELECT vec_id, round(raw / max(raw) OVER (PARTITION BY label), 6) AS score FROM r""")
 def medical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    overlap = F.size(F.array_intersect("cuis", ASKED))
+    overlap = F.size(F.array_intersect("cuis", asked()))
     raw = F.col("sim") + overlap * 0.2 * 0.1 + F.when(F.col("vec_id") % 4 == 0, 0.1).otherwise(0.0)
     s = candidates(spark, sf_dir).where("sim > 0").withColumn("raw", raw)
     return s.select("vec_id", F.round(ops.relative_to_best(F.col("raw"), "label"), 6).alias("score"))
@@ -256,6 +260,6 @@ def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
     s = e.join(F.broadcast(q), "label").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).where("sim >= 0.1")
     concepts = F.array(F.concat(F.lit("c"), F.col("vec_id") % 7))
-    boost = ops.authority_boost(0.5 + (F.col("vec_id") % 6) / 10.0, F.lit("body")) * ops.linear_boost(concepts, ASKED)
+    boost = ops.authority_boost(0.5 + (F.col("vec_id") % 6) / 10.0, F.lit("body")) * ops.linear_boost(concepts, asked())
     scored = s.select("label", "vec_id", F.round(F.col("sim") * boost, 6).alias("score"))
     return relational.top_per_key(scored, ["label"], [F.desc("score"), F.col("vec_id")], 5).withColumn("rank", F.col("rank").cast("long"))
