@@ -93,6 +93,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Every pair of a label, and what is reachable over the links.
+_OP2 = """
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    r AS (SELECT u, w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON l.u = r.w),
+    c AS (SELECT u, min(w) AS least FROM r GROUP BY 1), n AS (SELECT u, count(*) AS n FROM l GROUP BY 1)
+    SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.least, e.vec_id) AS kept
+    FROM embeddings e LEFT JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id"""
+#: Every window of 200 bytes, as hexadecimal text; then runs of covered bytes and what lies between them.
+_OP4 = """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+    p AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+    g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM p),
+    k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g), r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY doc_id, run),
+    t AS (SELECT doc_id, count(*) AS runs, sum(z - a)::BIGINT AS gone FROM r GROUP BY 1),
+    b AS (SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS x, a AS y FROM r UNION ALL SELECT r.doc_id, max(z), any_value(n) FROM r JOIN d USING (doc_id) GROUP BY 1 UNION ALL SELECT doc_id, 0, n FROM d WHERE doc_id NOT IN (SELECT doc_id FROM t)),
+    f AS (SELECT b.doc_id, sha256(unhex(string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x))) AS kept_sha256 FROM b JOIN d ON d.doc_id = b.doc_id GROUP BY 1)
+    SELECT d.doc_id, d.n AS n_bytes, coalesce(t.gone, 0) AS n_removed, coalesce(t.runs, 0) AS n_spans, f.kept_sha256 FROM d JOIN f ON f.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """No operator here can be written in SQL alone; tests/llm compares each with a plain version."""
-    return {}
+    """SQL for the operators that it can express; tests/llm compares every one with a plain version."""
+    return {"op2_embedding_collisions": _OP2, "op4_suffix_columns": _OP4}
