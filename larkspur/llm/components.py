@@ -17,9 +17,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbours; nothing is collected. Each round is checkpointed. Edges with a null end are
     dropped and edges from a node to itself only name the node.
     """
-    edges = edges.select("u", "v").dropna()
+    edges = cut_lineage(edges.select("u", "v").dropna().distinct())
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    now = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct())
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()
     state = None
     for _ in range(max_rounds):
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
