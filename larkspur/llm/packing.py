@@ -176,7 +176,7 @@ def pack_documents(df: DataFrame, vocabulary_path: str, pattern: str, id_col: st
         base += repeats
     tables = {s: tuple(np.array(x[s], dtype=np.int64) for x in (first, sequence, slots)) for s in first}
 
-    bits = pieces_for(max(histogram.values(), default=0), 1, 2_048).bit_length() - 1
+    bits = pieces_for(max(histogram.values(), default=0), 1, 512).bit_length() - 1
     ranked = gapless_rank(pieces.withColumn("_piece", F.shiftright("_key", KEY_BITS - bits)), ["_size"], ["_key", "_row"], "_piece", "_rank")
     own = [id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
     fields = {f.name: f for f in pieces.schema.fields}
