@@ -48,3 +48,24 @@ def test_run_is_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
     assert out.count() > 0
+
+
+def test_stages_on_odd_rows(spark):
+    words = "the and of with that this from have been were they".split()
+    text = " ".join(words[i * 7 % 11] + words[i * 5 % 7] for i in range(120))
+    names = "doc_id long, text string, lang string, source string, n_chars long, secret_spans int, lang_pred string, n_bytes int, fp string, kept_sha256 string"
+    extra = (7, "q", 8, "f", "k")
+    rows = [(1, text, "en", "s", 5, *extra), (2, text, "en", None, 5, *extra), (2, text, "en", None, 5, *extra), (None, "token = 'abcdefgh' " + text[:300], None, "s", None, *extra), (4, None, None, None, None, *extra), (5, "", "en", "s", 0, *extra), (6, "word " * 9000, "en", "s", 1, *extra)]
+    df = spark.createDataFrame(rows, names)
+    now, counts = df, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == df.columns
+        counts.append(now.count())
+        assert all((r.secret_spans, r.lang_pred, r.n_bytes, r.fp, r.kept_sha256) == extra for r in now.collect())
+        alone = stage(spark, df, "").collect()
+        assert len(alone) <= len(rows)
+        assert stage(spark, df.limit(0), "").collect() == []
+    assert counts[1] == 3 and not any("abcdefgh" in r.text for r in now.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() >= 3
+    assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() >= len(rows)
