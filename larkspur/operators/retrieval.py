@@ -21,11 +21,11 @@ FRONT_MATTER = 0.1
 IMAGE_SHARE = 0.9
 LINK_SCORE, LINKS_EACH = 0.5, 3
 QUALITY_WEIGHTS = {"authority": 0.30, "readability": 0.20, "coherence": 0.20, "completeness": 0.20, "kind": 0.10}
-#: Words that tell what a query asks for; the first list with a hit wins.
+#: Words that tell what a query asks for; the first list with a hit wins.
 INTENTS = {
-    "procedure": ("how to", "technique", "approach", "procedure", "surgical", "step", "perform", "operation"),
-    "anatomy": ("anatomy", "structure", "location", "where is", "landmark", "relationship"),
-    "pathology": ("tumor", "disease", "pathology", "lesion", "diagnosis", "syndrome"),
+    "procedure": ("approach", "technique", "procedure", "craniotomy", "resection", "dissection", "how to", "step", "surgical", "incision", "exposure", "retraction", "clipping", "coiling", "decompression"),
+    "anatomy": ("anatomy", "structure", "nerve", "artery", "vein", "cistern", "fissure", "sulcus", "gyrus", "nucleus", "foramen", "sinus", "where is", "location of", "relationship"),
+    "pathology": ("tumor", "meningioma", "schwannoma", "glioma", "aneurysm", "malformation", "disease", "pathology", "lesion", "diagnosis"),
 }
 
 

@@ -238,7 +238,10 @@ def exclusive_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.exclusive_assignment(s, "l_orderkey", "l_linenumber", "l_partkey", "score", 0.03)
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'how to|technique|approach|procedure|surgical|step|perform|operation') THEN 'procedure' WHEN regexp_matches(lower(text), 'anatomy|structure|location|where is|landmark|relationship') THEN 'anatomy' WHEN regexp_matches(lower(text), 'tumor|disease|pathology|lesion|diagnosis|syndrome') THEN 'pathology' END AS intent FROM documents")
+_INTENT = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{intent}'" for intent, words in ops.INTENTS.items())
+
+
+@query(f"SELECT doc_id, CASE {_INTENT} END AS intent FROM documents")
 def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ops.detect_intent(F.col("text")).alias("intent"))
 
