@@ -222,9 +222,9 @@ def pass_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("user_id", F.round(0.4 * F.least("recent", F.lit(100)) / 100 + 0.6 * F.col("weighted"), 6).alias("probability"))
 
 
-@query("SELECT event_type, substr(md5(string_agg(DISTINCT CAST(user_id AS VARCHAR), '' ORDER BY CAST(user_id AS VARCHAR))), 1, 16) AS source_hash FROM events WHERE value > 200 GROUP BY 1")
+@query("SELECT event_type, substr(md5(string_agg(DISTINCT CAST(user_id AS VARCHAR), '' ORDER BY CAST(user_id AS VARCHAR))), 1, 16) AS source_hash FROM events GROUP BY 1")
 def source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value > 200").groupBy("event_type").agg(F.array_sort(F.collect_set(F.col("user_id").cast("string"))).alias("ids"))
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_set(F.col("user_id").cast("string"))).alias("ids"))
     return e.select("event_type", F.substring(F.md5(F.array_join("ids", "")), 1, 16).alias("source_hash"))
 
 
@@ -334,9 +334,9 @@ def dedup_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INTEGER AS turn, min(event_id) OVER (PARTITION BY event_type) AS kind_first
-    FROM events WHERE ts < TIMESTAMP '2024-01-01 06:00:00'""")
+    FROM events""")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("ts < '2024-01-01 06:00:00'").select("event_type", "event_id")
+    e = table(spark, sf_dir, "events").select("event_type", "event_id")
     return ops.round_robin(e, "event_type", "event_id").orderBy("turn", "kind_first")
 
 

@@ -134,9 +134,9 @@ def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT md5('S' || l_suppkey || ':' || 'P' || l_partkey || ':' || l_returnflag || ':' || (l_linestatus = 'F')::VARCHAR) AS hash, max(l_discount) AS confidence FROM lineitem WHERE l_quantity > 45 GROUP BY 1""")
+    SELECT md5('S' || l_suppkey || ':' || 'P' || l_partkey || ':' || l_returnflag || ':' || (l_linestatus = 'F')::VARCHAR) AS hash, max(l_discount) AS confidence FROM lineitem GROUP BY 1""")
 def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    lines = table(spark, sf_dir, "lineitem")
     h = ops.relation_hash(F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey"), F.col("l_returnflag"), F.col("l_linestatus") == "F")
     return lines.groupBy(h.alias("hash")).agg(F.max("l_discount").alias("confidence"))
 
@@ -159,9 +159,9 @@ def average_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.near_hashes(h, "label", "vec_id", "h", 1)
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE ts < TIMESTAMP '2024-01-05'")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("ts < '2024-01-05'")
+    e = table(spark, sf_dir, "events")
     raw = F.concat(F.lit("Here you are:\n```json\n"), "props", F.lit("\n```\nDone."))
     return e.select("event_id", F.from_json(ops.recover_json(raw), "k int")["k"].alias("k"))
 
@@ -197,7 +197,7 @@ def title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def conflict_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentages that differ between sources: discounts that lines of two suppliers tell for one part."""
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey < 60").groupBy("l_partkey", "l_suppkey").agg(F.max("l_discount").alias("d"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_discount").alias("d"))
     said = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" discount "), F.round(F.col("d") * 100).cast("int"), F.lit("% given"))
     return ops.percent_conflicts(lines.select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("id"), "l_partkey", F.col("l_suppkey").alias("src"), said.alias("said")), "l_partkey", "id", "src", "said")
 

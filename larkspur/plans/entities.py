@@ -10,23 +10,23 @@ from larkspur.plans.registry import query, table
 
 
 @query("""
-    WITH l AS (SELECT 'P' || l_partkey AS chunk, 'S' || l_suppkey AS image, l_discount AS score, l_orderkey * 10 + l_linenumber AS pos FROM lineitem WHERE l_quantity > 47),
-    m AS (SELECT md5(chunk) AS chunk_id, md5(image) AS image_id, score, pos FROM l WHERE substr(chunk, 2)::INTEGER % 3 <> 0 AND substr(image, 2)::INTEGER % 4 <> 0)
+    WITH l AS (SELECT 'P' || l_partkey AS chunk, 'S' || l_suppkey AS image, l_discount AS score, l_orderkey * 10 + l_linenumber AS pos FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size >= 10 AND s_acctbal > 0),
+    m AS (SELECT md5(chunk) AS chunk_id, md5(image) AS image_id, score, pos FROM l)
     SELECT chunk_id, image_id, arg_max(score, (pos, score)) AS score, max(pos) AS pos FROM m GROUP BY 1, 2""")
 def link_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 47")
+    lines = table(spark, sf_dir, "lineitem")
     links = lines.select(F.concat(F.lit("P"), "l_partkey").alias("chunk"), F.concat(F.lit("S"), "l_suppkey").alias("image"), F.col("l_discount").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    parts = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("P"), "p_partkey").alias("outer"))
-    sellers = table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").select(F.concat(F.lit("S"), "s_suppkey").alias("outer"))
+    parts = table(spark, sf_dir, "part").where("p_size >= 10").select(F.concat(F.lit("P"), "p_partkey").alias("outer"))
+    sellers = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("S"), "s_suppkey").alias("outer"))
     mapped = ops.map_ids(links, parts.withColumn("id", F.md5("outer")), sellers.withColumn("id", F.md5("outer")))
     return ops.upsert_links(mapped.where("pos % 2 = 0"), mapped.where("pos % 2 = 1"), ["pos", "score"])
 
 
 @query("""
-    WITH m AS (SELECT DISTINCT lower(trim(p_name)) AS name FROM part) SELECT md5(name) AS id, name FROM m WHERE name NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey < 20)""")
+    WITH m AS (SELECT DISTINCT lower(trim(p_name)) AS name FROM part) SELECT md5(name) AS id, name FROM m WHERE name NOT IN (SELECT lower(p_name) FROM part WHERE p_retailprice < 902)""")
 def missing_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
-    return ops.missing_entities(p.where("p_partkey < 20"), p)
+    p = table(spark, sf_dir, "part").select("p_retailprice", F.col("p_name").alias("name"))
+    return ops.missing_entities(p.where("p_retailprice < 902"), p)
 
 
 @query("""
@@ -48,11 +48,11 @@ def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT l_orderkey AS relation, list_distinct(list(l_partkey)) AS ids FROM lineitem WHERE l_quantity > 48 GROUP BY 1), e AS (SELECT relation, unnest(ids) AS p_partkey FROM l)
-    SELECT p.p_partkey, e.relation FROM part p LEFT JOIN e ON e.p_partkey = p.p_partkey WHERE p.p_size < 10""")
+    WITH l AS (SELECT l_orderkey AS relation, list_distinct(list(l_partkey)) AS ids FROM lineitem GROUP BY 1), e AS (SELECT relation, unnest(ids) AS p_partkey FROM l)
+    SELECT p.p_partkey, e.relation FROM part p LEFT JOIN e ON e.p_partkey = p.p_partkey""")
 def array_membership_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = table(spark, sf_dir, "lineitem").where("l_quantity > 48").groupBy(F.col("l_orderkey").alias("relation")).agg(F.collect_set("l_partkey").alias("ids"))
-    return ops.members_left(table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey"), "p_partkey", lists, "ids", ["relation"])
+    lists = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("relation")).agg(F.collect_set("l_partkey").alias("ids"))
+    return ops.members_left(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", lists, "ids", ["relation"])
 
 
 @query("""
@@ -79,10 +79,10 @@ def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS unit, l_quantity AS v, ['p' || l_partkey, 's' || l_suppkey % 10, l_linestatus] AS w FROM lineitem WHERE l_partkey < 150 AND l_suppkey < 50),
-    b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS unit, l_quantity AS v, ['p' || l_partkey, 's' || l_suppkey % 10, l_linestatus] AS w FROM lineitem WHERE l_partkey < 150 AND l_suppkey >= 50)
-    SELECT DISTINCT a.id AS a, b.id AS b FROM a JOIN b ON a.unit = b.unit WHERE len(list_intersect(a.w, b.w)) >= 3 AND abs(a.v - b.v) > 0.15 * greatest(a.v, b.v)""")
+    WITH f AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER) AS id, l_returnflag AS unit, l_quantity AS v, l_partkey AS p, l_suppkey % 10 AS s, l_linestatus AS t, s_acctbal > 0 AS inside FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
+    SELECT DISTINCT a.id AS a, b.id AS b FROM f a JOIN f b ON a.unit = b.unit AND a.p = b.p AND a.s = b.s AND a.t = b.t WHERE a.inside AND NOT b.inside AND abs(a.v - b.v) > 0.15 * greatest(a.v, b.v)""")
 def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), F.col("l_suppkey") % 10), F.col("l_linestatus"))
-    f = table(spark, sf_dir, "lineitem").where("l_partkey < 150").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("unit"), F.col("l_quantity").alias("value"), words.alias("words"), "l_suppkey")
-    return ops.fact_conflicts(f.where("l_suppkey < 50"), f.where("l_suppkey >= 50")).distinct()
+    sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") > 0).alias("inside"))
+    f = table(spark, sf_dir, "lineitem").join(sellers, "l_suppkey").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("id"), F.col("l_returnflag").alias("unit"), F.col("l_quantity").alias("value"), words.alias("words"), "inside")
+    return ops.fact_conflicts(f.where("inside"), f.where("NOT inside")).distinct()

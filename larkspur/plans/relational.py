@@ -60,29 +60,29 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH o AS (SELECT user_id, min(event_type) AS name, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1),
-    w AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE max(event_type) END AS name, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-27' GROUP BY 1)
+    WITH o AS (SELECT user_id, min(event_type) AS name, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+    w AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE max(event_type) END AS name, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
     SELECT coalesce(o.user_id, w.user_id) AS user_id, coalesce(nullif(w.name, ''), o.name) AS name, coalesce(o.n, 0) + coalesce(w.n, 0) AS n
     FROM o FULL JOIN w ON o.user_id = w.user_id""")
 def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    old = e.where("ts < '2024-01-04'").groupBy("user_id").agg(F.min("event_type").alias("name"), F.count("*").alias("n"))
-    new = e.where("ts >= '2024-01-27'").groupBy("user_id").agg(F.max("event_type").alias("name"), F.count("*").alias("n"))
+    old = e.where("ts < '2024-01-16'").groupBy("user_id").agg(F.min("event_type").alias("name"), F.count("*").alias("n"))
+    new = e.where("ts >= '2024-01-16'").groupBy("user_id").agg(F.max("event_type").alias("name"), F.count("*").alias("n"))
     new = new.withColumn("name", F.when(F.col("user_id") % 3 == 0, "").otherwise(F.col("name")))
     return ops.upsert(old, new, ["user_id"], {"name": "named_or_old", "n": "sum"})
 
 
 @query("""
-    WITH a AS (SELECT user_id, event_type, max(value) AS confidence, list_sort(list(event_id)) AS ids, CAST(NULL AS VARCHAR) AS context FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2),
-    b AS (SELECT user_id, event_type, max(value) AS confidence, list_sort(list(event_id)) AS ids, CASE WHEN user_id % 2 = 0 THEN max(props) END AS context FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1, 2)
+    WITH a AS (SELECT user_id, event_type, max(value) AS confidence, list_sort(list(event_id)) AS ids, CAST(NULL AS VARCHAR) AS context FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2),
+    b AS (SELECT user_id, event_type, max(value) AS confidence, list_sort(list(event_id)) AS ids, CASE WHEN user_id % 2 = 0 THEN max(props) END AS context FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2)
     SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, greatest(a.confidence, b.confidence) AS confidence,
         list_concat(coalesce(a.ids, []), coalesce(b.ids, [])) AS ids, coalesce(b.context, a.context) AS context
     FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""")
 def relation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, key = table(spark, sf_dir, "events"), ["user_id", "event_type"]
     both = [F.max("value").alias("confidence"), F.array_sort(F.collect_list("event_id")).alias("ids")]
-    old = e.where("ts < '2024-01-03'").groupBy(*key).agg(*both).withColumn("context", F.lit(None).cast("string"))
-    new = e.where("ts >= '2024-01-29'").groupBy(*key).agg(*both, F.max("props").alias("context"))
+    old = e.where("ts < '2024-01-16'").groupBy(*key).agg(*both).withColumn("context", F.lit(None).cast("string"))
+    new = e.where("ts >= '2024-01-16'").groupBy(*key).agg(*both, F.max("props").alias("context"))
     new = new.withColumn("context", F.when(F.col("user_id") % 2 == 0, F.col("context")))
     return ops.upsert(old, new, key, {"confidence": "greatest", "ids": "concat", "context": "new_or_old"})
 
@@ -95,13 +95,14 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT n.doc_id, coalesce(h.first_seen, p.first_seen) AS first_seen, h.k IS NULL AND p.k IS NULL AS is_new
-    FROM (SELECT doc_id, sha256(text) AS k, source || '/' || CAST(n_chars AS VARCHAR) AS path FROM documents WHERE doc_id >= 400) n
-    LEFT JOIN (SELECT sha256(text) AS k, min(doc_id) AS first_seen FROM documents WHERE doc_id < 400 GROUP BY 1) h ON h.k = n.k
-    LEFT JOIN (SELECT source || '/' || CAST(n_chars AS VARCHAR) AS k, min(doc_id) AS first_seen FROM documents WHERE doc_id < 400 GROUP BY 1) p ON p.k = n.path""")
+    FROM (SELECT doc_id, sha256(text) AS k, source || '/' || CAST(n_chars AS VARCHAR) AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) n
+    LEFT JOIN (SELECT sha256(text) AS k, min(doc_id) AS first_seen FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) h ON h.k = n.k
+    LEFT JOIN (SELECT source || '/' || CAST(n_chars AS VARCHAR) AS k, min(doc_id) AS first_seen FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) p ON p.k = n.path""")
 def merge_new_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.concat_ws("/", "source", "n_chars").alias("path"))
-    before = d.where("doc_id < 400").withColumnRenamed("doc_id", "first_seen")
-    return ops.carry_previous(d.where("doc_id >= 400"), before, "hash", "path", ["first_seen"]).select("doc_id", "first_seen", "is_new")
+    known = table(spark, sf_dir, "labels")
+    before = ops.lookup(d, known, "doc_id").withColumnRenamed("doc_id", "first_seen")
+    return ops.carry_previous(ops.without(d, known, "doc_id"), before, "hash", "path", ["first_seen"]).select("doc_id", "first_seen", "is_new")
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -183,10 +184,10 @@ def nullable_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.enrich(d, table(spark, sf_dir, "labels"), "doc_id", ["quality"], "left").where((F.col("quality") == 1) | F.col("quality").isNull())
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0.0, least(1.0, l_discount * 12 - 0.1)) AS quality FROM lineitem WHERE l_quantity >= 49")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0.0, least(1.0, l_discount * 12 - 0.1)) AS quality FROM lineitem")
 def clamp_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("l_discount") * 12 - 0.1))
-    return table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", quality.alias("quality"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", quality.alias("quality"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet FROM documents")
@@ -336,12 +337,12 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH f AS (SELECT user_id, list_distinct(list(event_type)) AS factors FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1),
+    WITH f AS (SELECT user_id, list_distinct(list(event_type)) AS factors FROM events WHERE value > 100 GROUP BY 1),
     r AS (SELECT * FROM (VALUES ('all', ['click', 'view', 'purchase'], 'HIGH'), ('two', ['error', 'signup'], 'LOW'), ('critical', ['error', 'purchase', 'signup'], 'CRITICAL')) t(rule, needs, severity))
     SELECT user_id, rule, CASE WHEN list_has_all(factors, needs) THEN severity ELSE 'MODERATE' END AS severity FROM f, r
     WHERE list_has_all(factors, needs) OR (severity IN ('CRITICAL', 'HIGH') AND len(list_intersect(factors, needs)) >= 2)""")
 def subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    factors = table(spark, sf_dir, "events").where("ts < '2024-01-02'").groupBy("user_id").agg(F.collect_set("event_type").alias("factors"))
+    factors = table(spark, sf_dir, "events").where("value > 100").groupBy("user_id").agg(F.collect_set("event_type").alias("factors"))
     rules = spark.createDataFrame([("all", ["click", "view", "purchase"], "HIGH"), ("two", ["error", "signup"], "LOW"), ("critical", ["error", "purchase", "signup"], "CRITICAL")], "rule string, needs array<string>, severity string")
     exploded = factors.select("user_id", F.explode("factors").alias("need"))
     needs = rules.select("rule", F.size("needs").alias("wanted"), "severity", F.explode("needs").alias("need"))
@@ -373,16 +374,15 @@ def accuracy_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH w AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '([0-9]{1,3})%', 1))) AS v FROM documents)
     SELECT a.doc_id AS first_doc, b.doc_id AS second_doc, a.v AS value FROM w a JOIN w b ON a.v = b.v AND a.doc_id < b.doc_id AND a.source <> b.source
-    UNION ALL SELECT a.c_custkey, b.c_custkey, a.c_mktsegment FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey AND a.c_nationkey <> b.c_nationkey
-      WHERE a.c_acctbal > 9900 AND b.c_acctbal > 9900""")
+    UNION ALL SELECT a.c_custkey, b.c_custkey, a.c_mktsegment FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND floor(a.c_acctbal) = floor(b.c_acctbal) AND a.c_custkey < b.c_custkey AND a.c_nationkey <> b.c_nationkey""")
 def pair_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]{1,3})%"), F.lit(1)))
     w = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(values).alias("value"))
     a, b = w.alias("a"), w.alias("b")
     docs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.source") != F.col("b.source"))).select(F.col("a.doc_id").alias("first_doc"), F.col("b.doc_id").alias("second_doc"), "a.value")
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 9900")
+    c = table(spark, sf_dir, "customer").withColumn("whole", F.floor("c_acctbal"))
     a, b = c.alias("a"), c.alias("b")
-    rich = a.join(b, (F.col("a.c_mktsegment") == F.col("b.c_mktsegment")) & (F.col("a.c_custkey") < F.col("b.c_custkey")) & (F.col("a.c_nationkey") != F.col("b.c_nationkey"))).select(F.col("a.c_custkey"), F.col("b.c_custkey"), "a.c_mktsegment")
+    rich = a.join(b, (F.col("a.c_mktsegment") == F.col("b.c_mktsegment")) & (F.col("a.whole") == F.col("b.whole")) & (F.col("a.c_custkey") < F.col("b.c_custkey")) & (F.col("a.c_nationkey") != F.col("b.c_nationkey"))).select(F.col("a.c_custkey"), F.col("b.c_custkey"), "a.c_mktsegment")
     return docs.union(rich)
 
 
@@ -413,16 +413,13 @@ def jaccard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH t AS (SELECT user_id, event_type, count(*)::DOUBLE AS w FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2), s AS (SELECT user_id, sum(w) AS total FROM t GROUP BY 1),
-    p AS (SELECT a.user_id AS u, b.user_id AS v, sum(greatest(a.w, b.w)) AS m FROM t a JOIN t b ON a.event_type = b.event_type AND a.user_id < b.user_id WHERE a.user_id <= 20 GROUP BY 1, 2)
-    SELECT u AS first_user, v AS second_user, round(2 * m / (x.total + y.total), 6) AS overlap FROM p JOIN s x ON x.user_id = u JOIN s y ON y.user_id = v""")
+    WITH t AS (SELECT user_id, event_type, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16')::DOUBLE AS a, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16')::DOUBLE AS b FROM events GROUP BY 1, 2)
+    SELECT user_id, round(2 * sum(CASE WHEN a > 0 AND b > 0 THEN greatest(a, b) ELSE 0 END) / sum(a + b), 6) AS overlap FROM t GROUP BY 1""")
 def weighted_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events").where("ts < '2024-01-03'").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("w"))
-    s = t.groupBy("user_id").agg(F.sum("w").alias("total"))
-    shared = t.where("user_id <= 20").alias("a").join(t.alias("b"), (F.col("a.event_type") == F.col("b.event_type")) & (F.col("a.user_id") < F.col("b.user_id")))
-    shared = shared.groupBy(F.col("a.user_id").alias("first_user"), F.col("b.user_id").alias("second_user")).agg(F.sum(F.greatest("a.w", "b.w")).alias("m"))
-    both = shared.join(s.select(F.col("user_id").alias("first_user"), F.col("total").alias("x")), "first_user").join(s.select(F.col("user_id").alias("second_user"), F.col("total").alias("y")), "second_user")
-    return both.select("first_user", "second_user", F.round(2 * F.col("m") / (F.col("x") + F.col("y")), 6).alias("overlap"))
+    early = F.col("ts") < "2024-01-16"
+    t = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count_if(early).cast("double").alias("a"), F.count_if(~early).cast("double").alias("b"))
+    shared = F.when((F.col("a") > 0) & (F.col("b") > 0), F.greatest("a", "b")).otherwise(0.0)
+    return t.groupBy("user_id").agg(F.round(2 * F.sum(shared) / F.sum(F.col("a") + F.col("b")), 6).alias("overlap"))
 
 
 @query("SELECT d.doc_id, l.quality, d.n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality DESC NULLS LAST, d.n_chars, d.doc_id LIMIT 450")

@@ -156,12 +156,14 @@ def mean_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", F.round(cosine(F.col("v"), F.col("o")), 6).alias("to_own"), F.round(cosine(F.col("v"), F.col("m")), 6).alias("to_mean"))
 
 
-@query("""
-    SELECT a.vec_id AS first_id, b.vec_id AS second_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 30 AND b.vec_id < 30""")
+@query(f"""
+    WITH {_S}, k AS (SELECT s.vec_id, e.embedding::DOUBLE[] AS v FROM s JOIN embeddings e ON e.vec_id = s.vec_id ORDER BY round(sim, 6) DESC, s.vec_id LIMIT 30)
+    SELECT a.vec_id AS first_id, b.vec_id AS second_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM k a JOIN k b ON a.vec_id < b.vec_id""")
 def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 30")
-    a, b = e.select(F.col("vec_id").alias("first_id"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("second_id"), F.col("embedding").alias("y"))
+    """The similarity matrix of a query's thirty nearest."""
+    s = candidates(spark, sf_dir).select("vec_id", "embedding", F.round("sim", 6).alias("sim"))
+    near = ops.top_k(s, "sim", "vec_id", 30)
+    a, b = near.select(F.col("vec_id").alias("first_id"), F.col("embedding").alias("x")), near.select(F.col("vec_id").alias("second_id"), F.col("embedding").alias("y"))
     pairs = a.join(F.broadcast(b), F.col("first_id") < F.col("second_id"))
     return pairs.select("first_id", "second_id", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
@@ -216,18 +218,18 @@ def attach_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
-    d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, embedding::DOUBLE[] AS v, (doc_id % 3) / 2.0::DOUBLE AS tier FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id BETWEEN 100 AND 160),
-    s AS (SELECT item_id, doc_id, round(0.60::DOUBLE * list_cosine_similarity(b.v, d.v) + 0.25::DOUBLE * (CASE WHEN len(b.w) > 0 AND len(d.w) > 0 THEN len(list_intersect(b.w, d.w))::DOUBLE / len(list_distinct(list_concat(b.w, d.w))) ELSE 0 END) + 0.15::DOUBLE * tier, 6) AS score FROM b, d),
+    WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, embedding::DOUBLE[] AS v, 'src' || item_id % 20 AS source FROM benchmark JOIN embeddings ON vec_id = item_id),
+    d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, embedding::DOUBLE[] AS v, (doc_id % 3) / 2.0::DOUBLE AS tier, source FROM documents JOIN embeddings ON vec_id = doc_id),
+    s AS (SELECT item_id, doc_id, round(0.60::DOUBLE * list_cosine_similarity(b.v, d.v) + 0.25::DOUBLE * (CASE WHEN len(b.w) > 0 AND len(d.w) > 0 THEN len(list_intersect(b.w, d.w))::DOUBLE / len(list_distinct(list_concat(b.w, d.w))) ELSE 0 END) + 0.15::DOUBLE * tier, 6) AS score FROM b JOIN d ON d.source = b.source),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score >= 0.25)
     SELECT item_id, doc_id, score, n AS rank FROM r WHERE n <= 2""")
 def figure_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    b = table(spark, sf_dir, "benchmark").join(vectors, F.col("vec_id") == F.col("item_id")).select("item_id", tx.tokens(F.col("text")).alias("w"), F.col("embedding").alias("v"))
-    d = table(spark, sf_dir, "documents").where("doc_id BETWEEN 100 AND 160").join(vectors, F.col("vec_id") == F.col("doc_id"))
-    d = d.select("doc_id", tx.tokens(F.col("text")).alias("w2"), F.col("embedding").alias("v2"), ((F.col("doc_id") % 3) / 2.0).alias("tier"))
+    b = table(spark, sf_dir, "benchmark").join(vectors, F.col("vec_id") == F.col("item_id")).select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), tx.tokens(F.col("text")).alias("w"), F.col("embedding").alias("v"))
+    d = table(spark, sf_dir, "documents").join(vectors, F.col("vec_id") == F.col("doc_id"))
+    d = d.select("doc_id", "source", tx.tokens(F.col("text")).alias("w2"), F.col("embedding").alias("v2"), ((F.col("doc_id") % 3) / 2.0).alias("tier"))
     score = ops.figure_score(cosine(F.col("v"), F.col("v2")), F.col("w"), F.col("w2"), F.col("tier"))
-    s = b.crossJoin(F.broadcast(d)).select("item_id", "doc_id", F.round(score, 6).alias("score")).where("score >= 0.25")
+    s = b.join(d, "source").select("item_id", "doc_id", F.round(score, 6).alias("score")).where("score >= 0.25")
     return relational.top_per_key(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 2).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -60,20 +60,20 @@ def stage_inappropriate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH i AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-03'), t AS (SELECT * FROM (VALUES ('click', 'error', 'high'), ('purchase', 'signup', 'low')) v(a, b, severity))
+    WITH i AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 100), t AS (SELECT * FROM (VALUES ('click', 'error', 'high'), ('purchase', 'signup', 'low')) v(a, b, severity))
     SELECT x.user_id, t.a, t.b, t.severity FROM t JOIN i x ON x.event_type = t.a JOIN i y ON y.event_type = t.b AND y.user_id = x.user_id""")
 def pair_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([("error", "click", "high"), ("purchase", "signup", "low")], "a string, b string, severity string")
-    return ops.interactions(table(spark, sf_dir, "events").where("ts < '2024-01-03'"), "user_id", "event_type", listed)
+    return ops.interactions(table(spark, sf_dir, "events").where("value > 100"), "user_id", "event_type", listed)
 
 
 @query("""
-    WITH c AS (SELECT user_id, list_distinct(list(event_type)) AS w, CASE WHEN max(value) > 100 THEN 'high' ELSE 'low' END AS state FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1),
+    WITH c AS (SELECT user_id, list_distinct(list(event_type)) AS w, CASE WHEN max(value) > 150 THEN 'high' ELSE 'low' END AS state FROM events WHERE value > 100 GROUP BY 1),
     r AS (SELECT * FROM (VALUES ('r1', 'HIGH', ['click', 'view'], ['signup'], 'high'), ('r2', 'LOW', ['error'], ['none'], 'low')) v(rule, severity, triggers, exceptions, escalates))
     SELECT user_id, rule, CASE WHEN state = escalates THEN 'CRITICAL' ELSE severity END AS severity FROM c, r WHERE list_has_any(w, triggers) AND NOT list_has_any(w, exceptions)""")
 def rule_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("ts < '2024-01-03'").groupBy("user_id")
-    cases = e.agg(F.collect_set("event_type").alias("words"), F.when(F.max("value") > 100, "high").otherwise("low").alias("state"))
+    e = table(spark, sf_dir, "events").where("value > 100").groupBy("user_id")
+    cases = e.agg(F.collect_set("event_type").alias("words"), F.when(F.max("value") > 150, "high").otherwise("low").alias("state"))
     rules = spark.createDataFrame([("r1", "HIGH", ["click", "view"], ["signup"], "high"), ("r2", "LOW", ["error"], ["none"], "low")], "rule string, severity string, triggers array<string>, exceptions array<string>, escalates string")
     return ops.triggered(cases, "user_id", "words", rules)
 
@@ -100,9 +100,9 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("n_regionkey", ops.markdown_table(rows).alias("markdown"))
 
 
-@query("SELECT conv_id, string_agg('[' || n || '] ' || role || chr(10) || text || chr(10), chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE turn < 4) GROUP BY 1")
+@query("SELECT conv_id, string_agg('[' || n || '] ' || role || chr(10) || text || chr(10), chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1")
 def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.format_context(table(spark, sf_dir, "conversations").where("turn < 4"), "conv_id", "turn", "text", "role")
+    return ops.format_context(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "role")
 
 
 @query("""
@@ -130,13 +130,13 @@ def context_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_REVIEWS}, d AS (SELECT event_id, stability AS s, 5.0::DOUBLE AS d0, x.g AS rating FROM r, (SELECT unnest([1, 2, 3, 4]) AS g) x WHERE event_id % 10 = 0),
+    WITH {_REVIEWS}, d AS (SELECT event_id, stability AS s, 5.0::DOUBLE AS d0, x.g AS rating FROM r, (SELECT unnest([1, 2, 3, 4]) AS g) x),
     n AS (SELECT *, least(10, greatest(1, d0 + (rating - 3) * 0.2909::DOUBLE + 0.2909::DOUBLE * (2.2271::DOUBLE - d0))) AS dn, 0.9::DOUBLE AS q FROM d),
     k AS (SELECT *, CASE WHEN rating = 1 THEN greatest(0.1::DOUBLE, s * exp(1.0507::DOUBLE) * pow(dn, -0.0028::DOUBLE) * (pow(s + 1, 2.4028::DOUBLE) - 1) * exp(0.1131::DOUBLE * (1 - q)))
       ELSE s * (1 + exp(1.0651::DOUBLE) * (11 - dn) * pow(s, -0.5316::DOUBLE) * exp(0.1192::DOUBLE * (1 - q)) * CASE rating WHEN 2 THEN 0.0046::DOUBLE WHEN 4 THEN 1.5352::DOUBLE ELSE 1 END * exp(-0.0272::DOUBLE * 1)) END AS sn FROM n)
     SELECT event_id, rating, round(dn, 6) AS difficulty, round(greatest(1, least(180, sn * (ln(0.92::DOUBLE) / ln(0.9::DOUBLE)))), 4) AS days FROM k""")
 def tracked_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ops.preview(reviews(spark, sf_dir).where("event_id % 10 = 0").select("event_id", "stability"))
+    r = ops.preview(reviews(spark, sf_dir).select("event_id", "stability"))
     r = r.withColumn("d", ops.tracked_difficulty(F.lit(5.0), F.col("rating")))
     after = ops.tracked_stability(F.col("stability"), F.col("d"), F.lit(0.9), F.col("rating"), F.lit(1))
     return r.select("event_id", "rating", F.round("d", 6).alias("difficulty"), F.round(ops.tracked_interval(after, "factual"), 4).alias("days"))
