@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.relational import latest
@@ -58,12 +58,26 @@ def clean_path(storage: Column, file: Column) -> Column:
     return F.regexp_replace(F.coalesce(F.nullif(storage, F.lit("")), file), "^output/images/", "")
 
 
+def rare_words(facts: DataFrame, counts: DataFrame, shared: int) -> DataFrame:
+    """``facts`` once for each of its rarest words, all but ``shared - 1``; sets that share ``shared`` words share one of these.
+
+    ``counts`` has (w, n) for all words; ties sort by word, so both sides rank words alike.
+    """
+    each = facts.select("*", F.explode("words").alias("w")).join(counts, "w")
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("n", "w")))
+    return ranked.where(F.col("_r") <= F.size("words") - shared + 1).drop("_r", "n")
+
+
 def fact_conflicts(inside: DataFrame, outside: DataFrame, shared: int = 3, apart: float = 0.15) -> DataFrame:
     """(a, b): facts (id, unit, value, words) of two sides with one unit, ``shared`` words or more in common and values more than ``apart`` of the larger one different.
 
-    Facts meet on unit and word, so no product of the sides is made.
+    Ids are unique. Facts meet on unit and one of their rarest words only, so words that are
+    everywhere make no pairs; pairs are then verified on all words.
     """
-    a = inside.select(F.col("id").alias("a"), "unit", F.col("value").alias("x"), F.explode(F.array_distinct("words")).alias("w"))
-    b = outside.select(F.col("id").alias("b"), "unit", F.col("value").alias("y"), F.explode(F.array_distinct("words")).alias("w"))
-    met = a.join(b, ["unit", "w"]).groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
-    return met.where((F.col("n") >= shared) & (F.abs(F.col("x") - F.col("y")) > apart * F.greatest(F.abs("x"), F.abs("y")))).select("a", "b")
+    sides = [d.select("id", "unit", "value", F.array_distinct("words").alias("words")) for d in (inside, outside)]
+    counts = sides[0].unionByName(sides[1]).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    a, b = (rare_words(d, counts, shared) for d in sides)
+    a = a.select("w", "unit", F.col("id").alias("a"), F.col("value").alias("x"), F.col("words").alias("words_a"))
+    b = b.select("w", "unit", F.col("id").alias("b"), F.col("value").alias("y"), F.col("words").alias("words_b"))
+    met = a.join(b, ["unit", "w"]).where(F.abs(F.col("x") - F.col("y")) > apart * F.greatest(F.abs("x"), F.abs("y")))
+    return met.where(F.size(F.array_intersect("words_a", "words_b")) >= shared).select("a", "b").distinct()

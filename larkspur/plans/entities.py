@@ -84,5 +84,5 @@ def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), F.col("l_suppkey") % 10), F.col("l_linestatus"))
     sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") > 0).alias("inside"))
-    f = table(spark, sf_dir, "lineitem").join(sellers, "l_suppkey").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("id"), F.col("l_returnflag").alias("unit"), F.col("l_quantity").alias("value"), words.alias("words"), "inside")
-    return ops.fact_conflicts(f.where("inside"), f.where("NOT inside")).distinct()
+    f = table(spark, sf_dir, "lineitem").join(sellers, "l_suppkey").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("id"), F.col("l_returnflag").alias("unit"), F.col("l_quantity").alias("value"), words.alias("words"), "inside").dropDuplicates(["id"])
+    return ops.fact_conflicts(f.where("inside"), f.where("NOT inside"))
