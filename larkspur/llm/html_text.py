@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from larkspur.llm.common import cut_lineage, text_bytes
 
-#: A template row set of up to so many rows is sent to all executors; a larger one is joined.
+#: Hosts or templates of up to so many rows are sent to all executors; more are joined.
 BROADCAST_ROWS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -253,7 +253,8 @@ def site_templates(df: DataFrame, html_col: str, url_col: str, least_pages: int,
     subtrees = df.select(host_of(F.col(url_col)).alias("host"), html_col).mapInArrow(convert, "host string, h long, beside long")
     counts = cut_lineage(subtrees.distinct().groupBy("host", "h").count().where(F.col("h").isNull() | (F.col("count") >= least_pages)))
     pages = counts.where("h IS NULL").select("host", F.col("count").alias("pages"))
-    often = counts.where("h IS NOT NULL").join(pages, "host").where(F.col("count") >= least_share * F.col("pages"))
+    few = pages.count() <= BROADCAST_ROWS
+    often = counts.where("h IS NOT NULL").join(F.broadcast(pages) if few else pages, "host").where(F.col("count") >= least_share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("h").alias("templates"))
 
 
