@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,13 @@ def row_hash(*cols: str) -> list[Column]:
     return [F.xxhash64(*marked), F.xxhash64(F.lit(7), *reversed(marked))]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in parts of ``rows`` at most, so that a worker holds few of them as Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from larkspur.llm.common import text_bytes
+from larkspur.llm.common import slices, text_bytes
 
 #: The label of texts without a letter.
 NO_LANGUAGE = "und"
@@ -106,7 +106,7 @@ def classify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = [f.name for f in own].index(text_col)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [classify_text(model, x.decode("utf-8", "replace")) for x in text_bytes(batch.column(at))]
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [f.name for f in schema.fields])

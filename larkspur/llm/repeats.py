@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from larkspur.llm.column_bwt import repeated_starts
-from larkspur.llm.common import cut_lineage, row_hash, text_bytes
+from larkspur.llm.common import cut_lineage, row_hash, slices, text_bytes
 from larkspur.llm.minimizers import runs_of
 
 #: Bytes of text whose positions are hashed at once.
@@ -37,7 +37,7 @@ def cut_runs(rows: DataFrame, length: int) -> DataFrame:
     """(_a, _b, _at, m, c) for each run of window starts of each text: its range, the key of its windows and the hash of its bytes."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(2))
             sizes = np.cumsum([0, *map(len, texts)])
             cuts = [0, *np.searchsorted(sizes, np.arange(BUFFER, sizes[-1] + BUFFER, BUFFER)).tolist()]
@@ -57,7 +57,7 @@ def pack_texts(rows: DataFrame) -> DataFrame:
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches):
             z = pa.array([press.compress(x) for x in text_bytes(batch.column(len(names)))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], z], [*names, "_z"])
 
@@ -69,7 +69,7 @@ def slice_contents(wanted: DataFrame, length: int) -> DataFrame:
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches, 100):
             out: list[list] = [[], [], [], []]
             for z, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = unpress.decompress(z)
@@ -207,16 +207,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                out: list[list] = [[], [], [], [], []]
-                for z, r in zip(part.column(len(own)), part.column(len(own) + 1), strict=True):
-                    data = unpress.decompress(z.as_py())
-                    ranges = np.zeros(0, dtype=np.int64) if not r.is_valid else r.values.to_numpy(zero_copy_only=False)
-                    kept, removed, spans = without(data, ranges, length)
-                    for x, v in zip(out, (len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None), strict=True):
-                        x.append(v)
-                arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)][: len(extra)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *arrays], [*own, *(f.name for f in extra)])
+        for part in slices(batches):
+            out: list[list] = [[], [], [], [], []]
+            for z, r in zip(part.column(len(own)), part.column(len(own) + 1), strict=True):
+                data = unpress.decompress(z.as_py())
+                ranges = np.zeros(0, dtype=np.int64) if not r.is_valid else r.values.to_numpy(zero_copy_only=False)
+                kept, removed, spans = without(data, ranges, length)
+                for x, v in zip(out, (len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None), strict=True):
+                    x.append(v)
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)][: len(extra)]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *arrays], [*own, *(f.name for f in extra)])
 
     return joined.mapInArrow(finish, StructType([*(df.schema[c] for c in own), *extra]))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from larkspur.llm.common import cut_lineage, row_hash, text_bytes
+from larkspur.llm.common import cut_lineage, row_hash, slices, text_bytes
 from larkspur.llm.components import connected_components
 
 BITS = 64
@@ -42,7 +42,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [id_col, *carry]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(x, width, seed) for x in text_bytes(batch.column(len(own)))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*own, "fp"])
 
@@ -68,7 +68,7 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
         raise ValueError("the radius must be even")
     emitted = distinct.select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("variant"))
     met = emitted.withColumn("least", F.min("fp").over(Window.partitionBy("variant"))).where("fp <> least")
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= radius).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= radius).select(F.col("fp").alias("u"), F.col("least").alias("v"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
