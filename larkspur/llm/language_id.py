@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -42,14 +42,16 @@ def prepared(text: str) -> bytes:
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 32_768, sample_rows: int = 400, max_languages: int = 256, min_margin: int = 1, seed: int = 17) -> Model:
     """Learn a dictionary for each language of labelled ``rows`` (those with null text or label are left out).
 
-    The sample is bounded: about ``sample_rows`` rows a language are drawn by a hash of
-    their text, each gives up to its share of ``dictionary_bytes``, and more than
-    ``max_languages`` labels are an error. One pass counts the labels, a second reads the
-    sample; nothing else reaches the driver. No labelled row gives a model without
-    languages, which calls every text ``und``.
+    The sample is bounded: about ``sample_rows`` different texts a language are drawn by a
+    hash of their text, at most four times as many, each gives up to its share of
+    ``dictionary_bytes``, and more than ``max_languages`` labels are an error. A language
+    with little text has a short dictionary and leaves the others as they are. One pass
+    counts the labels, a second reads the sample; nothing else reaches the driver. No
+    labelled row gives a model without languages, which calls every text ``und``.
     """
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
+    digest = F.xxhash64("text", F.lit(seed))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(digest).alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
@@ -59,14 +61,15 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", diction
     rate: Column = F.lit(0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, int(min(1.0, sample_rows / n) * span)).otherwise(rate)
-    ticket = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(span))
-    sample = rows.where(ticket < rate).select("lang", F.substring("text", 1, each).alias("text"), ticket.alias("t"))
+    ticket = F.pmod("h", F.lit(span))
+    drawn = rows.withColumn("h", digest).where(ticket < rate).groupBy("lang", "h").agg(F.min(F.substring("text", 1, each)).alias("text"))
+    first = Window.partitionBy("lang").orderBy(ticket, "h")
+    sample = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 4 * sample_rows)
     parts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in sample.limit(4 * sample_rows * len(counts)).collect():
+    for r in sample.select("lang", "text", ticket.alias("t")).collect():
         parts.setdefault(r["lang"], []).append((r["t"], prepared(r["text"])))
     built = {lang: b"".join(dict.fromkeys(x for _, x in sorted(p)))[:dictionary_bytes] for lang, p in parts.items()}
-    size = max(256, min(len(d) for d in built.values()))
-    return Model(tuple((lang, d[:size]) for lang, d in sorted(built.items())), min_margin)
+    return Model(tuple(sorted(built.items())), min_margin)
 
 
 @lru_cache(maxsize=4)

@@ -40,6 +40,23 @@ def test_fit_is_bounded_and_needs_labels(spark):
         language_id.fit(spark.createDataFrame(rows, "text string, lang string"), max_languages=1)
 
 
+def test_a_rare_label_leaves_other_dictionaries_whole(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(f"word{i} text{i} ".translate(letters) * 20, "aa" if i % 2 else "bb") for i in range(400)] + [("short row", "cc")]
+    model = dict(language_id.fit(spark.createDataFrame(rows, "text string, lang string"), dictionary_bytes=2048).dictionaries)
+    assert len(model["cc"]) < 20 and len(model["aa"]) == len(model["bb"]) == 2048
+
+
+def test_copies_do_not_displace_languages(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(5000).select(F.concat(F.lit("copied text "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    hot = texts.orderBy(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20))).first().text
+    rows = [(hot, "aa")] * 2000 + [(f"word{'xyz'[i % 3] * (i + 1)}", "bb") for i in range(8)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").coalesce(1), sample_rows=8)
+    assert [k for k, _ in model.dictionaries] == ["aa", "bb"]
+
+
 def test_held_out_accuracy(spark):
     from larkspur.llm.queries import op6_language_id
 
