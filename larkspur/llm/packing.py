@@ -22,6 +22,8 @@ from larkspur.llm.common import cut_lineage, gapless_rank, pieces_for, text_byte
 KEY_BITS = 62
 #: What a piece is when it fills a window by itself, and the most pieces of a combination.
 DEPTH = 3
+#: Pieces shorter than so many units are put into bundles of up to so many units first, by their exact lengths.
+SHORT_UNITS, BUNDLE_UNITS = 4, 32
 
 
 @lru_cache(maxsize=2)
@@ -30,8 +32,12 @@ def encoder(vocabulary_path: str, pattern: str) -> tiktoken.Encoding:
 
     A token's id is its merge rank in such a file, which is verified; then ids by rank are
     the ids of the file's own library, at a fraction of its time. Special tokens are ordinary text.
+    Other normalizers or pre-tokenizers than the pattern on bytes are an error.
     """
-    model = json.loads(Path(vocabulary_path).read_text(encoding="utf-8"))["model"]
+    whole = json.loads(Path(vocabulary_path).read_text(encoding="utf-8"))
+    model, before = whole["model"], whole.get("pre_tokenizer") or {}
+    if whole.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("this vocabulary changes or splits texts in another way")
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -143,6 +149,26 @@ def plan(histogram: dict[int, int], bins: int, depth: int = DEPTH) -> list[tuple
     return chosen
 
 
+def places(chosen: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
+    """By size: first number of a run of pieces, its first window, and the slot in these windows."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    used: Counter[int] = Counter()
+    base = 0
+    for combination, repeats in chosen:
+        for slot, size in enumerate(combination):
+            found.setdefault(size, []).append((used[size], base, slot))
+            used[size] += repeats
+        base += repeats
+    return {s: tuple(np.array(x, dtype=np.int64).T) for s, x in found.items()}
+
+
+def placed_at(table: tuple[np.ndarray, ...], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window and slot of the pieces numbered ``rank``."""
+    starts, bases, slots = table
+    k = np.searchsorted(starts, rank, side="right") - 1
+    return bases[k] + rank - starts[k], slots[k]
+
+
 def pack_documents(df: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, unit: int = 16, end_id: int = 1, seed: int = 0, keep_ids: bool = True) -> DataFrame:
     """Pack the ids of all texts into sequences of at most ``window`` ids.
 
@@ -153,28 +179,31 @@ def pack_documents(df: DataFrame, vocabulary_path: str, pattern: str, id_col: st
 
     Pieces are made in one pass and checkpointed. Their lengths, rounded up to multiples of
     ``unit``, give a histogram of window / unit counts; only this reaches the driver, where
-    combinations are chosen (see ``plan``). Pieces of a size are numbered in random order,
-    in bounded parts, and a number tells the sequence. Null and empty texts have the end id
-    only; null ids are kept; repeated rows are packed each; no rows give no pieces; other
-    input columns are left out.
+    combinations are chosen (see ``plan``). Short pieces count by exact lengths there and are
+    bundled first; a bundle then counts like a piece. Pieces of a size are numbered in random
+    order, in bounded parts, and a number tells the sequence. Null and empty texts have the
+    end id only; null ids are kept; repeated rows are packed each; no rows give no pieces;
+    other input columns are left out.
     """
     bins = window // unit
+    bundle = min(BUNDLE_UNITS, bins) * unit
+    short = min(SHORT_UNITS * unit, bundle)
+    size = F.when(F.col("length") < short, -F.col("length")).otherwise(F.ceil(F.col("length") / unit)).cast("int")
     pieces = token_pieces(df, vocabulary_path, pattern, window, end_id, id_col, text_col, seed, keep_ids)
-    pieces = cut_lineage(pieces.withColumn("_size", F.ceil(F.col("length") / unit).cast("int")).withColumn("_row", F.monotonically_increasing_id()))
+    pieces = cut_lineage(pieces.withColumn("_size", size).withColumn("_row", F.monotonically_increasing_id()))
     histogram = {r["_size"]: r["count"] for r in pieces.groupBy("_size").count().collect()}
-    first: dict[int, list[int]] = {}
-    sequence: dict[int, list[int]] = {}
-    slots: dict[int, list[int]] = {}
-    used: Counter[int] = Counter()
+    bundles = plan({-s: n for s, n in histogram.items() if s < 0}, bundle, 0)
+    bundle_tables = places(bundles)
+    units = Counter({s: n for s, n in histogram.items() if s > 0})
+    whole: list[tuple[int, int, int]] = []
     base = 0
-    for combination, repeats in plan(histogram, bins):
-        for slot, size in enumerate(combination):
-            first.setdefault(size, []).append(used[size])
-            sequence.setdefault(size, []).append(base)
-            slots.setdefault(size, []).append(slot)
-            used[size] += repeats
+    for combination, repeats in bundles:
+        s = -(-sum(combination) // unit)
+        whole.append((base, s, units[s]))
+        units[s] += repeats
         base += repeats
-    tables = {s: tuple(np.array(x[s], dtype=np.int64) for x in (first, sequence, slots)) for s in first}
+    bundle_base, bundle_size, bundle_rank = np.array(whole, dtype=np.int64).reshape(-1, 3).T
+    tables = places(plan(dict(units), bins))
 
     bits = pieces_for(max(histogram.values(), default=0), 1, 512).bit_length() - 1
     ranked = gapless_rank(pieces.withColumn("_piece", F.shiftright("_key", KEY_BITS - bits)), ["_size"], ["_key", "_row"], "_piece", "_rank")
@@ -184,14 +213,19 @@ def pack_documents(df: DataFrame, vocabulary_path: str, pattern: str, id_col: st
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, rank = (batch.column(len(own) + i).to_numpy(zero_copy_only=False) for i in range(2))
+            size, rank = (np.array(batch.column(len(own) + i).to_numpy(zero_copy_only=False), dtype=np.int64) for i in range(2))
+            inner = np.zeros(len(size), dtype=np.int64)
+            for s in np.unique(size[size < 0]).tolist():
+                at = size == s
+                number, inner[at] = placed_at(bundle_tables[-s], rank[at])
+                k = np.searchsorted(bundle_base, number, side="right") - 1
+                rank[at] = bundle_rank[k] + number - bundle_base[k]
+                size[at] = bundle_size[k]
             ids, slot = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
             for s in np.unique(size).tolist():
                 at = size == s
-                starts, bases, where = tables[s]
-                k = np.searchsorted(starts, rank[at], side="right") - 1
-                ids[at], slot[at] = bases[k] + rank[at] - starts[k], where[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(ids), pa.array(slot)], [*own, "sequence_id", "_slot"])
+                ids[at], slot[at] = placed_at(tables[s], rank[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(ids), pa.array(slot * bundle + inner)], [*own, "sequence_id", "_slot"])
 
     placed = ranked.select(*own, "_size", "_rank").mapInArrow(place, schema)
     before = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

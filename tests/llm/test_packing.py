@@ -59,6 +59,22 @@ def test_whole_table_has_little_padding(spark, sf):
     assert tokens / (sequences * 2048) > 0.96
 
 
+def test_many_short_texts_fill_sequences(spark):
+    rows = [(i, None if i % 3 else "a b" * (i % 7)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens, sequences = check(rows, packing.pack_documents(df, PATH, public_tokenizers.PATTERN).collect())
+    assert sequences <= tokens / 2048 * 1.03 + 1
+
+
+def test_other_normalizers_are_refused(tmp_path):
+    import json
+
+    whole = json.load(open(PATH, encoding="utf-8"))
+    (tmp_path / "v.json").write_text(json.dumps(whole | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    with pytest.raises(ValueError):
+        packing.encoder(str(tmp_path / "v.json"), public_tokenizers.PATTERN)
+
+
 def test_plan_uses_up_the_histogram():
     rng = random.Random(1)
     for _ in range(20):
