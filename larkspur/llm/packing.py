@@ -31,8 +31,10 @@ def encoder(vocabulary_path: str, pattern: str) -> tiktoken.Encoding:
     """Encoder for a byte-level vocabulary file, which writes bytes as printable characters.
 
     A token's id is its merge rank in such a file, which is verified; then ids by rank are
-    the ids of the file's own library, at a fraction of its time. Special tokens are ordinary text.
-    Other normalizers or pre-tokenizers than the pattern on bytes are an error.
+    the ids of the file's own library, at a fraction of its time. Added tokens are found in
+    texts first, as that library does, and what is between them is encoded piece by piece.
+    Other normalizers or pre-tokenizers than the pattern on bytes are an error, and so are
+    added tokens that take the space or the words around them into account.
     """
     whole = json.loads(Path(vocabulary_path).read_text(encoding="utf-8"))
     model, before = whole["model"], whole.get("pre_tokenizer") or {}
@@ -45,7 +47,10 @@ def encoder(vocabulary_path: str, pattern: str) -> tiktoken.Encoding:
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
     if any(model["vocab"][m.replace(" ", "")] != 256 + i for i, m in enumerate(merges)):
         raise ValueError("the ids of this vocabulary are not its merge ranks")
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in whole.get("added_tokens") or ()}
+    if any(t.get(k) for t in whole.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip")) or any(a != b and a in b for a in added for b in added):
+        raise ValueError("added tokens of this vocabulary need more than a search for them")
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_pieces(df: DataFrame, vocabulary_path: str, pattern: str, window: int, end_id: int, id_col: str, text_col: str, seed: int, keep_ids: bool) -> DataFrame:
@@ -60,7 +65,7 @@ def token_pieces(df: DataFrame, vocabulary_path: str, pattern: str, window: int,
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 which, rows, kept = [], [], []
                 for k, data in enumerate(text_bytes(part.column(1))):
-                    ids = np.array([*own.encode_ordinary(data.decode("utf-8", "replace")), end_id], dtype="<u4")
+                    ids = np.array([*own.encode(data.decode("utf-8", "replace"), allowed_special="all"), end_id], dtype="<u4")
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
                         which.append(k)

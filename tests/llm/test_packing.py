@@ -14,13 +14,11 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def token_counts(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows}
 
 
 def check(rows, pieces, window=2048):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     wanted = sorted((str(d), zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for d, t in rows)
     documents, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -47,11 +45,20 @@ def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "<|endoftext|> x"), (4, "word " * 9000), (None, "é ü \n\n  z"), (5, "a" * 5000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
     check(rows, packing.pack_documents(df, PATH, public_tokenizers.PATTERN).collect())
+    assert packing.pack_documents(df.where("doc_id = 3"), PATH, public_tokenizers.PATTERN).first().ids == [50256, 2124, 1]
     twice = packing.pack_documents(df.union(df), PATH, public_tokenizers.PATTERN).collect()
     assert sum(p.length for p in twice) == 2 * sum({(p.doc_id, p.start): p.length for p in twice}.values())
     assert packing.pack_documents(df.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
 
 
+def test_added_tokens_are_found_as_the_library_does():
+    tokenizer, own = Tokenizer.from_file(PATH), packing.encoder(PATH, public_tokenizers.PATTERN)
+    token = "<|endoftext|>"
+    texts = [token, token * 3, f"a {token} b", f"in{token}side", f"  {token}\n\n  x  {token} ", f"<{token}>", token[:-1], token.upper(), f"don{token}'t", f"é😀{token}  {token}z", "<|" + token]
+    for text in texts:
+        assert own.encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_whole_table_has_little_padding(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     pieces = packing.pack_documents(docs, PATH, public_tokenizers.PATTERN).collect()
