@@ -63,12 +63,13 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     the radius share a variant, and all that share a variant are within the radius, so
     tying each to the least of its variant loses no link and makes no pairs within a group.
     A variant holds at most as many fingerprints as the ball has members, whatever the data.
-    Fingerprints are spread over all partitions first, as each becomes many rows.
+    Fingerprints are spread over all partitions first, as each becomes many rows; they are
+    dealt by a hash of their own, as rows grouped by fingerprint wouldn't be dealt again.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.select("fp").repartition(partitions, "fp")
+    spread = distinct.select("fp").repartition(partitions, F.xxhash64("fp", F.lit(partitions)))
     emitted = spread.select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("variant"))
     met = emitted.withColumn("least", F.min("fp").over(Window.partitionBy("variant"))).where("fp <> least")
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= radius).select(F.col("fp").alias("u"), F.col("least").alias("v"))
