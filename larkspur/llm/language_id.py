@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -30,8 +30,8 @@ class Model:
     """Dictionaries by language. Its size is bounded by the parameters of ``fit``."""
 
     dictionaries: tuple[tuple[str, bytes], ...]
-    min_margin: int
-    """A text is rejected if the second-best dictionary needs fewer bytes more than this."""
+    min_margin: float
+    """A text is rejected if the second-best dictionary needs less than this share of the best one's bytes more, or no byte."""
 
 
 def prepared(text: str) -> bytes:
@@ -39,35 +39,30 @@ def prepared(text: str) -> bytes:
     return (" " + NO_LETTERS.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace")
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 32_768, sample_rows: int = 400, max_languages: int = 256, min_margin: int = 1, seed: int = 17) -> Model:
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 32_768, sample_rows: int = 640, max_languages: int = 256, min_margin: float = 0.02, seed: int = 17) -> Model:
     """Learn a dictionary for each language of labelled ``rows`` (those with null text or label are left out).
 
-    The sample is bounded: about ``sample_rows`` different texts a language are drawn by a
-    hash of their text, at most four times as many, each gives up to its share of
-    ``dictionary_bytes``, and more than ``max_languages`` labels are an error. A language
-    with little text has a short dictionary and leaves the others as they are. One pass
-    counts the labels, a second reads the sample; nothing else reaches the driver. No
-    labelled row gives a model without languages, which calls every text ``und``.
+    The sample is bounded, at any size of the input: the different texts of a language are
+    dealt into ``sample_rows`` buckets by a hash, and each bucket gives the text of its least
+    hash, so copies count once and no language is lost. A text gives a piece from a place
+    that its hash tells, up to its share of ``dictionary_bytes``. A language with little text
+    has a short dictionary and leaves the others as they are. More than ``max_languages``
+    labels are an error. One pass finds the least hashes, which are counts on longs, a second
+    reads their texts; nothing else reaches the driver. No labelled row gives a model without
+    languages, which calls every text ``und``.
     """
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    digest = F.xxhash64("text", F.lit(seed))
-    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(digest).alias("n")).limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    langs = [r["lang"] for r in rows.select("lang").distinct().limit(max_languages + 1).collect()]
+    if len(langs) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    if not counts:
-        return Model((), min_margin)
     each = max(256, dictionary_bytes * 2 // sample_rows)
-    span = 1 << 20
-    rate: Column = F.lit(0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, int(min(1.0, sample_rows / n) * span)).otherwise(rate)
-    ticket = F.pmod("h", F.lit(span))
-    drawn = rows.withColumn("h", digest).where(ticket < rate).groupBy("lang", "h").agg(F.min(F.substring("text", 1, each)).alias("text"))
-    first = Window.partitionBy("lang").orderBy(ticket, "h")
-    sample = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 4 * sample_rows)
+    least = rows.groupBy("lang", F.pmod("h", F.lit(sample_rows)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - each + 1)).cast("int")
+    drawn = rows.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", begin + 1, F.lit(each))).alias("text"))
     parts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in sample.select("lang", "text", ticket.alias("t")).collect():
-        parts.setdefault(r["lang"], []).append((r["t"], prepared(r["text"])))
+    for r in drawn.collect():
+        parts.setdefault(r["lang"], []).append((r["h"], prepared(r["text"])))
     built = {lang: b"".join(dict.fromkeys(x for _, x in sorted(p)))[:dictionary_bytes] for lang, p in parts.items()}
     return Model(tuple(sorted(built.items())), min_margin)
 
@@ -92,8 +87,8 @@ def classify_text(model: Model, text: str) -> tuple[str, float, bool]:
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors(model))
     best = sizes[0][0]
     score = 1 / sum(math.exp2(max(-64.0, (best - s) / 2)) for s, _ in sizes)
-    margin = sizes[1][0] - best if len(sizes) > 1 else model.min_margin
-    return sizes[0][1], score, margin >= model.min_margin
+    clear = len(sizes) < 2 or sizes[1][0] - best >= max(1, model.min_margin * best)
+    return sizes[0][1], score, clear
 
 
 def classify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

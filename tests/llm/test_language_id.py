@@ -6,7 +6,7 @@ from larkspur.llm import language_id
 
 
 def small_model():
-    return language_id.Model((("aa", language_id.prepared("lorem ipsum dolor sit amet consectetur " * 30)), ("bb", language_id.prepared("quick brown foxes jump over lazy dogs " * 30))), 1)
+    return language_id.Model((("aa", language_id.prepared("lorem ipsum dolor sit amet consectetur " * 30)), ("bb", language_id.prepared("quick brown foxes jump over lazy dogs " * 30))), 0.02)
 
 
 def test_rows(spark):
@@ -23,13 +23,33 @@ def test_rows(spark):
 
 def test_smallest_encoding_wins_and_ties_are_rejected():
     model = small_model()
-    tie = language_id.Model((("aa", model.dictionaries[0][1]), ("bb", model.dictionaries[0][1])), 1)
+    tie = language_id.Model((("aa", model.dictionaries[0][1]), ("bb", model.dictionaries[0][1])), 0.02)
     assert language_id.classify_text(tie, "lorem ipsum")[0::2] == ("aa", False)
     for text in ("lorem foxes dolor", "brown", "ipsum jump"):
         sizes = {k: len(c.compress(language_id.prepared(text))) for k, c in language_id.compressors(model)}
         assert sizes[language_id.classify_text(model, text)[0]] == min(sizes.values())
 
 
+def test_narrow_margins_are_rejected():
+    model = small_model()
+    halves = ["lorem ipsum dolor sit amet consectetur quick brown foxes jump over lazy dogs " * n for n in (1, 2, 5)]
+    own = ["lorem ipsum dolor sit amet consectetur", "quick brown foxes jump over lazy dogs"]
+    for text in [*halves, *own, "zzzz qqqq", "lorem foxes"]:
+        sizes = sorted(len(c.compress(language_id.prepared(text))) for _, c in language_id.compressors(model))
+        assert language_id.classify_text(model, text)[2] == (sizes[1] - sizes[0] >= max(1, 0.02 * sizes[0])), text
+    assert all(language_id.classify_text(model, x)[2] for x in own) and not language_id.classify_text(model, "zzzz qqqq")[2]
+    wide = language_id.Model(model.dictionaries, 10.0)
+    assert not any(language_id.classify_text(wide, x)[2] for x in [*halves, *own])
+
+
+def test_the_sample_holds_every_language_whatever_its_rows(spark):
+    rows = [("uno dos tres " * 50 + "abcdefghij"[i % 10] * (i + 1), "es") for i in range(3)]
+    df = spark.range(20_000).selectExpr("concat('one two ', translate(cast(id as string), '0123456789', 'abcdefghij')) as text", "'en' as lang").union(spark.createDataFrame(rows, "text string, lang string"))
+    model = dict(language_id.fit(df.repartition(5), sample_rows=16).dictionaries)
+    assert set(model) == {"en", "es"} and model["en"].count(b"one two") == 16
+    assert language_id.fit(df.repartition(3), sample_rows=16) == language_id.fit(df.coalesce(1), sample_rows=16)
+
+
 def test_fit_is_bounded_and_needs_labels(spark):
     rows = [(f"word{i % 7} text{i}", "aa" if i % 2 else "bb") for i in range(400)] + [(None, "aa"), ("text", None)]
     model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), dictionary_bytes=2048)
