@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -15,57 +14,59 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import cut_lineage, row_hash
 from larkspur.llm.components import connected_components
 
-#: Half-widths of windows, in standard deviations of the projected difference of a pair at the threshold.
-GRID_REACH, COUNT_REACH = 2.5, 1.5
-#: Share of a unit vector's projections that the fullest cell of a grid axis holds, about.
-FULLEST = 0.4
+#: Half-width of a window, in standard deviations of the projected difference of a pair at the threshold.
+REACH = 1.2
+#: A cell is told by the signs of so many projections at least.
+LEAST_SIGNS = 6
+#: Rows of cells that are dealt with at once, and collisions that are counted at once.
+ROWS, COLLISIONS = 4_096, 2_000_000
 
 
 @dataclass(frozen=True)
 class Scheme:
     """Which projections there are, and what they are for.
 
-    Each of ``tables`` has ``axes`` projections that cut space into cells; ``counted`` more
-    are sorted within a cell, and a pair with ``least`` collisions or more is verified.
+    Each of ``tables`` has ``signs`` projections whose signs cut space into cells; ``counted``
+    more are sorted within a cell, and a pair with ``least`` collisions or more is verified.
     """
 
     cosine: float
     tables: int
-    axes: int
+    signs: int
     counted: int
     least: int
     seed: int
 
     @property
-    def sigma(self) -> float:
-        """A pair at the threshold has projections that differ by a normal variable of this deviation."""
-        return math.sqrt(2 - 2 * self.cosine)
+    def window(self) -> float:
+        """Half-width of a window: a pair at the threshold has projections that differ by a normal variable."""
+        return REACH * math.sqrt(2 - 2 * self.cosine)
 
     def directions(self, dimension: int) -> np.ndarray:
         rng = np.random.default_rng([self.seed, dimension])
-        return rng.standard_normal((dimension, self.tables * self.axes + self.counted))
+        return rng.standard_normal((dimension, self.counted + self.tables * self.signs))
 
-    def project(self, units: np.ndarray) -> np.ndarray:
-        """Projections of unit vectors; a vector has the same ones in any company."""
-        return np.einsum("nd,dp->np", units, self.directions(units.shape[1]))
+    def meets(self) -> float:
+        """Share of the pairs exactly at the threshold that share a cell in a table."""
+        return 1 - (1 - (1 - math.acos(self.cosine) / math.pi) ** self.signs) ** self.tables
 
     def recall(self) -> float:
         """Share of the pairs exactly at the threshold that are verified."""
-        inside = math.erf(GRID_REACH / math.sqrt(2)) ** self.axes
-        p = math.erf(COUNT_REACH / math.sqrt(2))
-        enough = sum(math.comb(self.counted, i) * p**i * (1 - p) ** (self.counted - i) for i in range(self.least, self.counted + 1))
-        return (1 - (1 - inside) ** self.tables) * enough
+        p = math.erf(REACH / math.sqrt(2))
+        return self.meets() * sum(math.comb(self.counted, i) * p**i * (1 - p) ** (self.counted - i) for i in range(self.least, self.counted + 1))
 
 
 def scheme_for(largest: int, cosine: float, recall: float, counted: int, cell_rows: int, seed: int) -> Scheme:
-    """Axes so that the fullest cell of ``largest`` vectors has about ``cell_rows``, then tables and count for ``recall``."""
-    axes = min(8, max(0, math.ceil(math.log(max(1.0, largest / cell_rows)) / -math.log(FULLEST))))
-    for tables in range(1, 9):
-        for least in range(counted, 0, -1):
-            scheme = Scheme(cosine, tables, axes, counted, least, seed)
-            if scheme.recall() >= recall:
-                return scheme
-    raise ValueError("this recall can't be reached")
+    """Signs so that a cell of ``largest`` vectors in all directions has about ``cell_rows``, then tables and count for ``recall``.
+
+    The chance to miss a pair is divided among both. Tables grow with a tenth power of ``largest``.
+    """
+    signs = max(LEAST_SIGNS, math.ceil(math.log2(max(1.0, largest / cell_rows))))
+    tables = next(t for t in range(1, 1_000) if Scheme(cosine, t, signs, counted, counted, seed).meets() >= 1 - (1 - recall) / 2)
+    fitting = (s for least in range(counted, 0, -1) if (s := Scheme(cosine, tables, signs, counted, least, seed)).recall() >= recall)
+    if (found := next(fitting, None)) is None:
+        raise ValueError("this recall can't be reached")
+    return found
 
 
 def unit_vectors(column: pa.Array) -> np.ndarray:
@@ -77,100 +78,134 @@ def unit_vectors(column: pa.Array) -> np.ndarray:
 
 
 def cells_of(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """A row for each cell that a vector's windows touch, in each table; ``own`` marks the cell that the vector lies in."""
-    kind = nodes.schema["v"].dataType.simpleString()
-    width, reach = 2 * GRID_REACH * scheme.sigma, GRID_REACH * scheme.sigma + 1e-9
+    """The columns of ``nodes`` and cells: the number of the vector's cell in each table."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                x = scheme.project(unit_vectors(part.column("v")))[:, : scheme.tables * scheme.axes].reshape(part.num_rows, scheme.tables, scheme.axes)
-                low, high, home = np.floor((x - reach) / width), np.floor((x + reach) / width), np.floor(x / width)
-                which, table, cell, own = [], [], [], []
-                for t in range(scheme.tables):
-                    for shifts in product(range(2), repeat=scheme.axes):
-                        at = low[:, t] + np.array(shifts).reshape(1, -1)
-                        good = np.flatnonzero((at <= high[:, t]).all(axis=1))
-                        which.append(good)
-                        table.append(np.full(len(good), t))
-                        cell.append(at[good].astype(np.int64))
-                        own.append((at[good] == home[good, t]).all(axis=1))
-                number = (np.concatenate(cell) % 128 * 128 ** np.arange(scheme.axes, dtype=np.int64)).sum(axis=1).astype(np.int64)
-                taken = part.take(pa.array(np.concatenate(which)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(table), pa.int32()), pa.array(number), pa.array(np.concatenate(own))], [*taken.schema.names, "t", "cell", "own"])
-
-    names = "node long, weight long, v " + kind + ", size int, label string, t int, cell long, own boolean"
+                x = np.einsum("nd,dp->np", unit_vectors(part.column("v")), scheme.directions(int(size))[:, scheme.counted :])
+                bits = (x > 0).reshape(part.num_rows, scheme.tables, scheme.signs)
+                cells = bits @ (np.int64(1) << np.arange(scheme.signs))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(cells), pa.list_(pa.int64()))], [*part.schema.names, "cells"])
+
+    names = f"node long, weight long, v {nodes.schema['v'].dataType.simpleString()}, size int, label string, cells array<long>"
     return nodes.select("node", "weight", "v", "size", "label").mapInArrow(convert, names)
 
 
-def links_in_cell(units: np.ndarray, nodes: np.ndarray, weights: np.ndarray, data: np.ndarray, queries: np.ndarray, table: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of each row: weight of the data linked to it as a query, and the node that names its component here (-1: no link).
+def colliding(values: np.ndarray, group: np.ndarray, side: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, datum) row numbers of the pairs within a group that collide on enough projections, some queries at a time.
 
-    For each query, the windows around its projections are runs of the sorted data. Pairs
-    that an earlier table meets are left to that table.
+    Rows of side 0 are queries, those of side 1 data; among rows of side 2 each pair comes
+    once. A group's projections are moved apart from the next one's, so one sort does for all.
     """
-    x = scheme.project(units)
-    grid, counted = x[:, : scheme.tables * scheme.axes].reshape(len(x), scheme.tables, scheme.axes), x[:, scheme.tables * scheme.axes :]
-    reach, window = GRID_REACH * scheme.sigma, COUNT_REACH * scheme.sigma
-    orders = [data[np.argsort(counted[data, j], kind="stable")] for j in range(scheme.counted)]
-    bounds = []
-    for j, order in enumerate(orders):
-        values = counted[order, j]
-        bounds.append((np.searchsorted(values, counted[queries, j] - window, "left").tolist(), np.searchsorted(values, counted[queries, j] + window, "right").tolist()))
-    links, parent = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    n = len(values)
+    queries, data = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    placed = values + (group * (4 * np.abs(values).max(initial=0) + 4 * scheme.window + 1))[:, None]
+    orders = [data[np.argsort(placed[data, j])] for j in range(scheme.counted)]
+    low = np.stack([np.searchsorted(placed[o, j], placed[queries, j] - scheme.window, "left") for j, o in enumerate(orders)])
+    high = np.stack([np.searchsorted(placed[o, j], placed[queries, j] + scheme.window, "right") for j, o in enumerate(orders)])
+    widths = (high - low).sum(axis=0)
+    part = np.cumsum(widths) // COLLISIONS
+    for lo, hi in zip(*(np.searchsorted(part, np.unique(part), how) for how in ("left", "right")), strict=True):
+        codes = []
+        for order, first, count in zip(orders, low[:, lo:hi], high[:, lo:hi] - low[:, lo:hi], strict=True):
+            at = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+            q, d = np.repeat(queries[lo:hi], count), order[at]
+            once = (q < d) | (side[q] != 2)
+            codes.append(q[once] * n + d[once])
+        pairs, met = np.unique(np.concatenate(codes), return_counts=True)
+        pairs = pairs[met >= scheme.least]
+        yield pairs // n, pairs % n
+
+
+def join_ends(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Make the ends of all edges (u, v) have one root in the forest ``parent``."""
 
     def roots(i: np.ndarray) -> np.ndarray:
-        while True:
-            up = parent[i]
-            if (up == i).all():
-                return i
+        while ((up := parent[i]) != i).any():
             parent[i] = parent[up]
             i = up
+        return i
+
+    while len(u):
+        u, v = roots(u), roots(v)
+        apart = u != v
+        u, v = u[apart], v[apart]
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+
 
-    linked = np.zeros(len(x), dtype=bool)
-    for k, q in enumerate(queries.tolist()):
-        met = np.bincount(np.concatenate([order[low[k] : high[k]] for order, (low, high) in zip(orders, bounds, strict=True)]), minlength=len(x))
-        found = np.flatnonzero(met >= scheme.least)
-        found = found[(nodes[found] != nodes[q]) & (units[found] @ units[q] >= scheme.cosine)]
-        if len(found):
-            within = (np.abs(grid[found] - grid[q]) <= reach).all(axis=2)
-            found = found[within[:, table] & ~within[:, :table].any(axis=1)]
-        if len(found):
-            links[q] += weights[found].sum()
-            linked[found] = linked[q] = True
-            r = np.unique(roots(np.append(found, q)))
-            parent[r] = r[0]
-    names = np.full(len(x), -1)
-    some = np.flatnonzero(linked)
-    names[some] = nodes[roots(some)]
-    return links, names
+def links_of(part: pa.Table, group: np.ndarray, scheme: Scheme) -> pa.RecordBatch:
+    """(node, links, root) of the linked rows of whole groups: weight of the others, and the node that names its component here.
+
+    Pairs that meet in an earlier table are left to that table.
+    """
+    nodes, weights, side, table = (np.array(part.column(c).to_numpy(), dtype=np.int64) for c in ("node", "weight", "side", "t"))
+    units = unit_vectors(part.column("v").combine_chunks())
+    cells = part.column("cells").combine_chunks().flatten().to_numpy().reshape(len(nodes), scheme.tables)
+    links, parent, some = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes)), np.zeros(len(nodes), dtype=bool)
+    earlier = np.arange(scheme.tables) < table[:, None]
+    for q, d in colliding(units @ scheme.directions(units.shape[1])[:, : scheme.counted], group, side, scheme):
+        for i in range(0, len(q), 50_000):
+            u, v = q[i : i + 50_000], d[i : i + 50_000]
+            good = (np.einsum("nd,nd->n", units[u], units[v]) >= scheme.cosine) & ~((cells[u] == cells[v]) & earlier[u]).any(axis=1)
+            u, v = u[good], v[good]
+            np.add.at(links, u, weights[v])
+            np.add.at(links, v, weights[u])
+            some[u] = some[v] = True
+            join_ends(parent, u, v)
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    some = np.flatnonzero(some)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some]), pa.array(nodes[parent[some]])], ["node", "links", "root"])
 
 
 def linked(cells: DataFrame, scheme: Scheme, block_rows: int) -> DataFrame:
-    """(node, links, root) from every cell. Crowded cells are split into blocks of data and of queries, each pair of which is one group."""
+    """(node, links, root) from every cell. Crowded cells are split into blocks, each pair of which is one group."""
     key = ["size", "label", "t", "cell"]
-    crowded = cells.groupBy(*key).agg(F.sum(F.col("own").cast("long")).alias("d"), F.count("*").alias("q")).where((F.col("d") > block_rows) | (F.col("q") > 4 * block_rows))
-    crowded = cut_lineage(crowded.select(*key, F.ceil(F.greatest(F.col("d"), F.lit(1)) / block_rows).cast("int").alias("nd"), F.ceil(F.col("q") / (4 * block_rows)).cast("int").alias("nq")))
-    rows = cells.join(crowded, key, "left").withColumns({"nd": F.coalesce("nd", F.lit(1)), "nq": F.coalesce("nq", F.lit(1))})
-    ticket = F.xxhash64("node")
-    mine = F.struct(F.pmod(ticket, "nd").cast("int").alias("d"), F.pmod(ticket, "nq").cast("int").alias("q"))
-    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    as_query = F.transform(span("nd"), lambda d: F.struct(d.alias("d"), mine["q"].alias("q"), F.lit(False).alias("data")))
-    as_data = F.when(F.col("own"), F.transform(span("nq"), lambda q: F.struct(mine["d"].alias("d"), q.alias("q"), F.lit(True).alias("data")))).otherwise(F.array().cast("array<struct<d:int,q:int,data:boolean>>"))
-    dealt = rows.select("node", "weight", "v", *key, F.explode(F.concat(as_query, as_data)).alias("b")).select("node", "weight", "v", *key, "b.d", "b.q", "b.data")
-
-    def settle(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        data = group.column("data").to_numpy()
-        nodes = group.column("node").to_numpy()
-        units = unit_vectors(group.column("v").combine_chunks())
-        links, roots = links_in_cell(units, nodes, group.column("weight").to_numpy(), np.flatnonzero(data), np.flatnonzero(~data), group.column("t")[0].as_py(), scheme)
-        some = np.flatnonzero(roots >= 0)
-        return pa.table({"node": nodes[some], "links": links[some], "root": roots[some]})
-
-    return dealt.groupBy(*key, "d", "q").applyInArrow(settle, "node long, links long, root long")
+    entered = cells.select("*", F.posexplode("cells").alias("t", "cell"))
+    crowded = entered.groupBy(*key).count().where(F.col("count") > block_rows)
+    crowded = cut_lineage(crowded.select(*key, F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
+    rows = entered.join(crowded, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    side = lambda o: F.when(o == mine, 2).when(mine < o, 0).otherwise(1)
+    dealt = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"), side(o).alias("side")))
+    group = [*key, "i", "j"]
+    dealt = rows.select("node", "weight", "v", "cells", *key, F.explode(dealt).alias("b")).select("node", "weight", "v", "cells", *key, "b.i", "b.j", "b.side")
+    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            """What is held but for its last group, which may go on in the next batch."""
+            table = pa.Table.from_batches(held)
+            new = np.zeros(table.num_rows, dtype=bool)
+            for name in group:
+                column = table.column(name).combine_chunks()
+                codes = column.dictionary_encode().indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            stop = table.num_rows if last else int(starts[-1])
+            sizes = table.column("size").to_numpy()
+            cuts = [0]
+            for s in [*starts[starts <= stop].tolist(), stop]:
+                if s > cuts[-1] and (s - cuts[-1] >= ROWS or s == stop or sizes[s] != sizes[s - 1]):
+                    cuts.append(s)
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                yield links_of(table.slice(lo, hi - lo), np.cumsum(new[lo:hi]), scheme)
+            held[:] = table.slice(stop).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(x.num_rows for x in held) >= 2 * ROWS:
+                    yield from whole(False)
+        if held:
+            yield from whole(True)
+
+    return dealt.repartition(partitions, *group).sortWithinPartitions(*group).mapInArrow(settle, "node long, links long, root long")
 
 
 def usable(v: Column) -> Column:
@@ -179,7 +214,7 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, number) & F.exists(v, lambda x: x != 0)
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, recall: float = 0.995, counted: int = 24, cell_rows: int = 1_500, block_rows: int = 4_096, seed: int = 3) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, recall: float = 0.995, counted: int = 24, cell_rows: int = 128, block_rows: int = 2_048, seed: int = 3) -> DataFrame:
     """(id_col, n_links, component_id, kept) of each vector; links join vectors of one label with at least ``cosine``.
 
     Vectors that are null, zero or have null or non-finite components, and vectors without a
@@ -187,12 +222,15 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows linked directly; component_id is the smallest id reachable; kept says that it is
     the own one. Rows without an id take part and are never kept.
 
-    Equal vectors of a label are one node with a weight. Projections of each table cut
-    space into cells as wide as a window, so a query visits the cells around it; there its
-    windows on the sorted projections are counted, and every pair with enough collisions is
-    verified in double precision. The count and the number of tables follow from ``recall``,
-    which pairs exactly at the threshold have; closer ones have more. Cells with more than
-    ``block_rows`` vectors are split in blocks, whose links are added up, so none is lost.
+    Equal vectors of a label are one node with a weight. The signs of a few projections put
+    a vector into one cell of each table. In a cell, the windows around a query's projections
+    are runs of the sorted ones; the collisions in these runs are counted for each pair, and
+    every pair with enough of them is verified in double precision. The number of tables and
+    the count follow from ``recall``, which pairs exactly at the threshold have; closer ones
+    have more. A cell has about ``cell_rows`` vectors at any size of the input; cells with
+    more than ``block_rows`` are split in blocks, each pair of which is a group of its own,
+    and their links are added up, so none is lost. A link is made in a cell and only its two
+    ends' sums leave it, so large groups of near copies make no pairs.
     Only the largest label's size and the links' sums leave the executors.
     """
     kind = df.schema[vector_col].dataType.elementType.simpleString()
