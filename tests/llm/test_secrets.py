@@ -2,11 +2,16 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 from collections import Counter
 
 from larkspur.llm import secrets
 
 
+BASE64 = string.ascii_letters + string.digits + "+/"
+
+
 def entropy(word, window):
     best = 0.0
     for i in range(len(word) - window + 1):
@@ -16,7 +21,7 @@ def entropy(word, window):
 
 
 def secret(word):
-    if any(re.search(p, word) for p in secrets.ALLOWED):
+    if any(re.search(p, word) for p in secrets.ALLOWED) or all(re.fullmatch(r"([A-Za-z]{1,15}[0-9]{0,4}|[0-9]{1,8})?", x) for x in re.split(r"[/_=+-]+", word)):
         return False
     for c in secrets.CLASSES:
         if re.search(c.pattern, word):
@@ -46,7 +51,7 @@ def run(spark, rows):
 
 def test_edges(spark):
     rng = random.Random(4)
-    b64 = "".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(40))
+    b64 = "".join(rng.choice(BASE64) for _ in range(40))
     texts = [None, "", "token=token : abcdef", "token = 'abc' secret:abcdef", "TOKEN: abcdefgh1 Api_Key='zzzzzz'", "AKIA" + "A" * 16, "AKIA" + "A" * 15, "xAKIAAKIA" + "B2" * 8, "f" * 24 + " " + "a" * 23, "é😀 token=abcdef " + "0123456789abcdef" * 3]
     texts += [b64, f"key {b64}\n{b64} end", "123e4567-e89b-12d3-a456-426614174000", "2024-01-02/2024-01-03-12345678", "path/to/file1/with_many_parts/x2", "sha256-" + b64, "word " * 20_000 + f"secret={b64}", "token=" * 50, "a1" * 300, "x" * 3000]
     rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[4])]
@@ -59,6 +64,23 @@ def test_edges(spark):
     assert run(spark, []) == ([], [])
 
 
+def test_long_candidates_and_many_matches(spark):
+    rng = random.Random(9)
+    letters = "".join(rng.choice(string.ascii_letters) for _ in range(44))
+    late = "".join(rng.choice(string.ascii_letters) for _ in range(90)) + "7" + "abcdef"
+    blob = "".join(rng.choice(BASE64) for _ in range(30_000))
+    mixed = " ".join(f"é token=abc{i}x {'f' * 24} AKIA{'Q' * 16} password: {i:024x}" for i in range(5_000))
+    texts = ["ab1-" * 20_000, "token=abcdef1 " * 100_000, late, letters, "a" + blob + "é", mixed, "secret=" * 20_000, "getElementByIdAndClassNameOrNull", "x" * 200_000, f"x1{letters * 3}"]
+    began = time.monotonic()
+    got, cleaned = run(spark, list(enumerate(texts)))
+    assert time.monotonic() - began < 120
+    for (i, spans), text in zip(sorted(got), texts, strict=True):
+        assert spans == plain(text)[4], i
+    cleaned = dict(cleaned)
+    assert cleaned[1] == "[SECRET] " * 100_000 and [cleaned[i] for i in (2, 3, 4)] == ["[SECRET]", "[SECRET]", "[SECRET]é"]
+    assert cleaned[7] == texts[7] and cleaned[0] == texts[0]
+
+
 def test_whole_table(spark, sf):
     from larkspur.llm.queries import op7_secret_entropy
 
