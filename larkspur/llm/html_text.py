@@ -42,6 +42,8 @@ FURNITURE = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_WHOLE = frozenset("html body main article".split())
+#: Elements whose subtrees are counted. Marks inside a line, such as a word in bold, are only templates with all that is around them.
+COUNTED = (BLOCKS | DROPPED) - KEPT_WHOLE
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -162,10 +164,12 @@ def unwanted(tag: str, attributes: str) -> bool:
 
 
 def main_text(page: Page, templates: set[int]) -> str:
-    """Text blocks of the main part without furniture and without subtrees that are templates of the site.
+    """Text blocks of the main part without subtrees that are templates of the site and without other furniture.
 
-    The main part is the article with the most text, else the main element, else the body.
-    Of a header inside an article only headings are kept.
+    Templates go first, whatever their tags; tags and marks tell furniture that changes from
+    page to page, such as comments, and that of hosts with few pages. The main part is then
+    the article with the most text left, else the main element, else the body. Of a header
+    inside an article only headings are kept.
     """
     sizes, parents = [0] * len(page.tags), page.parents
     gone = [t not in KEPT_WHOLE and (h in templates or unwanted(t, a)) for t, a, h in zip(page.tags, page.attributes, page.hashes, strict=True)]
@@ -244,7 +248,7 @@ def site_templates(df: DataFrame, html_col: str, url_col: str, least_pages: int,
                 page = parse(data.decode("utf-8", "replace"))
                 own = next((h for t, h in zip(page.tags, page.hashes, strict=True) if t in ("article", "main")), None)
                 own = own if own is not None else page.hashes[0] if page.hashes else 0
-                subtrees = {h for t, h in zip(page.tags, page.hashes, strict=True) if t not in KEPT_WHOLE and t not in VOID and t not in DROPPED}
+                subtrees = {h for t, h in zip(page.tags, page.hashes, strict=True) if t in COUNTED}
                 which += [k] * (len(subtrees) + 1)
                 found += [None, *subtrees]
                 beside += [own] * (len(subtrees) + 1)

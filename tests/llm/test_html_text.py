@@ -37,6 +37,24 @@ def test_templates_of_a_host_go_and_copies_stay(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+def test_templates_alone_remove_the_furniture(spark):
+    menu = "<section><b>Home</b> <i>World</i> <u>Sport</u></section>"
+    top, side, end = "<div><p>The Daily Site</p></div>", "<div><ul><li>Most read<li>Weather</ul></div>", "<div>All rights <b>reserved</b> 2024</div>"
+    story = lambda i: f"<div><h1>Title {i}</h1><p>Some <b>bold</b> words of story {i}.<p>And more of <i>number</i> {i}</div>"
+    page = lambda i: f"<html><body>{menu}{top}{story(i)}{side if i % 2 else ''}{end}</body></html>"
+    rows = [(i, f"http://many.example/{i}", page(i)) for i in range(20)] + [(100 + i, f"http://few.example/{i}", page(i)) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    clean = lambda i: f"Title {i}\nSome bold words of story {i}.\nAnd more of number {i}"
+    assert all(got[i] == clean(i) for i in range(20))
+    assert all(got[100 + i] == html_text.main_text(html_text.parse(page(i)), set()) and clean(i) in got[100 + i] for i in range(2))
+
+
+def test_long_pages(spark):
+    rows = [(i, f"http://long.example/{i}", f"<body><div>menu</div>{''.join(f'<p>line {k} of {i}' for k in range(30_000))}</body>") for i in range(6)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.split("\n") == [f"line {k} of {r.page_id}" for k in range(30_000)] for r in got)
+
+
 def test_whole_table_against_the_articles(spark, sf):
     from larkspur.llm.queries import op5_html_templates
 
