@@ -58,20 +58,34 @@ def rolling_ratio(daily: DataFrame, key: Sequence[str], order: str, part: str, w
     return F.try_divide(F.sum(part).over(w), F.sum(whole).over(w))
 
 
+def updated_means(known: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, mean, n): running means (columns mean, n) after further values, (mean x n + sum) / (n + count); keys of either side."""
+    added = new.groupBy(key).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    both = known.select(key, "mean", "n").join(added, key, "full")
+    n = F.coalesce("n", F.lit(0)) + F.coalesce("_c", F.lit(0))
+    total = F.coalesce(F.col("mean") * F.col("n"), F.lit(0.0)) + F.coalesce("_s", F.lit(0.0))
+    return both.select(key, F.try_divide(total, n).alias("mean"), n.alias("n"))
+
+
 def within_budget(df: DataFrame, key: Sequence[str], order: Sequence[Column], cost: str, budget: int) -> DataFrame:
     """Rows of each key, in order, as long as the running cost stays within ``budget``; the first that doesn't ends it."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
 
 
-def round_robin(df: DataFrame, kind: str, order: str) -> DataFrame:
-    """``df`` with ``turn``: the first row of every kind, then the second, kinds in the order of their first row.
+def round_robin(df: DataFrame, kind: str, order: str, piece: Column) -> DataFrame:
+    """``df`` with ``turn`` and ``kind_first``: the first row of every kind, then the second, kinds in the order of their first row.
 
-    A kind is numbered by itself; the turn is (number in kind, first row of kind), so no task sees all rows.
+    Kinds are few and may be large, so each is numbered in pieces: ``piece`` is a number that
+    grows with ``order`` and has a bounded count of rows. Pieces are counted, their starts
+    come from a running sum over the counts, and rows are numbered inside a piece only.
     """
-    n = F.row_number().over(Window.partitionBy(kind).orderBy(order))
-    first = F.min(order).over(Window.partitionBy(kind))
-    return df.withColumns({"turn": n, "kind_first": first})
+    cut = df.withColumn("_piece", piece)
+    counts = cut.groupBy(kind, "_piece").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    ahead = Window.partitionBy(kind).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(kind, "_piece", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"), F.min("_first").over(Window.partitionBy(kind)).alias("kind_first"))
+    n = F.row_number().over(Window.partitionBy(kind, "_piece").orderBy(order))
+    return cut.withColumn("_in", n).join(starts, [kind, "_piece"]).withColumn("turn", F.col("_start") + F.col("_in")).drop("_piece", "_in", "_start")
 
 
 def due_by_day(df: DataFrame, due: str, days: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,16 @@ def synthetic_id(text: Column) -> Column:
     return F.concat(F.lit("REGEX_"), F.substring(F.md5(F.lower(text)), 1, 8))
 
 
+def normalised(text: Column, abbreviations: Mapping[str, str]) -> Column:
+    """An entity's name in lower case without a leading article, with words that are abbreviations written out, and with single spaces."""
+    bare = F.regexp_replace(F.trim(F.lower(text)), r"^(the|a|an)\s+", "")
+    if abbreviations:
+        known = F.create_map(*(F.lit(x.lower() if k % 2 == 0 else x) for k, x in enumerate(y for pair in abbreviations.items() for y in pair)))
+        parts = F.regexp_extract_all(bare, F.lit(r"[\p{L}0-9_]+|[^\p{L}0-9_]+"), F.lit(0))
+        bare = F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(known, w), w)), "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
 def map_ids(links: DataFrame, chunk_ids: DataFrame, image_ids: DataFrame) -> DataFrame:
     """``links`` (chunk, image, ...) with the stored ids of both maps (outer, id); links without either are dropped."""
     c = chunk_ids.select(F.col("outer").alias("chunk"), F.col("id").alias("chunk_id"))

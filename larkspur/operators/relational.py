@@ -128,3 +128,16 @@ def band_join(left: DataFrame, right: DataFrame, key: str, a: str, b: str, width
     """
     spread = right.withColumn("_bucket", F.explode(F.array(*(F.floor(F.col(b) / width) + d for d in (-1, 0, 1)))))
     return left.withColumn("_bucket", F.floor(F.col(a) / width)).join(spread, [key, "_bucket"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_bucket")
+
+
+def weighted_sample(df: DataFrame, category: str, weights: Mapping[object, float], n: int, order: Sequence[str]) -> DataFrame:
+    """``n`` rows: of each category the whole part of ``n`` times its weight, one at least, then others, first by ``order``.
+
+    ``order`` stands for chance, such as a hash, and ends in a unique column. Only the first
+    ``n`` of a category are looked at beyond their share.
+    """
+    share = F.lit(0)
+    for value, weight in weights.items():
+        share = F.when(F.col(category) == value, max(1, int(n * weight))).otherwise(share)
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy(*order))).where(F.col("_n") <= n)
+    return ranked.orderBy(F.desc(F.col("_n") <= share), *order).limit(n).drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import jaccard
-from larkspur.functions.vector import cosine
+from larkspur.functions.vector import cosine, dot
 
 #: Fixed values of the score chain.
 RRF_K = 60
+#: Queries in a block of a search for many.
+QUERY_BLOCK = 256
 TYPE_BOOST = 1.15
 CUI_BOOST = 1.2
 AUTHORITY_BASE, AUTHORITY_RATE = 0.7, 0.15
@@ -29,23 +31,56 @@ INTENTS = {
 }
 
 
-def scored(df: DataFrame, query: DataFrame, vector: str = "embedding", name: str = "similarity") -> DataFrame:
-    """``df`` with its cosine to the vector of ``query``, which has one row and one column."""
-    q = query.select(F.col(query.columns[0]).alias("_q"))
-    return df.join(F.broadcast(q)).withColumn(name, cosine(F.col(vector), F.col("_q"))).drop("_q")
+def gathered(queries: DataFrame, member: Column) -> DataFrame:
+    """Blocks of about QUERY_BLOCK of ``queries`` (query_id ...), each an array _qs of ``member``. A row then meets blocks and not single queries."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    return queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(member).alias("_qs")).select("_qs")
 
 
-def top_k(df: DataFrame, score: str, tie: str, k: int, least: float | None = None, stage: str = "before") -> DataFrame:
-    """The ``k`` best rows; a least score applies before the limit, or after it, which may leave fewer. None means no least score; 0.0 is one."""
+def matches(df: DataFrame, queries: DataFrame, score: Callable[[Column], Column], least: float, name: str = "similarity") -> DataFrame:
+    """``df`` with query_id and a score for each of ``queries`` (query_id, q) where ``score`` of its q is ``least`` or more."""
+    each = F.transform("_qs", lambda x: F.struct(x["query_id"].alias("query_id"), score(x["q"]).alias("s")))
+    met = df.crossJoin(gathered(queries, F.struct("query_id", "q"))).withColumn("_x", F.explode(F.filter(each, lambda x: x["s"] >= least)))
+    return met.select("_x.query_id", *df.columns, F.col("_x.s").alias(name))
+
+
+def scored(df: DataFrame, queries: DataFrame, vector: str = "embedding", name: str = "similarity") -> DataFrame:
+    """``df`` once for each of ``queries`` (query_id, q), with query_id and the cosine of its vector to ``q``.
+
+    Queries are gathered in blocks of about QUERY_BLOCK, so a row of ``df`` meets blocks and
+    not single queries; Spark sends the blocks to all executors only if their size allows.
+    A vector's own length is computed once, not once for each pair.
+    """
+    member = F.struct("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"), dot(F.col("q"), F.col("q")).alias("qq"))
+
+    def score(x: Column) -> Column:
+        size = F.sqrt(F.col("_vv") * x["qq"])
+        return F.struct(x["query_id"].alias("query_id"), F.when(size > 0, dot(F.col(vector), x["q"]) / size).otherwise(0.0).alias("s"))
+
+    met = df.withColumn("_vv", dot(F.col(vector), F.col(vector))).crossJoin(gathered(queries, member))
+    return met.withColumn("_x", F.explode(F.transform("_qs", score))).select("_x.query_id", *df.columns, F.col("_x.s").alias(name))
+
+
+def top_k(df: DataFrame, score: str, tie: str, k: int, least: float | None = None, stage: str = "before", key: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` best rows of each ``key``, or of all; a least score applies before the limit, or after it, which may leave fewer. None means no least score; 0.0 is one."""
     if stage not in ("before", "after"):
         raise ValueError("stage is before or after")
     keep = F.lit(True) if least is None else F.col(score) >= least
     if stage == "before":
         df = df.where(keep)
-    best = df.orderBy(F.desc(score), tie).limit(k)
+    if key:
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(score), tie))
+        best = df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    else:
+        best = df.orderBy(F.desc(score), tie).limit(k)
     return best if stage == "before" else best.where(keep)
 
 
+def over_fetch(k: int, filtered: bool, hybrid: bool = False) -> int:
+    """How many candidates a search for ``k`` results takes: ten times as many with filters that come later, else three times for hybrid and twice for plain ones."""
+    return k * (10 if filtered else 3 if hybrid else 2)
+
+
 def step_boost(concepts: Column, asked: Column, boost: float = CUI_BOOST) -> Column:
     """``boost`` if any asked concept is there, else 1."""
     return F.when(F.size(F.array_intersect(concepts, asked)) > 0, boost).otherwise(1.0)
@@ -79,16 +114,16 @@ def detect_intent(text: Column) -> Column:
     return found
 
 
-def reciprocal_rank_fusion(lists: Sequence[tuple[DataFrame, float]], key: Sequence[str], score: str, tie: str, k: int) -> DataFrame:
-    """(key, score) of the ``k`` best by summed weight / (60 + rank + 1) over ranked lists of bounded length; ranks start at 0."""
+def reciprocal_rank_fusion(lists: Sequence[tuple[DataFrame, float]], query: str, item: str, score: str, each: int, k: int) -> DataFrame:
+    """(query, item, score): of each query the ``k`` best by summed weight / (60 + rank + 1) over the first ``each`` of its ranked lists; ranks start at 0."""
     parts = []
     for df, weight in lists:
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(score), tie)) - 1
-        parts.append(df.withColumn("_r", rank).select(*key, (F.lit(weight) / (RRF_K + F.col("_r") + 1)).alias("part")))
+        rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), item))
+        parts.append(df.withColumn("_r", rank).where(F.col("_r") <= each).select(query, item, (F.lit(weight) / (RRF_K + F.col("_r"))).alias("part")))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return both.groupBy(*key).agg(F.sum("part").alias("score")).orderBy(F.desc("score"), *key).limit(k)
+    return top_k(both.groupBy(query, item).agg(F.sum("part").alias("score")), "score", item, k, key=[query])
 
 
 def ensemble(scores: Mapping[str, float]) -> Column:
@@ -102,10 +137,10 @@ def quality_score(columns: Mapping[str, Column]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum((columns[c] * w for c, w in QUALITY_WEIGHTS.items()), F.lit(0.0))))
 
 
-def relative_to_best(score: Column, group: str) -> Column:
-    """Scores over the best of their group; unchanged where that isn't positive."""
-    best = F.max(score).over(Window.partitionBy(group))
-    return F.when(best > 0, score / best).otherwise(score)
+def relative_to_best(df: DataFrame, score: str, group: Sequence[str]) -> DataFrame:
+    """``df`` with its scores over the best of their group, unchanged where that isn't positive. The best comes from a grouped maximum, so a large group is no window."""
+    best = df.groupBy(*group).agg(F.max(score).alias("_best"))
+    return df.join(best, list(group)).withColumn(score, F.when(F.col("_best") > 0, F.col(score) / F.col("_best")).otherwise(F.col(score))).drop("_best")
 
 
 def route_to_prototypes(df: DataFrame, prototypes: DataFrame, vector: str, threshold: float) -> DataFrame:
@@ -129,31 +164,32 @@ def fused(own: Column, other: Column, share: float = 0.3) -> Column:
     return F.when(size > 0, F.transform(mixed, lambda x: x / size)).otherwise(mixed)
 
 
-def maximal_marginal_relevance(query: np.ndarray, vectors: np.ndarray, k: int, lam: float = 0.7) -> list[int]:
-    """Places of ``k`` vectors, each with the best of lam x relevance - (1 - lam) x similarity to those before it; the earliest wins ties.
-
-    Up to ``k`` vectors come back in their own order.
-    """
-    if len(vectors) <= k:
-        return list(range(len(vectors)))
+def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; those without a length stay."""
+    x = np.asarray(x, dtype=np.float64)
+    n = np.linalg.norm(x, axis=-1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(x, axis=-1, keepdims=True)
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
-    v = unit(np.asarray(vectors, dtype=np.float64))
-    relevance = v @ unit(np.asarray(query, dtype=np.float64))
-    worst, chosen, left = np.zeros(len(v)), [], np.ones(len(v), dtype=bool)
-    for n in range(k):
-        value = np.where(left, lam * relevance - (1 - lam) * worst, -np.inf)
-        best = int(value.argmax())
+def marginal_picks(relevance: np.ndarray, units: np.ndarray, k: int, lam: float) -> list[int]:
+    """Places of up to ``k`` vectors, each with the best of lam x relevance - (1 - lam) x similarity to those before it; the earliest wins ties."""
+    worst, chosen, left = np.zeros(len(units)), [], np.ones(len(units), dtype=bool)
+    for n in range(min(k, len(units))):
+        best = int(np.where(left, lam * relevance - (1 - lam) * worst, -np.inf).argmax())
         chosen.append(best)
         left[best] = False
-        near = v @ v[best]
+        near = units @ units[best]
         worst = near if n == 0 else np.maximum(worst, near)
     return chosen
 
 
+def maximal_marginal_relevance(query: np.ndarray, vectors: np.ndarray, k: int, lam: float = 0.7) -> list[int]:
+    """``marginal_picks`` by the cosine to a query. Up to ``k`` vectors come back in their own order."""
+    if len(vectors) <= k:
+        return list(range(len(vectors)))
+    return marginal_picks(unit(vectors) @ unit(query), unit(vectors), k, lam)
+
+
 def diversify(candidates: DataFrame, group: str, order: str, vector: str, query_vector: str, k: int, lam: float = 0.7) -> DataFrame:
     """(group, order, rank, score) of the MMR picks of each query. A query's candidates are a bounded list; queries are spread over tasks."""
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
@@ -166,6 +202,33 @@ def diversify(candidates: DataFrame, group: str, order: str, vector: str, query_
     return candidates.select(group, order, vector, query_vector).groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {order} {kinds[order]}, rank int, score double")
 
 
+def diverse_edges(edges: DataFrame, group: str, order: str, score: str, vector: str, most: int, diversity: float = 0.3) -> DataFrame:
+    """(group, order, rank): each query's edges in the order of (1 - diversity) x score - diversity x similarity to those before, ``most`` at most. A query's edges are a bounded list."""
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([score, order], ascending=[False, True]).reset_index(drop=True)
+        places = marginal_picks(rows[score].to_numpy(), unit(np.array(rows[vector].tolist())), most, 1 - diversity)
+        return pd.DataFrame({group: rows[group][places].to_numpy(), order: rows[order][places].to_numpy(), "rank": range(len(places))})
+
+    return edges.select(group, order, score, vector).groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {order} {kinds[order]}, rank int")
+
+
+def synthesis_search(pairs: DataFrame, key: str, item: str, score: str, vector: str, query_vector: str, tier: str, k: int, most_tier: int = 3, lam: float = 0.7) -> DataFrame:
+    """(key, item, rank) for synthesis: of twice ``k`` candidates MMR picks ``k`` x 2 diverse ones, those of a tier up to ``most_tier`` stay, the first ``k`` of them.
+
+    ``pairs`` has each query's scored candidates with both vectors; 3 is the widest tier and filters nothing.
+    """
+    fetched = top_k(pairs, score, item, over_fetch(2 * k, False), key=[key])
+    fetched = fetched.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), item)))
+    picked = diversify(fetched, key, "_place", vector, query_vector, 2 * k, lam).select(key, "_place", F.col("rank").alias("_picked"))
+    kept = fetched.join(picked, [key, "_place"])
+    if most_tier < 3:
+        kept = kept.where(F.col(tier) <= most_tier)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_picked"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= k).select(key, item, "rank")
+
+
 def exclusive_assignment(scores: DataFrame, group: str, request: str, item: str, score: str, least: float, each: int = 1) -> DataFrame:
     """(group, request, item, score): requests in order take their best items that no earlier request took. Groups are bounded and independent."""
     kinds = {f.name: f.dataType.simpleString() for f in scores.schema.fields}

@@ -13,6 +13,11 @@ from larkspur.plans.registry import query, table
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')"
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\b(Dr|Fig|No|et al|vs|Vol|pp|Ch|Sec)\\.', '\\1' || chr(2), 'g'), '([.!?])[ \\t\\n\\r\\f\\v]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(replace(x, chr(2), '.'))), lambda x: x <> '')"
 
+#: The pronouns that leave a text dangling unless a definition follows; one white space, as more always match.
+_PRONOUN = "(?i)^(This|These|That|Those|It|They)\\s"
+_DANGLING = f"""(regexp_matches(text, '{_PRONOUN}\\s') OR (regexp_matches(text, '{_PRONOUN}') AND NOT regexp_matches(text, '{_PRONOUN}(is\\s+a|are\\s+the|includes?|refers?)')))::INTEGER
+      + regexp_matches(text, '(?i)^(As\\s+mentioned|Continuing|Following\\s+this)')::INTEGER + regexp_matches(text, '(?i)^(The\\s+above|The\\s+following|The\\s+latter)')::INTEGER"""
+
 
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *columns)
@@ -43,12 +48,11 @@ def sentence_length_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH w AS (SELECT doc_id, text, len({_WORDS})::DOUBLE AS n FROM documents)
-    SELECT doc_id, round(0.30::DOUBLE + 0.40::DOUBLE * 0.7::DOUBLE + 0.15::DOUBLE * CASE WHEN regexp_matches(trim(text), '[.!?)"'']$') THEN 1.0 ELSE 0.7 END
+    SELECT doc_id, round(0.30::DOUBLE * (1.0 - 0.2::DOUBLE * ({_DANGLING})) + 0.40::DOUBLE * 0.7::DOUBLE + 0.15::DOUBLE * CASE WHEN regexp_matches(trim(text), '[.!?)"'']$') THEN 1.0 ELSE 0.7 END
       + 0.15::DOUBLE * CASE WHEN n < 20 THEN n / 20 WHEN n > 300 THEN greatest(0.8::DOUBLE, 1 - (n - 300) / 500) ELSE 1.0 END, 6) AS score
-    FROM w WHERE NOT regexp_matches(text, '^[TtAaCcFfIi]')""")
+    FROM w""")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir, "text").where(~F.col("text").rlike("^[TtAaCcFfIi]"))
-    return d.select("doc_id", F.round(ops.completeness(F.col("text"), F.lit(0.7)), 6).alias("score"))
+    return docs(spark, sf_dir, "text").select("doc_id", F.round(ops.completeness(F.col("text"), F.lit(0.7)), 6).alias("score"))
 
 
 @query()
@@ -80,7 +84,13 @@ def truncate_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", ops.snippet(F.col("text")).alias("snippet"))
 
 
-@query()
+_CUTS = [(1, "? "), (2, "! "), (3, ".' || chr(10) || '"), (4, ". ")]
+
+
+@query(f"""
+    WITH h AS (SELECT doc_id, text, substr(text, 1, 400) AS head, reverse(substr(text, 1, 400)) AS back FROM documents),
+    p AS (SELECT *, {", ".join(f"CASE WHEN instr(back, reverse('{m}')) > 0 THEN length(head) - instr(back, reverse('{m}')) ELSE 0 END AS p{i}" for i, m in _CUTS)}, CASE WHEN instr(back, ' ') > 0 THEN length(head) - instr(back, ' ') + 1 ELSE 0 END AS space FROM h)
+    SELECT doc_id, CASE WHEN length(text) <= 400 THEN text {" ".join(f"WHEN p{i} - 1 > 280 THEN substr(head, 1, p{i})" for i, _ in reversed(_CUTS))} WHEN space > 1 THEN substr(head, 1, space - 1) || '...' ELSE head || '...' END AS cut FROM p""")
 def truncate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", tx.cut_to_tokens(F.col("text"), 100).alias("cut"))
 
@@ -113,10 +123,9 @@ def authority_from_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", name.alias("source"), score.alias("score"))
 
 
-@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(url, '(page|ref)=([a-z0-9]+)', 2))) AS refs FROM pages WHERE contains(url, '?')")
+@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(url, '(page|ref)=([a-z0-9]+)', 2))) AS refs FROM pages")
 def figure_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").where(F.col("url").contains("?"))
-    return p.select("page_id", F.array_sort(F.array_distinct(F.regexp_extract_all("url", F.lit("(page|ref)=([a-z0-9]+)"), F.lit(2)))).alias("refs"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(F.regexp_extract_all("url", F.lit("(page|ref)=([a-z0-9]+)"), F.lit(2)))).alias("refs"))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
@@ -141,7 +150,11 @@ def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(h.alias("hash")).agg(F.max("l_discount").alias("confidence"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + floor(value * 60)::BIGINT AS z, value / 100 AS confidence FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, z DESC, event_id) AS k FROM e WHERE confidence >= 0.3::DOUBLE),
+    r AS (SELECT user_id, k, a, z, event_id, confidence, TRUE AS kept, z AS reach FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.a, o.z, o.event_id, o.confidence, o.a >= r.reach, CASE WHEN o.a >= r.reach THEN o.z ELSE r.reach END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+    SELECT user_id, a AS start, z AS stop, event_id, confidence FROM r WHERE kept""")
 def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event spans of each user that don't overlap, from the left."""
     e = table(spark, sf_dir, "events")
@@ -151,12 +164,17 @@ def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH h AS (SELECT vec_id, label, list_sum(list_transform(range(1, 13), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT AS h FROM embeddings)
-    SELECT a.label, a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 1""")
+    WITH RECURSIVE h AS (SELECT vec_id, label, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END))::HUGEINT AS h FROM embeddings),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.label = b.label AND a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 8),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a, min(b) AS least FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+    SELECT vec_id, coalesce(n.n, 0) AS links, least(vec_id, coalesce(c.least, vec_id)) AS class FROM h LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""")
 def average_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("embedding", i) > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(0))
-    h = table(spark, sf_dir, "embeddings").select("vec_id", "label", bits.alias("h"))
-    return ops.near_hashes(h, "label", "vec_id", "h", 1)
+    """Vectors by the signs of all 64 components, up to eight bits apart."""
+    bit = lambda i: F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    h = bit(0)
+    for i in range(1, 64):
+        h = h.bitwiseOR(bit(i))
+    return ops.near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", "label", h.alias("h")), "label", "vec_id", "h", 8)
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -194,15 +212,11 @@ def title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(ops.title_key(F.col("p_name")).alias("key")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
-@query()
-def conflict_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentages that differ between sources: discounts that lines of two suppliers tell for one part."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_discount").alias("d"))
-    said = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" discount "), F.round(F.col("d") * 100).cast("int"), F.lit("% given"))
-    return ops.percent_conflicts(lines.select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("id"), "l_partkey", F.col("l_suppkey").alias("src"), said.alias("said")), "l_partkey", "id", "src", "said")
-
-
-@query()
+@query(f"""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents), g AS (SELECT *, row_number() OVER (PARTITION BY source, substr(text, 1, 200) ORDER BY p) AS again FROM n WHERE p <= 20),
+    k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p) AS q FROM g WHERE again = 1), t AS (SELECT *, CAST(floor(len({_WORDS}) * 1.3) AS INTEGER) AS tokens FROM k WHERE q <= 10),
+    b AS (SELECT *, 3000 - coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM t)
+    SELECT source, doc_id, CASE WHEN tokens <= room THEN text ELSE substr(text, 1, 4 * room::BIGINT) END AS text, tokens, tokens > room AS cut FROM b WHERE tokens <= room OR (room > 200 AND room > 0)""")
 def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source within a budget of 3000 tokens."""
     return ops.select_context(docs(spark, sf_dir, "source", "text"), "source", "doc_id", "text", budget=3000)

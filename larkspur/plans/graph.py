@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import graph as ops
+from larkspur.operators import relational, retrieval
 from larkspur.plans.registry import query, table
 
-_E = """e AS (SELECT 'S' || l_suppkey AS s, 'P' || l_partkey AS t, l_returnflag AS rel, max(l_discount) * 10 AS conf FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2, 3
-    UNION ALL SELECT 'P' || l_partkey, 'S' || l_suppkey, l_linestatus, max(l_tax) * 12 FROM lineitem WHERE l_quantity < 4 GROUP BY 1, 2, 3)"""
+_E = """e AS (SELECT 'S' || l_suppkey AS s, 'P' || l_partkey AS t, l_returnflag AS rel, max(l_discount) * 10 AS conf FROM lineitem GROUP BY 1, 2, 3
+    UNION ALL SELECT 'P' || l_partkey, 'S' || l_suppkey, l_linestatus, max(l_tax) * 12 FROM lineitem GROUP BY 1, 2, 3)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to part for large lines, part to supplier for small ones."""
+    """Supplier to part by return flag, part to supplier by line status, from all lines."""
     lines = table(spark, sf_dir, "lineitem")
     s, p = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey")
-    out = lines.where("l_quantity > 40").groupBy(s.alias("s"), p.alias("t"), F.col("l_returnflag").alias("rel")).agg((F.max("l_discount") * 10).alias("conf"))
-    back = lines.where("l_quantity < 4").groupBy(p.alias("s"), s.alias("t"), F.col("l_linestatus").alias("rel")).agg((F.max("l_tax") * 12).alias("conf"))
+    out = lines.groupBy(s.alias("s"), p.alias("t"), F.col("l_returnflag").alias("rel")).agg((F.max("l_discount") * 10).alias("conf"))
+    back = lines.groupBy(p.alias("s"), s.alias("t"), F.col("l_linestatus").alias("rel")).agg((F.max("l_tax") * 12).alias("conf"))
     return out.unionByName(back)
 
 
@@ -50,16 +51,16 @@ def typed_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.typed_path(edges(spark, sf_dir), seeds(spark, "S1", "S2", "S3"), ["R", "O", "N"])
 
 
-_TREE = """p AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderstatus = 'P'
+_TREE = """p AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders
     UNION ALL SELECT 'r' || r_regionkey, NULL FROM region)"""
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations, customers and open orders as (node, parent)."""
+    """Regions, nations, customers and orders as (node, parent)."""
     node = lambda prefix, c: F.concat(F.lit(prefix), c)
     n = table(spark, sf_dir, "nation").select(node("n", "n_nationkey").alias("node"), node("r", "n_regionkey").alias("parent"))
     c = table(spark, sf_dir, "customer").select(node("c", "c_custkey"), node("n", "c_nationkey"))
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(node("o", "o_orderkey"), node("c", "o_custkey"))
+    o = table(spark, sf_dir, "orders").select(node("o", "o_orderkey"), node("c", "o_custkey"))
     r = table(spark, sf_dir, "region").select(node("r", "r_regionkey"), F.lit(None).cast("string"))
     return n.union(c).union(o).union(r)
 
@@ -135,3 +136,23 @@ def relation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("node")).agg(F.min("p_name").alias("first_seen"))
     return ops.resolve(names.withColumn("aliases", F.array().cast("array<string>")), "gear")
+
+
+@query(f"""
+    WITH {_E}, n AS (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM e UNION ALL SELECT t FROM e) GROUP BY 1)
+    SELECT node AS id, '{{"id":"' || node || '","label":"' || node || '","type":"' || substr(node, 1, 1) || '","degree":' || degree || '}}' AS data FROM n
+    UNION ALL SELECT s || '-' || rel || '-' || t, '{{"id":"' || s || '-' || rel || '-' || t || '","source":"' || s || '","target":"' || t || '","label":"' || rel || '"}}' FROM e""")
+def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, lines = ops.display_graph(edges(spark, sf_dir), F.substring("node", 1, 1))
+    return nodes.union(lines)
+
+
+@query()
+def diverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen diverse edges of each supplier's fifty most certain ones; parts have the vectors of their numbers."""
+    e = edges(spark, sf_dir).where(F.col("s").startswith("S"))
+    near = relational.top_per_key(e, ["s"], [F.desc("conf"), F.col("t"), F.col("rel")], 50, "place")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    size = vectors.count()
+    met = near.withColumn("_v", F.substring("t", 2, 9).cast("long") % size).join(vectors, "_v")
+    return retrieval.diverse_edges(met.withColumn("score", ops.edge_rank((F.col("_v") % 10) / 10.0, F.col("conf").cast("double"), F.lit(1))), "s", "place", "score", "embedding", 15)

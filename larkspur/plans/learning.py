@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +80,22 @@ def next_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("p_partkey", value.alias("value")).orderBy(F.desc("value"), "p_partkey").limit(5)
 
 
-@query()
+_FOLD = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, (CAST(json_extract_string(props, '$.k') AS INTEGER) - 50) / 25.0::DOUBLE AS b, value > 30 AS correct FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS k, 0.0::DOUBLE AS ability FROM e GROUP BY 1
+      UNION ALL SELECT e.user_id, e.k, greatest(-3.0::DOUBLE, least(3.0::DOUBLE, f.ability + 0.3::DOUBLE * CASE WHEN e.correct
+        THEN (1 - p(f.ability, e.b)) * (p(f.ability, e.b) - 0.25::DOUBLE) / (p(f.ability, e.b) * 0.75::DOUBLE) ELSE -(p(f.ability, e.b) - 0.25::DOUBLE) / ((1 - p(f.ability, e.b)) * 0.75::DOUBLE) END - 0.1::DOUBLE * f.ability))
+      FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)"""
+_CHANCE = re.compile(r"p\(f\.ability, e\.b\)")
+_FOLD = _CHANCE.sub("(0.25::DOUBLE + 0.75::DOUBLE / (1 + exp(-(f.ability - e.b))))", _FOLD)
+
+
+@query(f"{_FOLD} SELECT user_id, round(arg_max(ability, k), 6) AS ability, max(k)::INTEGER AS answers FROM f GROUP BY 1")
 def ability_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ability of each user after all answers, in order."""
+    return answered(spark, sf_dir).withColumn("ability", F.round("ability", 6))
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     answers = e.select("user_id", "event_id", F.lit(1.0).alias("a"), ((k - 50) / 25.0).alias("b"), F.lit(0.25).alias("c"), (F.col("value") > 30).alias("correct"))
@@ -141,10 +156,14 @@ def retention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.round(F.coalesce(F.avg(ops.retrievability(F.col("days"), F.col("stability"))), F.lit(0.5)), 8).alias("retention"))
 
 
-@query()
+_TAIL = "0.3989422804014327 * exp(-z * z / 2) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
+_TAIL = re.sub(r"-?\d+\.\d+", lambda m: f"({m[0]}::DOUBLE)", _TAIL)
+
+
+@query(f"{_FOLD}, z AS (SELECT user_id, arg_max(ability, k) AS z FROM f GROUP BY 1), t AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM z) SELECT user_id, round(100 * CASE WHEN z >= 0 THEN 1 - {_TAIL} ELSE {_TAIL} END, 6) AS percentile FROM t")
 def ability_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each user's ability stands in a normal population."""
-    return ability_fold(spark, sf_dir).select("user_id", ops.normal_percentile(F.col("ability")).alias("percentile"))
+    return answered(spark, sf_dir).select("user_id", F.round(ops.normal_percentile(F.col("ability")), 6).alias("percentile"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.operators import relational as ops
+from larkspur.operators import retrieval
 from larkspur.plans.registry import query, table
 
 
@@ -160,14 +161,15 @@ _TRIGRAMS = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in ran
 
 
 @query(f"""
-    WITH t AS (SELECT c_custkey, c_name, {_TRIGRAMS.format("c_name || ' ' || c_mktsegment")} AS a, {_TRIGRAMS.format("'customer 12 building'")} AS b FROM customer),
-    s AS (SELECT c_custkey, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS similarity FROM t)
-    SELECT c_custkey, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.3 ORDER BY round(similarity, 6) DESC, c_custkey LIMIT 50""")
+    WITH t AS (SELECT c_custkey, {_TRIGRAMS.format("c_name || ' ' || c_mktsegment")} AS a FROM customer), q AS (SELECT c_custkey AS query_id, a AS b FROM t WHERE c_custkey % 100 = 0),
+    s AS (SELECT query_id, c_custkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM t, q)
+    SELECT * FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, c_custkey) <= 50""")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat_ws(" ", "c_name", "c_mktsegment")
-    similarity = tx.jaccard(tx.trigrams(name), tx.trigrams(F.lit("customer 12 building")))
-    found = table(spark, sf_dir, "customer").select("c_custkey", similarity.alias("s")).where("s >= 0.3").select("c_custkey", F.round("s", 6).alias("similarity"))
-    return found.orderBy(F.desc("similarity"), "c_custkey").limit(50)
+    """The fifty customers with the most similar names for each whose id is divisible by 100."""
+    grams = table(spark, sf_dir, "customer").select("c_custkey", tx.trigrams(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("g"))
+    asked = grams.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.col("g").alias("q"))
+    found = retrieval.matches(grams, asked, lambda q: F.round(tx.jaccard(F.col("g"), q), 6), 0.3)
+    return retrieval.top_k(found.select("query_id", "c_custkey", "similarity"), "similarity", "c_custkey", 50, key=["query_id"])
 
 
 @query("""
@@ -337,12 +339,12 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH f AS (SELECT user_id, list_distinct(list(event_type)) AS factors FROM events WHERE value > 100 GROUP BY 1),
+    WITH f AS (SELECT user_id, list_distinct(list(event_type)) AS factors FROM events GROUP BY 1),
     r AS (SELECT * FROM (VALUES ('all', ['click', 'view', 'purchase'], 'HIGH'), ('two', ['error', 'signup'], 'LOW'), ('critical', ['error', 'purchase', 'signup'], 'CRITICAL')) t(rule, needs, severity))
     SELECT user_id, rule, CASE WHEN list_has_all(factors, needs) THEN severity ELSE 'MODERATE' END AS severity FROM f, r
     WHERE list_has_all(factors, needs) OR (severity IN ('CRITICAL', 'HIGH') AND len(list_intersect(factors, needs)) >= 2)""")
 def subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    factors = table(spark, sf_dir, "events").where("value > 100").groupBy("user_id").agg(F.collect_set("event_type").alias("factors"))
+    factors = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("factors"))
     rules = spark.createDataFrame([("all", ["click", "view", "purchase"], "HIGH"), ("two", ["error", "signup"], "LOW"), ("critical", ["error", "purchase", "signup"], "CRITICAL")], "rule string, needs array<string>, severity string")
     exploded = factors.select("user_id", F.explode("factors").alias("need"))
     needs = rules.select("rule", F.size("needs").alias("wanted"), "severity", F.explode("needs").alias("need"))
@@ -429,11 +431,11 @@ def nulls_last_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT lower(trim(substr(text, 1, 12))) AS topic, doc_id, n_chars, row_number() OVER (PARTITION BY lower(trim(substr(text, 1, 12))) ORDER BY n_chars DESC, doc_id) AS r FROM documents)
-    SELECT topic, doc_id, n_chars FROM b WHERE r = 1 ORDER BY n_chars DESC, doc_id LIMIT 10""")
+    WITH b AS (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY n_chars DESC, doc_id) AS r FROM documents)
+    SELECT doc_id, n_chars FROM b WHERE r = 1 ORDER BY n_chars DESC, doc_id LIMIT 10""")
 def gap_prioritise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.lower(F.trim(F.substring("text", 1, 12))).alias("topic"), "doc_id", "n_chars")
-    return ops.first(d, ["topic"], [-F.col("n_chars"), F.col("doc_id")]).orderBy(F.desc("n_chars"), "doc_id").limit(10)
+    d = table(spark, sf_dir, "documents").select(F.sha2(F.lower(F.trim("text")), 256).alias("topic"), "doc_id", "n_chars")
+    return ops.first(d, ["topic"], [-F.col("n_chars"), F.col("doc_id")]).orderBy(F.desc("n_chars"), "doc_id").limit(10).select("doc_id", "n_chars")
 
 
 @query("SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':7'), c_custkey) AS r FROM customer) WHERE r <= 20")

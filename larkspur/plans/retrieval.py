@@ -11,8 +11,8 @@ from larkspur.operators import relational
 from larkspur.operators import retrieval as ops
 from larkspur.plans.registry import query, table
 
-_S = """s AS (SELECT e.vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim, ['c' || e.vec_id % 7, 'd' || e.vec_id % 11] AS cuis,
-    0.5 + (e.vec_id % 6) / 10.0::DOUBLE AS authority FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
+_S = """s AS (SELECT query_id, e.vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim, ['c' || e.vec_id % 7, 'd' || e.vec_id % 11] AS cuis,
+    0.5 + (e.vec_id % 6) / 10.0::DOUBLE AS authority FROM embeddings e, (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q)"""
 
 
 def asked() -> Column:
@@ -20,67 +20,82 @@ def asked() -> Column:
     return F.array(F.lit("c3"), F.lit("d5"))
 
 
-def candidates(spark: SparkSession, sf_dir: str, query_id: int = 0) -> DataFrame:
-    """Embeddings with their similarity to one of them, concepts and an authority."""
-    e = table(spark, sf_dir, "embeddings")
-    s = ops.scored(e, e.where(F.col("vec_id") == query_id).select("embedding"), name="sim")
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with concepts and an authority."""
     cuis = F.array(F.concat(F.lit("c"), F.col("vec_id") % 7), F.concat(F.lit("d"), F.col("vec_id") % 11))
-    return s.select("vec_id", "label", "embedding", "sim", cuis.alias("cuis"), (0.5 + (F.col("vec_id") % 6) / 10.0).alias("authority"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", cuis.alias("cuis"), (0.5 + (F.col("vec_id") % 6) / 10.0).alias("authority"))
+
+
+def candidates(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """All embeddings for each query, with their similarity; queries are the rows whose id is divisible by 100, or those ``shift`` after them."""
+    e = table(spark, sf_dir, "embeddings").where((F.col("vec_id") - shift) % 100 == 0)
+    return ops.scored(attributes(spark, sf_dir), e.select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("q")), name="sim")
+
 
+def first(sql: str, k: int, score: str, item: str = "vec_id") -> str:
+    """``sql`` with the ``k`` best of each query."""
+    return f"{sql} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, {item}) <= {k}"
 
-@query(f"WITH {_S} SELECT vec_id, label, round(sim * (1 + (authority - 0.7) * 0.15), 6) AS score FROM s WHERE sim >= 0.1 ORDER BY round(sim * (1 + (authority - 0.7) * 0.15), 6) DESC, vec_id LIMIT 10")
+
+EACH = ["query_id"]
+
+
+@query(first(f"WITH {_S} SELECT query_id, vec_id, label, round(sim * (1 + (authority - 0.7) * 0.15), 6) AS score FROM s WHERE sim >= 0.1", 10, "score"))
 def vector_topk_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = candidates(spark, sf_dir).where("sim >= 0.1")
     score = F.round(F.col("sim") * ops.authority_boost(F.col("authority"), F.lit("body")), 6)
-    return ops.top_k(s.select("vec_id", "label", score.alias("score")), "score", "vec_id", 10)
+    return ops.top_k(s.select("query_id", "vec_id", "label", score.alias("score")), "score", "vec_id", 10, key=EACH)
 
 
-@query(f"WITH {_S}, t AS (SELECT vec_id, label, round(sim, 6) AS similarity FROM s ORDER BY round(sim, 6) DESC, vec_id LIMIT 50) SELECT * FROM t WHERE similarity >= 0.25")
+@query(f"WITH {_S}, t AS ({first('SELECT query_id, vec_id, label, round(sim, 6) AS similarity FROM s', 50, 'similarity')}) SELECT * FROM t WHERE similarity >= 0.25")
 def vector_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = candidates(spark, sf_dir).select("vec_id", "label", F.round("sim", 6).alias("similarity"))
-    return ops.top_k(s, "similarity", "vec_id", 50, 0.25, "after")
+    s = candidates(spark, sf_dir).select("query_id", "vec_id", "label", F.round("sim", 6).alias("similarity"))
+    return ops.top_k(s, "similarity", "vec_id", 50, 0.25, "after", EACH)
 
 
-@query(f"WITH {_S} SELECT vec_id, label, round(sim, 6) AS similarity FROM s WHERE round(sim, 6) >= 0.1 AND label IN (1, 3, 5) ORDER BY 3 DESC, vec_id LIMIT 20")
+@query(first(f"WITH {_S} SELECT query_id, vec_id, label, round(sim, 6) AS similarity FROM s WHERE round(sim, 6) >= 0.1 AND label IN (1, 3, 5)", 20, "similarity"))
 def vector_topk_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = candidates(spark, sf_dir).where(F.col("label").isin(1, 3, 5)).select("vec_id", "label", F.round("sim", 6).alias("similarity"))
-    return ops.top_k(s, "similarity", "vec_id", 20, 0.1)
+    s = candidates(spark, sf_dir).where(F.col("label").isin(1, 3, 5)).select("query_id", "vec_id", "label", F.round("sim", 6).alias("similarity"))
+    return ops.top_k(s, "similarity", "vec_id", 20, 0.1, key=EACH)
 
 
-@query(f"WITH {_S} SELECT vec_id, len(list_intersect(cuis, ['c3', 'd5'])) AS cui_overlap, round(sim * CASE WHEN list_has_any(cuis, ['c3', 'd5']) THEN 1.2 ELSE 1.0 END, 6) AS score FROM s ORDER BY 3 DESC, vec_id LIMIT 25")
+@query(first(f"WITH {_S} SELECT query_id, vec_id, len(list_intersect(cuis, ['c3', 'd5'])) AS cui_overlap, round(sim * CASE WHEN list_has_any(cuis, ['c3', 'd5']) THEN 1.2 ELSE 1.0 END, 6) AS score FROM s", 25, "score"))
 def hybrid_step_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlap = F.size(F.array_intersect("cuis", asked())).cast("long")
-    s = candidates(spark, sf_dir).select("vec_id", overlap.alias("cui_overlap"), F.round(F.col("sim") * ops.step_boost(F.col("cuis"), asked()), 6).alias("score"))
-    return ops.top_k(s, "score", "vec_id", 25)
+    s = candidates(spark, sf_dir).select("query_id", "vec_id", overlap.alias("cui_overlap"), F.round(F.col("sim") * ops.step_boost(F.col("cuis"), asked()), 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 25, key=EACH)
 
 
-@query(f"WITH {_S} SELECT vec_id, round(sim * (1 + 0.2::DOUBLE * least(len(list_intersect(cuis, ['c3', 'd5'])) / 2.0::DOUBLE, 1)), 6) AS score FROM s ORDER BY 2 DESC, vec_id LIMIT 25")
+@query(first(f"WITH {_S} SELECT query_id, vec_id, round(sim * (1 + 0.2::DOUBLE * least(len(list_intersect(cuis, ['c3', 'd5'])) / 2.0::DOUBLE, 1)), 6) AS score FROM s", 25, "score"))
 def linear_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = candidates(spark, sf_dir).select("vec_id", F.round(F.col("sim") * ops.linear_boost(F.col("cuis"), asked()), 6).alias("score"))
-    return ops.top_k(s, "score", "vec_id", 25)
+    s = candidates(spark, sf_dir).select("query_id", "vec_id", F.round(F.col("sim") * ops.linear_boost(F.col("cuis"), asked()), 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 25, key=EACH)
 
 
-@query(f"WITH {_S} SELECT vec_id, round(sim * CASE WHEN label = 4 THEN 1.15 ELSE 1.0 END, 6) AS score FROM s ORDER BY 2 DESC, vec_id LIMIT 25")
+@query(first(f"WITH {_S} SELECT query_id, vec_id, round(sim * CASE WHEN label = 4 THEN 1.15 ELSE 1.0 END, 6) AS score FROM s", 25, "score"))
 def type_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = candidates(spark, sf_dir).select("vec_id", F.round(F.col("sim") * ops.type_boost(F.col("label"), 4), 6).alias("score"))
-    return ops.top_k(s, "score", "vec_id", 25)
+    s = candidates(spark, sf_dir).select("query_id", "vec_id", F.round(F.col("sim") * ops.type_boost(F.col("label"), 4), 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 25, key=EACH)
 
 
-@query(f"WITH {_S} SELECT vec_id, round(sim * CASE WHEN label = 0 THEN 0.1 ELSE 1 + (authority - 0.7) * 0.15 END, 6) AS score FROM s WHERE sim > 0.1")
+@query(f"WITH {_S} SELECT query_id, vec_id, round(sim * CASE WHEN label = 0 THEN 0.1 ELSE 1 + (authority - 0.7) * 0.15 END, 6) AS score FROM s WHERE sim > 0.1")
 def authority_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     boost = ops.authority_boost(F.col("authority"), F.col("label"), 0)
-    return candidates(spark, sf_dir).where("sim > 0.1").select("vec_id", F.round(F.col("sim") * boost, 6).alias("score"))
+    return candidates(spark, sf_dir).where("sim > 0.1").select("query_id", "vec_id", F.round(F.col("sim") * boost, 6).alias("score"))
 
 
-@query("""
-    WITH q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id IN (0, 1)),
-    s AS (SELECT qid, vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS sim FROM embeddings e, q),
-    r AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) - 1 AS rank FROM s), l AS (SELECT * FROM r WHERE rank < 40)
-    SELECT vec_id, round(sum(CASE qid WHEN 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END / (61 + rank)), 9) AS score FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""")
+_LISTED = first("SELECT query_id, vec_id, weight, row_number() OVER (PARTITION BY query_id, weight ORDER BY sim DESC, vec_id) AS rank FROM s", 40, "weight, sim").replace("PARTITION BY query_id ORDER BY weight, sim", "PARTITION BY query_id, weight ORDER BY sim")
+
+
+@query(f"""
+    WITH q AS (SELECT vec_id AS query_id, 0.7::DOUBLE AS weight, embedding FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT vec_id - 1, 0.3::DOUBLE, embedding FROM embeddings WHERE (vec_id - 1) % 100 = 0),
+    s AS (SELECT query_id, weight, vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS sim FROM embeddings e, q), l AS ({_LISTED}),
+    f AS (SELECT query_id, vec_id, round(sum(weight / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2) {first("SELECT * FROM f", 30, "score")}""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = [(ops.top_k(candidates(spark, sf_dir, q).select("vec_id", F.round("sim", 9).alias("sim")), "sim", "vec_id", 40), w) for q, w in ((0, 0.7), (1, 0.3))]
-    fused = ops.reciprocal_rank_fusion(lists, ["vec_id"], "sim", "vec_id", 80).select("vec_id", F.round("score", 9).alias("score"))
-    return ops.top_k(fused, "score", "vec_id", 30)
+    """Each query's own list and that of the row after it, fused."""
+    lists = [(candidates(spark, sf_dir, shift).select("query_id", "vec_id", F.round("sim", 9).alias("sim")), w) for shift, w in ((0, 0.7), (1, 0.3))]
+    fused = ops.reciprocal_rank_fusion(lists, "query_id", "vec_id", "sim", 40, 80).select("query_id", "vec_id", F.round("score", 9).alias("score"))
+    return ops.top_k(fused, "score", "vec_id", 30, key=EACH)
 
 
 def _parts() -> dict:
@@ -91,34 +106,34 @@ def _parts() -> dict:
 _QUALITY = "greatest(0, least(1, 0.30::DOUBLE * authority + 0.20::DOUBLE * ((vec_id % 5) / 5.0::DOUBLE) + 0.20::DOUBLE * ((vec_id % 7) / 7.0::DOUBLE) + 0.20::DOUBLE * ((vec_id % 9) / 9.0::DOUBLE) + 0.10::DOUBLE * CASE WHEN label < 3 THEN 1.0 WHEN label < 6 THEN 0.7 ELSE 0.4 END))"
 
 
-@query(f"WITH {_S} SELECT vec_id, round({_QUALITY}, 6) AS quality FROM s")
+@query(f"SELECT vec_id, round({_QUALITY}, 6) AS quality FROM (SELECT vec_id, label, 0.5 + (vec_id % 6) / 10.0::DOUBLE AS authority FROM embeddings)")
 def quality_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("vec_id", F.round(ops.quality_score(_parts()), 6).alias("quality"))
+    return attributes(spark, sf_dir).select("vec_id", F.round(ops.quality_score(_parts()), 6).alias("quality"))
 
 
-@query(f"WITH {_S} SELECT vec_id, round((0.6::DOUBLE * sim + 0.4::DOUBLE * authority), 6) AS score FROM s ORDER BY 2 DESC, 1 LIMIT 30")
+@query(first(f"WITH {_S} SELECT query_id, vec_id, round((0.6::DOUBLE * sim + 0.4::DOUBLE * authority), 6) AS score FROM s", 30, "score"))
 def ensemble_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = candidates(spark, sf_dir).select("vec_id", F.round(ops.ensemble({"sim": 0.6, "authority": 0.4}), 6).alias("score"))
-    return ops.top_k(s, "score", "vec_id", 30)
+    s = candidates(spark, sf_dir).select("query_id", "vec_id", F.round(ops.ensemble({"sim": 0.6, "authority": 0.4}), 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 30, key=EACH)
 
 
 @query(f"""
-    WITH {_S}, r AS (SELECT label, vec_id, sim + len(list_intersect(cuis, ['c3', 'd5'])) * 0.2::DOUBLE * 0.1::DOUBLE + CASE WHEN vec_id % 4 = 0 THEN 0.1 ELSE 0 END::DOUBLE AS raw FROM s WHERE sim > 0)
-    SELECT vec_id, round(raw / max(raw) OVER (PARTITION BY label), 6) AS score FROM r""")
+    WITH {_S}, r AS (SELECT query_id, label, vec_id, sim + len(list_intersect(cuis, ['c3', 'd5'])) * 0.2::DOUBLE * 0.1::DOUBLE + CASE WHEN vec_id % 4 = 0 THEN 0.1 ELSE 0 END::DOUBLE AS raw FROM s WHERE sim > 0)
+    SELECT query_id, vec_id, round(raw / max(raw) OVER (PARTITION BY query_id, label), 6) AS score FROM r""")
 def medical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlap = F.size(F.array_intersect("cuis", asked()))
     raw = F.col("sim") + overlap * 0.2 * 0.1 + F.when(F.col("vec_id") % 4 == 0, 0.1).otherwise(0.0)
-    s = candidates(spark, sf_dir).where("sim > 0").withColumn("raw", raw)
-    return s.select("vec_id", F.round(ops.relative_to_best(F.col("raw"), "label"), 6).alias("score"))
+    s = candidates(spark, sf_dir).where("sim > 0").select("query_id", "label", "vec_id", raw.alias("score"))
+    return ops.relative_to_best(s, "score", ["query_id", "label"]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""
-    WITH {_S}, r AS (SELECT vec_id, label, 0.4::DOUBLE * sim + 0.3::DOUBLE * {_QUALITY} AS a, (vec_id % 10) / 10.0::DOUBLE AS diversity FROM s WHERE sim > 0), t AS (SELECT *, 0.7::DOUBLE * a + 0.3::DOUBLE * diversity AS b FROM r)
-    SELECT vec_id, round(b / max(b) OVER (PARTITION BY label), 6) AS score FROM t""")
+    WITH {_S}, r AS (SELECT query_id, vec_id, label, 0.4::DOUBLE * sim + 0.3::DOUBLE * {_QUALITY} AS a, (vec_id % 10) / 10.0::DOUBLE AS diversity FROM s WHERE sim > 0), t AS (SELECT *, 0.7::DOUBLE * a + 0.3::DOUBLE * diversity AS b FROM r)
+    SELECT query_id, vec_id, round(b / max(b) OVER (PARTITION BY query_id, label), 6) AS score FROM t""")
 def pipeline_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = candidates(spark, sf_dir).where("sim > 0")
     b = 0.7 * (0.4 * F.col("sim") + 0.3 * ops.quality_score(_parts())) + 0.3 * ((F.col("vec_id") % 10) / 10.0)
-    return s.withColumn("b", b).select("vec_id", F.round(ops.relative_to_best(F.col("b"), "label"), 6).alias("score"))
+    s = candidates(spark, sf_dir).where("sim > 0").select("query_id", "label", "vec_id", b.alias("score"))
+    return ops.relative_to_best(s, "score", ["query_id", "label"]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("""
@@ -132,10 +147,10 @@ def prototype_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("vec_id", "route", F.round("route_score", 6).alias("route_score"), (F.round("route_score", 6) >= 0.3).alias("confident"))
 
 
-@query(f"WITH {_S.replace('vec_id = 0', 'vec_id = 7')} SELECT vec_id, round(sim, 6) AS similarity FROM s WHERE vec_id <> 7 ORDER BY 2 DESC, 1 LIMIT 12")
+@query(first(f"WITH {_S} SELECT query_id, vec_id, round(sim, 6) AS similarity FROM s WHERE vec_id <> query_id", 12, "similarity"))
 def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = candidates(spark, sf_dir, 7).where("vec_id <> 7").select("vec_id", F.round("sim", 6).alias("similarity"))
-    return ops.top_k(s, "similarity", "vec_id", 12)
+    s = candidates(spark, sf_dir).where("vec_id <> query_id").select("query_id", "vec_id", F.round("sim", 6).alias("similarity"))
+    return ops.top_k(s, "similarity", "vec_id", 12, key=EACH)
 
 
 @query("SELECT label, i - 1 AS i, round(avg(embedding[i]::DOUBLE), 8) AS mean FROM embeddings, (SELECT unnest(range(1, 65))::INTEGER AS i) GROUP BY 1, 2")
@@ -157,15 +172,24 @@ def mean_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_S}, k AS (SELECT s.vec_id, e.embedding::DOUBLE[] AS v FROM s JOIN embeddings e ON e.vec_id = s.vec_id ORDER BY round(sim, 6) DESC, s.vec_id LIMIT 30)
-    SELECT a.vec_id AS first_id, b.vec_id AS second_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM k a JOIN k b ON a.vec_id < b.vec_id""")
+    WITH {_S}, k AS ({first("SELECT s.query_id, s.vec_id, e.embedding::DOUBLE[] AS v, round(sim, 6) AS sim FROM s JOIN embeddings e ON e.vec_id = s.vec_id", 30, "sim", "s.vec_id")})
+    SELECT a.query_id, a.vec_id AS first_id, b.vec_id AS second_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM k a JOIN k b ON a.query_id = b.query_id AND a.vec_id < b.vec_id""")
 def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The similarity matrix of a query's thirty nearest."""
-    s = candidates(spark, sf_dir).select("vec_id", "embedding", F.round("sim", 6).alias("sim"))
-    near = ops.top_k(s, "sim", "vec_id", 30)
-    a, b = near.select(F.col("vec_id").alias("first_id"), F.col("embedding").alias("x")), near.select(F.col("vec_id").alias("second_id"), F.col("embedding").alias("y"))
-    pairs = a.join(F.broadcast(b), F.col("first_id") < F.col("second_id"))
-    return pairs.select("first_id", "second_id", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """The similarity matrix of each query's thirty nearest."""
+    s = candidates(spark, sf_dir).select("query_id", "vec_id", "embedding", F.round("sim", 6).alias("sim"))
+    near = ops.top_k(s, "sim", "vec_id", 30, key=EACH)
+    a, b = near.select("query_id", F.col("vec_id").alias("first_id"), F.col("embedding").alias("x")), near.select("query_id", F.col("vec_id").alias("second_id"), F.col("embedding").alias("y"))
+    pairs = a.join(b, "query_id").where("first_id < second_id")
+    return pairs.select("query_id", "first_id", "second_id", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query()
+def synthesis_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten diverse candidates of the two better tiers for each query."""
+    s = candidates(spark, sf_dir).select("query_id", "vec_id", "embedding", F.round("sim", 9).alias("sim"), (1 + F.col("vec_id") % 3).alias("tier"))
+    asking = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = ops.top_k(s, "sim", "vec_id", ops.over_fetch(20, False), key=EACH).join(asking, "query_id")
+    return ops.synthesis_search(near, "query_id", "vec_id", "sim", "embedding", "q", "tier", 10, most_tier=2)
 
 
 @query()
@@ -181,15 +205,14 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KW = "['the', 'of', 'thonly', 'ering']"
 
 
-@query(f"""
-    WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), k AS (SELECT doc_id, len(list_intersect(w, {_KW})) / 4.0::DOUBLE AS kw FROM t),
-    s AS (SELECT vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
-    SELECT k.doc_id, round(0.3::DOUBLE * kw + 0.7::DOUBLE * sim, 6) AS score FROM k JOIN s ON s.doc_id = k.doc_id ORDER BY 2 DESC, 1 LIMIT 20""")
+@query(first(f"""
+    WITH {_S}, t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), k AS (SELECT doc_id, len(list_intersect(w, {_KW})) / 4.0::DOUBLE AS kw FROM t)
+    SELECT query_id, k.doc_id, round(0.3::DOUBLE * kw + 0.7::DOUBLE * sim, 6) AS score FROM k JOIN s ON s.vec_id = k.doc_id""", 20, "score", "k.doc_id"))
 def keyword_semantic_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     kw = table(spark, sf_dir, "documents").select("doc_id", ops.keyword_score(tx.tokens(F.col("text")), ["the", "of", "thonly", "ering"]).alias("kw"))
-    s = candidates(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "sim")
-    both = kw.join(s, "doc_id").select("doc_id", F.round(0.3 * F.col("kw") + 0.7 * F.col("sim"), 6).alias("score"))
-    return ops.top_k(both, "score", "doc_id", 20)
+    s = candidates(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "sim")
+    both = kw.join(s, "doc_id").select("query_id", "doc_id", F.round(0.3 * F.col("kw") + 0.7 * F.col("sim"), 6).alias("score"))
+    return ops.top_k(both, "score", "doc_id", 20, key=EACH)
 
 
 @query("SELECT doc_id FROM documents WHERE list_has_all(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')), ['the', 'of', 'and', 'was'])")
@@ -210,10 +233,10 @@ def weighted_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH r AS (SELECT l_orderkey, l_partkey, max(l_tax * 12) AS score FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_partkey) AS n FROM r WHERE score >= 0.5),
     i AS (SELECT l_orderkey, list(l_partkey ORDER BY n) AS images FROM k WHERE n <= 3 GROUP BY 1)
-    SELECT o_orderkey AS l_orderkey, coalesce(images, []) AS images FROM orders LEFT JOIN i ON i.l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""")
+    SELECT o_orderkey AS l_orderkey, coalesce(images, []) AS images FROM orders LEFT JOIN i ON i.l_orderkey = o_orderkey""")
 def attach_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max(F.col("l_tax") * 12).alias("score"))
-    results = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     return ops.attach_images(results, links, "l_orderkey", "l_partkey", "score")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import relational
+from larkspur.operators import relational, retrieval
 from larkspur.operators import rules as ops
 from larkspur.plans.learning import _REVIEWS, reviews
 from larkspur.plans.registry import query, table
@@ -33,12 +33,12 @@ def pattern_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]+) of ([a-z]+)', 1)) AS s, unnest(regexp_extract_all(lower(text), '([a-z]+) of ([a-z]+)', 2)) AS t FROM documents WHERE lang = 'en'),
+    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]+) of ([a-z]+)', 1)) AS s, unnest(regexp_extract_all(lower(text), '([a-z]+) of ([a-z]+)', 2)) AS t FROM documents),
     e AS (SELECT * FROM (VALUES ('the', 0.9), ('and', 0.8), ('are', 0.7), ('that', 0.6)) v(name, conf))
     SELECT doc_id, s, 'part_of' AS rel, t, max(least(a.conf, b.conf))::DOUBLE AS conf FROM m JOIN e a ON a.name = s JOIN e b ON b.name = t GROUP BY 1, 2, 3, 4""")
 def pattern_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = spark.createDataFrame([("the", 0.9), ("and", 0.8), ("are", 0.7), ("That", 0.6)], "name string, conf double")
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lower("text").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
     return ops.relations(docs, ["doc_id"], "text", [("part_of", "([a-z]+) of ([a-z]+)")], F.broadcast(entities))
 
 
@@ -106,11 +106,15 @@ def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9_]+')) AS w, ['red', 'hot', 'bolt'] AS q FROM part)
-    SELECT p_partkey, round(100.0::DOUBLE * len(list_intersect(w, q)) / least(len(w), 3), 4) AS ratio FROM t WHERE 100.0::DOUBLE * len(list_intersect(w, q)) / least(len(w), 3) >= 60 ORDER BY 2 DESC, 1 LIMIT 100""")
+    WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9_]+')) AS w FROM part), q AS (SELECT p_partkey AS query_id, w AS q FROM t WHERE p_partkey % 100 = 0),
+    s AS (SELECT query_id, p_partkey, round(100.0::DOUBLE * len(list_intersect(w, q)) / least(len(w), len(q)), 4) AS ratio FROM t, q)
+    SELECT * FROM s WHERE ratio >= 60 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, p_partkey) <= 100""")
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", ops.token_set_ratio(F.col("p_name"), F.lit("red hot bolt")).alias("r")).where("r >= 60")
-    return p.select("p_partkey", F.round("r", 4).alias("ratio")).orderBy(F.desc("ratio"), "p_partkey").limit(100)
+    """The hundred parts with the most words in common for each whose id is divisible by 100."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    asked = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("title").alias("q"))
+    found = retrieval.matches(p, asked, lambda q: F.round(ops.token_set_ratio(F.col("title"), q), 4), 60.0, "ratio")
+    return retrieval.top_k(found.select("query_id", "p_partkey", "ratio"), "ratio", "p_partkey", 100, key=["query_id"])
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE (contains(lower(p_name), 'gear') OR contains(lower(p_type), 'gear')) AND p_brand = 'Brand#2' AND p_size >= 5 AND p_retailprice <= 1000 ORDER BY p_retailprice DESC, p_partkey")

@@ -23,13 +23,22 @@ ALIASES = {"embedding": ("text_embedding", "clip_embedding", "image_embedding"),
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from the session; a local one only where none is set."""
+    """The folder that all executors share, from the session; a local one is made only where all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
     return str(sc.getCheckpointDir())
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, which outlives executors, and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """``df`` in the canonical schema of ``table``: aliases are taken where a column is missing or null, other columns are left out."""
     from pyspark.sql.types import StructType

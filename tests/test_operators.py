@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.functions.vector import cosine
-from larkspur.operators import analytics, documents, graph, learning, linking, relational, retrieval
+from larkspur.operators import analytics, documents, graph, learning, linking, relational, retrieval, validity
 from larkspur.sources import files
 
 
@@ -23,11 +23,27 @@ def test_mmr_follows_the_formula():
 
 def test_rank_fusion(spark):
     def ranked(names):
-        return spark.createDataFrame([(n, 1.0 - i / 10) for i, n in enumerate(names)], "id string, s double")
+        return spark.createDataFrame([(q, n, 1.0 - i / 10) for q in (1, 2) for i, n in enumerate(names)], "q int, id string, s double")
 
-    got = retrieval.reciprocal_rank_fusion([(ranked("ab"), 0.7), (ranked("bc"), 0.3)], ["id"], "s", "id", 3).collect()
-    assert [r.id for r in got] == ["b", "a", "c"]
-    assert [r.score for r in got] == pytest.approx([0.7 / 62 + 0.3 / 61, 0.7 / 61, 0.3 / 62])
+    got = retrieval.reciprocal_rank_fusion([(ranked("abx"), 0.7), (ranked("bcy"), 0.3)], "q", "id", "s", 2, 3).collect()
+    for q in (1, 2):
+        own = sorted((r for r in got if r.q == q), key=lambda r: -r.score)
+        assert [r.id for r in own] == ["b", "a", "c"]
+        assert [r.score for r in own] == pytest.approx([0.7 / 62 + 0.3 / 61, 0.7 / 61, 0.3 / 62])
+
+
+def test_many_queries_against_all_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(40)] + [(40, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = df.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    got = {(r.query_id, r.id): r.similarity for r in retrieval.scored(df, queries).collect()}
+    assert len(got) == 5 * 41
+    for (q, i), s in got.items():
+        a, b = (np.float32(rows[k][1]).astype(float) for k in (q, i))
+        assert s == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)) if a.any() and b.any() else 0.0)
+    top = retrieval.top_k(retrieval.scored(df, queries), "similarity", "id", 3, key=["query_id"]).collect()
+    assert {(r.query_id, r.id) for r in top} == {k for q in range(0, 41, 10) for k in sorted(((q, i) for i in range(41)), key=lambda k: (-got[k], k[1]))[:3]}
 
 
 def test_boosts_and_scores(spark):
@@ -81,10 +97,11 @@ def test_spans_that_do_not_overlap(spark):
 
 def test_small_sections_merge_forward(spark):
     long = "word " * 40
-    df = spark.createDataFrame([("d", 1, "Intro", 2, "few"), ("d", 2, "Body", 1, long), ("d", 3, "End", 1, "bye")], "doc string, n int, title string, level int, text string")
-    got = documents.merge_sections(df, "doc", "n").collect()
-    assert [(r.title, r.level) for r in got] == [("Intro / Body", 1)]
-    assert got[0].text.startswith("few") and got[0].text.endswith("bye")
+    rows = [("d", 1, "Intro", 2, "few"), ("d", 2, "Body", 1, long), ("d", 3, "End", 1, "bye"), ("e", 1, "A b", 2, "x"), ("e", 2, "C d e", 1, ""), ("e", 3, "Tail", 3, "y"), ("f", 1, "one two three four five", 2, ""), ("f", 2, "S" * 90, 4, "x"), ("f", 3, "T" * 90, 3, long)]
+    df = spark.createDataFrame(rows, "doc string, n int, title string, level int, text string")
+    got = sorted((r.doc, r.position, r.title, r.level, r.text) for r in documents.merge_sections(df, "doc", "n").collect())
+    want = [("d", 0, "Intro / Body", 1, f"few\n\n{long}\n\nEnd\nbye"), ("e", 0, "A b / C d e / Tail", 1, "x\n\ny"), ("f", 0, "one two three four five", 2, ""), ("f", 1, "S" * 90 + " / " + "T" * 7, 3, f"x\n\n{long}")]
+    assert got == want
 
 
 def test_learning(spark):
@@ -141,9 +158,20 @@ def test_near_hashes_lose_no_pair(spark):
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(-(2**62), 2**62, 6)]
     rows = [(0, i * 10 + k, h ^ sum(1 << int(b) for b in rng.choice(62, k, replace=False))) for i, h in enumerate(base) for k in range(9)]
-    got = {(r.a, r.b) for r in documents.near_hashes(spark.createDataFrame(rows, "g int, id int, h long"), "g", "id", "h").collect()}
-    want = {(a, b) for _, a, x in rows for _, b, y in rows if a < b and ((x ^ y) & (2**64 - 1)).bit_count() <= 8}
-    assert got == want and want
+    rows += [(0, 200 + i, rows[0][2]) for i in range(5)] + [(1, 300, rows[0][2]), (0, 400, -1), (0, 401, 2**63 - 1)]
+    got = {r.id: (r.links, r[2]) for r in documents.near_hashes(spark.createDataFrame(rows, "g int, id int, h long"), "g", "id", "h").collect()}
+    near = {a: {b for h, b, y in rows if h == g and a != b and ((x ^ y) & (2**64 - 1)).bit_count() <= 8} for g, a, x in rows}
+
+    def least(a):
+        seen, todo = {a}, [a]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return min(seen)
+
+    assert got == {a: (len(n), least(a)) for a, n in near.items()}
+    assert got[400][0] == 1 and got[300] == (0, 300) and got[200][0] >= 5
 
 
 def test_exclusive_assignment(spark):
@@ -172,3 +200,44 @@ def test_files(spark, tmp_path):
     assert files.read_catalog(spark, f"{tmp_path}/catalog").count() == 3
     files.save_graph(spark.range(2), spark.range(3), f"{tmp_path}/graph")
     assert [x.count() for x in files.load_graph(spark, f"{tmp_path}/graph")] == [2, 3]
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(path, "s long, t long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert graph.components(spark.createDataFrame([], "s long, t long")).collect() == []
+
+
+def test_local_folders_only_where_all_is_local(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError):
+        files.shared_folder(Session())
+
+
+def test_sure_spans_and_fragments(spark):
+    df = spark.createDataFrame([("d", 0, 9, 0.5), ("d", 0, 9, 0.95), ("d", 0, 4, 0.9), ("d", 9, 11, 0.9), ("d", 10, 12, 0.99)], "doc string, a long, z long, conf double")
+    assert sorted((r.a, r.z, r.conf) for r in documents.keep_apart(df, ["doc"], "a", "z", "conf", surest=True).collect()) == [(0, 9, 0.95), (9, 11, 0.9)]
+    assert values(spark, documents.clean_sentences(F.lit("One  two three. Abc. Go on! Last part"))) == [["One two three.", "Go on!", "Last part."]]
+
+
+def test_prohibitions_and_facts(spark):
+    df = spark.createDataFrame([(1, "Never give the drug early. Do not stop. We never give the drug early, later. Avoid heat"), (2, None)], "id int, text string")
+    got = validity.prohibitions(df, "id", "text", [("ABSOLUTE", r"\bnever\s+(.+?)(?:\.|,|\z)"), ("STRONG", r"\bavoid\s+(.+?)(?:\.|,|\z)")]).collect()
+    assert sorted((r.severity, r.action) for r in got) == [("ABSOLUTE", "give the drug early"), ("STRONG", "heat")]
+    text = spark.createDataFrame([(1, "About 12.5 % of 30 days. You should rest now.")], "id int, text string")
+    got = validity.facts(text, ["id"], "text", ["days?"], ["should"], ["now"]).collect()
+    assert sorted((r.kind, r.value, r.unit, r.is_temporal) for r in got) == [("measure", "30", "days", False), ("percent", "12.5", "%", False), ("recommendation", None, None, True)]
+    near = validity.mentions(spark.createDataFrame([(1, "aa 5 days bb 7 days cc")], "id int, text string"), ["id"], "text", r"(\d+)\s*(days?)", 3, 3).collect()
+    assert [(r.n, r.value, r.unit, r.words) for r in near] == [(0, 5.0, "day", ["aa", "5", "days", "bb"]), (1, 7.0, "day", ["bb", "7", "days", "cc"])]
