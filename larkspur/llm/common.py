@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,24 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.files import cut_lineage, shared_folder
 
-def checkpoint_folder(df: DataFrame) -> str:
-    """The checkpoint folder that the session names; one is chosen here only where it names none (local runs and tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
-    return str(sc.getCheckpointDir())
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, which outlives executors, and go on from there."""
-    checkpoint_folder(df)
-    return df.checkpoint()
+__all__ = ["cut_lineage", "gapless_rank", "pieces_for", "row_hash", "slices", "stored", "text_bytes"]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet below the checkpoint folder and read again; lighter than a checkpoint for long rows."""
-    path = f"{checkpoint_folder(df)}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
