@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from larkspur.llm import column_bwt, repeats
@@ -35,7 +36,7 @@ def cases():
     return docs
 
 
-@pytest.mark.parametrize("most", [16_384, 2])
+@pytest.mark.parametrize("most", [2_048, 2, 0])
 def test_matches_brute_force(spark, most):
     docs = cases()
     rows = [(i if i % 7 else None, d, "en") for i, d in enumerate(docs)] + [(3, docs[3], "en")]
@@ -55,16 +56,30 @@ def test_empty_table_and_carried_columns(spark):
 def test_transform_is_the_sorted_suffixes():
     rng = random.Random(2)
     for _ in range(60):
-        strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 8))]
+        strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(0, 8))]
         suffixes = sorted(((s[i:], k) for k, s in enumerate(strings) for i in range(len(s) + 1)), key=lambda x: (tuple(c + 10 for c in x[0]) + (0, x[1])))
-        _, common, _ = column_bwt.transform(strings)
-        lcp = [0]
+        symbols = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int32)
+        occurrences, common = column_bwt.transform(symbols, np.array([len(s) for s in strings], dtype=np.int64))
+        lcp = [0] * bool(strings)
         for (p, _), (q, _) in zip(suffixes, suffixes[1:]):
             n = 0
             while n < min(len(p), len(q)) and p[n] == q[n]:
                 n += 1
             lcp.append(n)
         assert common.tolist() == lcp
+        before = [(strings[k][-len(s) - 1], i) for i, (s, k) in enumerate(suffixes) if len(s) < len(strings[k])]
+        assert [(x >> column_bwt.PLACE_BITS, x & (1 << column_bwt.PLACE_BITS) - 1) for x in occurrences.tolist()] == sorted(before)
+
+
+@pytest.mark.parametrize("length", [8, 12, 6, 3])
+def test_repeated_starts_at_any_place_in_a_word(length):
+    rng = random.Random(length)
+    for _ in range(60):
+        part = bytes(rng.choice(b"ab") for _ in range(20))
+        strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 30))) + part[: rng.randint(0, 20)] for _ in range(rng.randint(0, 8))] + [bytes(range(256))]
+        count = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
+        want = [[i for i in range(len(s) - length + 1) if count[s[i : i + length]] > 1] for s in strings]
+        assert [x.tolist() for x in column_bwt.repeated_starts(strings, length)] == want
 
 
 def test_whole_table(spark, sf):
