@@ -77,7 +77,7 @@ def interactions(items: DataFrame, key: str, item: str, table: DataFrame) -> Dat
     """(key, a, b, severity): pairs of a key's items that the interaction table (a, b, severity) lists, in either order; joins go through the table."""
     mine = items.select(key, item).distinct()
     either = table.select("a", "b", "severity").unionByName(table.select(F.col("b").alias("a"), F.col("a").alias("b"), "severity")).where("a < b").distinct()
-    first = mine.join(F.broadcast(either), F.col(item) == F.col("a")).select(key, "a", "b", "severity")
+    first = mine.join(either, F.col(item) == F.col("a")).select(key, "a", "b", "severity")
     return first.join(mine.select(key, F.col(item).alias("b")), [key, "b"]).select(key, "a", "b", "severity")
 
 
@@ -88,7 +88,7 @@ def triggered(cases: DataFrame, key: str, words: str, rules: DataFrame) -> DataF
     """
     each = cases.select(key, words, "state", F.explode(words).alias("w"))
     triggers = rules.select("rule", "severity", "exceptions", "escalates", F.explode("triggers").alias("w"))
-    met = each.join(F.broadcast(triggers), "w").where(F.size(F.array_intersect(words, "exceptions")) == 0)
+    met = each.join(triggers, "w").where(F.size(F.array_intersect(words, "exceptions")) == 0)
     severity = F.when(F.col("state") == F.col("escalates"), "CRITICAL").otherwise(F.col("severity"))
     return met.select(key, "rule", severity.alias("severity")).distinct()
 
@@ -118,7 +118,7 @@ def markdown_table(rows: Column) -> Column:
 def parse_markdown_table(text: Column) -> Column:
     """The rows of a Markdown table as arrays of cells, without the rule."""
     lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s).startswith("|") & ~s.rlike(r"^\s*\|[\s:|-]+\|\s*$"))
-    return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.trim(s), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.trim(s), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
 
 
 def format_context(rows: DataFrame, group: str, order: str, text_col: str, title_col: str, style: str = "numbered") -> DataFrame:

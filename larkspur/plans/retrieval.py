@@ -167,7 +167,7 @@ def mean_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     means = ops.mean_vectors(e, "label", "embedding")
     own = F.transform("embedding", lambda x: x.cast("double"))
-    both = e.join(F.broadcast(means), "label").select("vec_id", own.alias("o"), F.col("mean").alias("m")).withColumn("v", ops.fused(F.col("o"), F.col("m")))
+    both = e.join(means, "label").select("vec_id", own.alias("o"), F.col("mean").alias("m")).withColumn("v", ops.fused(F.col("o"), F.col("m")))
     return both.select("vec_id", F.round(cosine(F.col("v"), F.col("o")), 6).alias("to_own"), F.round(cosine(F.col("v"), F.col("m")), 6).alias("to_mean"))
 
 
@@ -197,7 +197,7 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten diverse vectors among the hundred nearest, for one query of each label."""
     e = table(spark, sf_dir, "embeddings")
     q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    s = e.join(F.broadcast(q), "label").withColumn("sim", cosine(F.col("embedding"), F.col("q")))
+    s = e.join(q, "label").withColumn("sim", cosine(F.col("embedding"), F.col("q")))
     near = relational.top_per_key(s, ["label"], [F.desc("sim"), F.col("vec_id")], 100, "place")
     return ops.diversify(near, "label", "place", "embedding", "q", 10)
 
@@ -286,7 +286,7 @@ def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query for each label: filter, similarity, boosts, final order, five each."""
     e = table(spark, sf_dir, "embeddings")
     q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    s = e.join(F.broadcast(q), "label").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).where("sim >= 0.1")
+    s = e.join(q, "label").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).where("sim >= 0.1")
     concepts = F.array(F.concat(F.lit("c"), F.col("vec_id") % 7))
     boost = ops.authority_boost(0.5 + (F.col("vec_id") % 6) / 10.0, F.lit("body")) * ops.linear_boost(concepts, asked())
     scored = s.select("label", "vec_id", F.round(F.col("sim") * boost, 6).alias("score"))

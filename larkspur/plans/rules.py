@@ -39,7 +39,7 @@ def pattern_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pattern_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = spark.createDataFrame([("the", 0.9), ("and", 0.8), ("are", 0.7), ("That", 0.6)], "name string, conf double")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    return ops.relations(docs, ["doc_id"], "text", [("part_of", "([a-z]+) of ([a-z]+)")], F.broadcast(entities))
+    return ops.relations(docs, ["doc_id"], "text", [("part_of", "([a-z]+) of ([a-z]+)")], entities)
 
 
 @query("""
