@@ -1,12 +1,13 @@
-"""Spaced repetition and item response: closed forms as columns, histories as folds over ordered arrays."""
+"""Spaced repetition and item response: closed forms as columns, histories as folds over sorted rows."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the memory model, the schedule and the ability update.
@@ -105,27 +106,48 @@ def review(state: dict, rating: int, day: float) -> dict:
 NEW = {"state": "new", "step": 0, "reps": 0, "lapses": 0, "difficulty": 0.0, "stability": 0.0, "day": None, "wait_days": 0.0}
 
 
-def memory(history: DataFrame, key: list[str], order: list[str], rating: str, day: str) -> DataFrame:
-    """(key, state, reps, lapses, difficulty, stability, wait_days): each card's memory after all of its reviews.
+def folded(rows: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str], start: Any, step: Callable[..., Any], fields: Sequence[tuple[str, str, pa.DataType]], finish: Callable[[Any], tuple]) -> DataFrame:
+    """(key, fields): ``step(state, *values)`` over the rows of each key in order, from ``start``.
 
-    Spark gathers a card's reviews in order, as far as they go; a small fold walks over them.
+    Rows are dealt out by key and sorted by Spark, which spills what doesn't fit; a worker
+    reads them as they come and holds one state, so a key's history may be of any length.
     """
-    rows = history.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(rating).alias("r"), F.col(day).alias("d")))).alias("h"))
-    rows = rows.select(*key, F.transform("h", lambda x: x["r"]).alias("ratings"), F.transform("h", lambda x: x["d"].cast("double")).alias("days"))
-    fields = ["state", "reps", "lapses", "difficulty", "stability", "wait_days"]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(key)])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), *(f"{name} {kind}" for name, kind, _ in fields)])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, start
+        types = None
+
+        def emit(done: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*key, *(name for name, _, _ in fields)])
+
+        for batch in batches:
+            types = types or [*batch.schema.types[: len(key)], *(t for _, _, t in fields)]
+            done = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns, strict=True):
+                if row[: len(key)] != now:
+                    if now is not None:
+                        done.append((*now, *finish(state)))
+                    now, state = row[: len(key)], start
+                state = step(state, *row[len(key) :])
+            if done:
+                yield emit(done)
+        if now is not None:
+            yield emit([(*now, *finish(state))])
+
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, *order)
+    return dealt.select(*key, *values).mapInArrow(walk, schema)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for r in part.itertuples(index=False):
-                now = NEW
-                for rating_, day_ in zip(r.ratings, r.days, strict=True):
-                    now = review(now, int(rating_), float(day_))
-                out.append((*r[: len(key)], *(now[f] for f in fields)))
-            yield pd.DataFrame(out, columns=[*key, *fields])
 
-    return rows.mapInPandas(fold, f"{kinds}, state string, reps int, lapses int, difficulty double, stability double, wait_days double")
+def memory(history: DataFrame, key: list[str], order: list[str], rating: str, day: str) -> DataFrame:
+    """(key, state, reps, lapses, difficulty, stability, wait_days): each card's memory after all of its reviews, in order."""
+    whole, real = ("int", pa.int32()), ("double", pa.float64())
+    fields = [("state", "string", pa.string()), ("reps", *whole), ("lapses", *whole), ("difficulty", *real), ("stability", *real), ("wait_days", *real)]
+    step = lambda state, r, d: review(state, int(r), float(d))
+    return folded(history, key, order, [rating, day], NEW, step, fields, lambda s: tuple(s[name] for name, _, _ in fields))
 
 
 def probability(ability: Column, a: Column, b: Column, c: Column) -> Column:
@@ -143,22 +165,17 @@ def standard_error(total: Column) -> Column:
     return F.when(total > 0, 1 / F.sqrt(total)).otherwise(1.0)
 
 
-def abilities(answers: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, ability, answers) after each user's answers (columns a, b, c, correct) in order.
-
-    Each step adds the rate times the gradient and takes a share of the ability off, within
-    bounds; a fold over the ordered array, all in expressions.
-    """
-    rows = answers.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "a", "b", "c", "correct"))).alias("h"))
+def answered(theta: float, a: float, b: float, c: float, correct: bool) -> float:
+    """The ability after an answer: the rate times the gradient goes on, a share of the ability comes off, within bounds."""
+    p = c + (1 - c) / (1 + math.exp(-a * (theta - b)))
+    gradient = a * (1 - p) * (p - c) / (p * (1 - c)) if correct else -a * (p - c) / ((1 - p) * (1 - c))
+    return _clamp(theta + LEARNING_RATE * gradient - SHRINK * theta, -ABILITY_BOUND, ABILITY_BOUND)
 
-    def step(theta: Column, x: Column) -> Column:
-        p = probability(theta, x["a"], x["b"], x["c"])
-        right = x["a"] * (1 - p) * (p - x["c"]) / (p * (1 - x["c"]))
-        wrong = -x["a"] * (p - x["c"]) / ((1 - p) * (1 - x["c"]))
-        moved = theta + LEARNING_RATE * F.when(x["correct"], right).otherwise(wrong) - SHRINK * theta
-        return F.greatest(F.lit(-ABILITY_BOUND), F.least(F.lit(ABILITY_BOUND), moved))
 
-    return rows.select(key, F.aggregate("h", F.lit(0.0), step).alias("ability"), F.size("h").alias("answers"))
+def abilities(answers: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, ability, answers) after each user's answers (columns a, b, c, correct) in order."""
+    step = lambda state, *answer: (answered(state[0], *answer), state[1] + 1)
+    return folded(answers, [key], [order], ["a", "b", "c", "correct"], (0.0, 0), step, [("ability", "double", pa.float64()), ("answers", "int", pa.int32())], lambda s: s)
 
 
 def schedule(starts: DataFrame, start: str, target_days: Column | None = None) -> DataFrame:
@@ -201,26 +218,48 @@ def predicted_retention(sessions: Column, score: Column) -> Column:
     return F.least(F.lit(0.95), 0.5 + F.least(F.lit(0.3), 0.05 * sessions) + 0.1 * (score - 2))
 
 
+def moves(loads: Sequence[tuple[Any, int]], slack: float) -> list[tuple[Any, int, int, Any]]:
+    """(day, first, last, to): which of a day's cards, by number from 1, move to which day, from (day, cards) in order.
+
+    No day has more than the mean load x ``slack`` where a later day has room; the first
+    later day with room takes them.
+    """
+    days, load = [d for d, _ in loads], [n for _, n in loads]
+    cap = max(1, math.ceil(sum(load) / len(load) * slack))
+    out, room = [], 1
+    for k, (day, own) in enumerate(loads):
+        given, room = 0, max(room, k + 1)
+        while given < own and load[k] > cap:
+            while room < len(load) and load[room] >= cap:
+                room += 1
+            if room == len(load):
+                break
+            n = min(own - given, load[k] - cap, cap - load[room])
+            out.append((day, given + 1, given + n, days[room]))
+            given, load[k], load[room] = given + n, load[k] - n, load[room] + n
+    return out
+
+
 def balanced(due: DataFrame, user: str, card: str, day: str, stability: str, slack: float = 1.2) -> DataFrame:
     """(user, card, day) with no day above the mean load x ``slack`` where a later day has room: of the excess the least stable cards move on.
 
-    A user's cards are one bounded group; users are spread over tasks.
+    What moves is decided on counts by day, which are few for any user; cards are then
+    numbered within their day by Spark and take their new day by number.
     """
     kinds = {f.name: f.dataType.simpleString() for f in due.schema.fields}
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        days = sorted(rows[day].unique())
-        cap = max(1, math.ceil(len(rows) / len(days) * slack))
-        load = rows[day].value_counts().to_dict()
-        rows = rows.sort_values([day, stability, card]).reset_index(drop=True)
-        placed = rows[day].tolist()
-        for i, now in enumerate(placed):
-            if load[now] > cap:
-                later = [d for d in days if d > now and load[d] < cap]
-                if later:
-                    placed[i] = later[0]
-                    load[now] -= 1
-                    load[later[0]] += 1
-        return pd.DataFrame({user: rows[user], card: rows[card], day: placed})
-
-    return due.select(user, card, day, stability).groupBy(user).applyInPandas(settle, f"{user} {kinds[user]}, {card} {kinds[card]}, {day} {kinds[day]}")
+    loads = due.groupBy(user, day).agg(F.count("*").cast("long").alias("n"))
+    loads = loads.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), "n"))).alias("loads"))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(u, *m) for u, own in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m in moves([(x["d"], x["n"]) for x in own], slack)]
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            types = [batch.schema.types[0], batch.schema.types[1].value_type.field("d").type, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, types[1]], strict=True)], [user, day, "_first", "_last", "_to"])
+
+    planned = loads.mapInArrow(plan, f"{user} {kinds[user]}, {day} {kinds[day]}, _first long, _last long, _to {kinds[day]}")
+    spans = planned.groupBy(user, day).agg(F.collect_list(F.struct("_first", "_last", "_to")).alias("_moves"))
+    number = F.row_number().over(Window.partitionBy(user, day).orderBy(stability, card))
+    placed = due.select(user, card, day, stability).withColumn("_n", number).join(spans, [user, day], "left")
+    to = F.get(F.filter("_moves", lambda m: F.col("_n").between(m["_first"], m["_last"])), 0)["_to"]
+    return placed.select(user, card, F.coalesce(to, F.col(day)).alias(day))
