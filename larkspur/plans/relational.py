@@ -374,18 +374,20 @@ def accuracy_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '([0-9]{1,3})%', 1))) AS v FROM documents)
-    SELECT a.doc_id AS first_doc, b.doc_id AS second_doc, a.v AS value FROM w a JOIN w b ON a.v = b.v AND a.doc_id < b.doc_id AND a.source <> b.source
-    UNION ALL SELECT a.c_custkey, b.c_custkey, a.c_mktsegment FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND floor(a.c_acctbal) = floor(b.c_acctbal) AND a.c_custkey < b.c_custkey AND a.c_nationkey <> b.c_nationkey""")
+    WITH w AS (SELECT 'document' AS kind, doc_id AS id, source AS side, unnest(list_distinct(regexp_extract_all(text, '([0-9]{1,3})%', 1))) AS value FROM documents
+      UNION ALL SELECT 'customer', c_custkey, c_nationkey::VARCHAR, c_mktsegment || ':' || floor(c_acctbal)::BIGINT FROM customer),
+    g AS (SELECT *, min(id) OVER (PARTITION BY kind, value) AS class, count(*) OVER (PARTITION BY kind, value) - count(*) OVER (PARTITION BY kind, value, side) AS conflicts FROM w)
+    SELECT kind, id, value, class, conflicts FROM g WHERE conflicts > 0""")
 def pair_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of different sides with one value: the least of them and how many each conflicts with, from counts and never as pairs."""
     values = F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]{1,3})%"), F.lit(1)))
-    w = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(values).alias("value"))
-    a, b = w.alias("a"), w.alias("b")
-    docs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.source") != F.col("b.source"))).select(F.col("a.doc_id").alias("first_doc"), F.col("b.doc_id").alias("second_doc"), "a.value")
-    c = table(spark, sf_dir, "customer").withColumn("whole", F.floor("c_acctbal"))
-    a, b = c.alias("a"), c.alias("b")
-    rich = a.join(b, (F.col("a.c_mktsegment") == F.col("b.c_mktsegment")) & (F.col("a.whole") == F.col("b.whole")) & (F.col("a.c_custkey") < F.col("b.c_custkey")) & (F.col("a.c_nationkey") != F.col("b.c_nationkey"))).select(F.col("a.c_custkey"), F.col("b.c_custkey"), "a.c_mktsegment")
-    return docs.union(rich)
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("source").alias("side"), F.explode(values).alias("value"))
+    whole = F.concat_ws(":", "c_mktsegment", F.floor("c_acctbal").cast("string"))
+    rows = docs.union(table(spark, sf_dir, "customer").select(F.lit("customer"), "c_custkey", F.col("c_nationkey").cast("string"), whole))
+    sides = rows.groupBy("kind", "value", "side").agg(F.count("*").alias("own"), F.min("id").alias("first"))
+    groups = sides.groupBy("kind", "value").agg(F.sum("own").alias("n"), F.min("first").alias("class"))
+    met = rows.join(sides.drop("first"), ["kind", "value", "side"]).join(groups, ["kind", "value"])
+    return met.select("kind", "id", "value", "class", (F.col("n") - F.col("own")).alias("conflicts")).where("conflicts > 0")
 
 
 @query("SELECT doc_id AS id, 'document' AS kind, n_chars AS size FROM documents UNION ALL SELECT page_id, 'page', length(html) FROM pages UNION ALL SELECT item_id, 'benchmark', length(text) FROM benchmark")
@@ -404,14 +406,14 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark)
-    SELECT a.item_id AS first_item, b.item_id AS second_item, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity
-    FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) > 0""")
+    SELECT a.item_id, len(list_intersect(a.w, b.w)) AS shared, len(list_distinct(list_concat(a.w, b.w))) AS either, round(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) ELSE 0 END, 6) AS similarity
+    FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
 def jaccard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.explode(tx.tokens(F.col("text"))).alias("w"))
-    sizes = t.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = t.alias("a").join(t.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.item_id") < F.col("b.item_id"))).groupBy(F.col("a.item_id").alias("first_item"), F.col("b.item_id").alias("second_item")).agg(F.count("*").alias("s"))
-    both = shared.join(sizes.select(F.col("item_id").alias("first_item"), F.col("n").alias("n1")), "first_item").join(sizes.select(F.col("item_id").alias("second_item"), F.col("n").alias("n2")), "second_item")
-    return both.select("first_item", "second_item", F.round(F.col("s") / (F.col("n1") + F.col("n2") - F.col("s")), 6).alias("similarity"))
+    """Words that each item shares with the next one."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w"))
+    both = t.join(t.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v")), "item_id")
+    sizes = [F.size(f("w", "v")).cast("long") for f in (F.array_intersect, F.array_union)]
+    return both.select("item_id", sizes[0].alias("shared"), sizes[1].alias("either"), F.round(tx.jaccard(F.col("w"), F.col("v")), 6).alias("similarity"))
 
 
 @query("""
