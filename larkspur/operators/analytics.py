@@ -67,10 +67,22 @@ def updated_means(known: DataFrame, new: DataFrame, key: str, value: str) -> Dat
     return both.select(key, F.try_divide(total, n).alias("mean"), n.alias("n"))
 
 
-def within_budget(df: DataFrame, key: Sequence[str], order: Sequence[Column], cost: str, budget: int) -> DataFrame:
-    """Rows of each key, in order, as long as the running cost stays within ``budget``; the first that doesn't ends it."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+def within_budget(df: DataFrame, key: Sequence[str], order: Sequence[Column], cost: str, budget: int, piece: Column | None = None) -> DataFrame:
+    """Rows of each key, in order, with ``spent``, as long as the running cost stays within ``budget``; costs aren't negative.
+
+    A key may be large: with ``piece``, a number that grows with the order and has a bounded
+    count of rows, costs are summed by piece first, and only pieces that begin within the
+    budget are sorted.
+    """
+    if piece is None:
+        w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+    cut = df.withColumn("_piece", piece)
+    ahead = Window.partitionBy(*key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*key, "_piece").agg(F.sum(cost).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    near = cut.join(starts.where(F.col("_start") <= budget).drop("_sum"), [*key, "_piece"])
+    w = Window.partitionBy(*key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn("spent", F.col("_start") + F.sum(cost).over(w)).where(F.col("spent") <= budget).drop("_piece", "_start")
 
 
 def round_robin(df: DataFrame, kind: str, order: str, piece: Column) -> DataFrame:
