@@ -42,6 +42,8 @@ FURNITURE = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_WHOLE = frozenset("html body main article".split())
+#: Links in these belong to the text around them.
+PROSE = frozenset("p blockquote article main h1 h2 h3 h4 h5 h6".split())
 #: Elements whose subtrees are counted. Marks inside a line, such as a word in bold, are only templates with all that is around them.
 COUNTED = (BLOCKS | DROPPED) - KEPT_WHOLE
 
@@ -54,23 +56,30 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 @dataclass
 class Page:
-    """Elements in the order of their start tags, and ``flow``: element numbers at starts, ~numbers at ends, and texts."""
+    """Elements in the order of their start tags, and ``flow``: element numbers at starts, ~numbers at ends, and texts.
+
+    ``menus`` has the hash of a subtree without its texts where all of them are links outside
+    prose, as in a menu that names other pages on each page; else 0.
+    """
 
     tags: list[str] = field(default_factory=list)
     attributes: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     hashes: list[int] = field(default_factory=list)
+    menus: list[int] = field(default_factory=list)
     flow: list[int | str] = field(default_factory=list)
 
 
 def parse(source: str) -> Page:
-    """Elements of a page and a hash of every subtree: tag, class, id and all that is inside, white space aside.
+    """Elements of a page and a hash of every subtree: tag, class, id and all that is inside, white space aside (for menus see ``Page``).
 
     End tags that are left out are put in by a few rules of HTML; unknown ones are skipped.
     """
     page = Page()
     stack: list[int] = []
     inside: list[list[bytes]] = [[]]
+    shapes: list[list[bytes]] = [[]]
+    texts: list[list[int]] = [[0, 0]]
     opened: Counter[str] = Counter()
     digest = xxhash.xxh3_64_digest
 
@@ -80,16 +89,26 @@ def parse(source: str) -> Page:
             page.flow.append(value)
             if words := " ".join(value.split()):
                 inside[-1].append(words.encode("utf-8", "replace"))
+                texts[-1][opened["a"] > 0 and not any(opened[t] > 0 for t in PROSE)] += 1
 
     def close() -> None:
         i = stack.pop()
         tag = page.tags[i]
         opened[tag] -= 1
         parts = inside.pop()
-        h = digest(b"\0".join([tag.encode(), b" ".join(marks(page.attributes[i])), *parts]))
+        own = [tag.encode(), b" ".join(marks(page.attributes[i]))]
+        h = digest(b"\0".join([*own, *parts]))
         page.hashes[i] = int.from_bytes(h, "big", signed=True)
         page.flow.append(~i)
         inside[-1].append(b"\1" + h)
+        shape, (other, links) = shapes.pop(), texts.pop()
+        texts[-1][0] += other
+        texts[-1][1] += links
+        if links and not other:
+            h = digest(b"\0".join([b"menu", *own, *shape]))
+            page.menus[i] = int.from_bytes(h, "big", signed=True)
+            if shapes[-1][-1:] != [h]:
+                shapes[-1].append(h)
 
     def close_to(tags: tuple[str, ...], shields: tuple[str, ...]) -> None:
         for depth in range(len(stack) - 1, -1, -1):
@@ -121,9 +140,12 @@ def parse(source: str) -> Page:
         page.attributes.append(m[3] or m[6] or "")
         page.parents.append(stack[-1] if stack else -1)
         page.hashes.append(0)
+        page.menus.append(0)
         page.flow.append(i)
         stack.append(i)
         inside.append([])
+        shapes.append([])
+        texts.append([0, 0])
         opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
@@ -172,7 +194,7 @@ def main_text(page: Page, templates: set[int]) -> str:
     inside an article only headings are kept.
     """
     sizes, parents = [0] * len(page.tags), page.parents
-    gone = [t not in KEPT_WHOLE and (h in templates or unwanted(t, a)) for t, a, h in zip(page.tags, page.attributes, page.hashes, strict=True)]
+    gone = [t not in KEPT_WHOLE and (h in templates or m in templates or unwanted(t, a)) for t, a, h, m in zip(page.tags, page.attributes, page.hashes, page.menus, strict=True)]
     for i, p in enumerate(parents):
         gone[i] = gone[i] or (p >= 0 and gone[p]) or (page.tags[i] == "article" and unwanted("article", page.attributes[i]))
     current = -1
@@ -234,7 +256,8 @@ def host_of(url: Column) -> Column:
 def site_templates(df: DataFrame, html_col: str, url_col: str, least_pages: int, least_share: float) -> DataFrame:
     """(host, templates): hashes of the subtrees that recur on many pages of a host.
 
-    A subtree counts once for each different article it stands beside, so copies of one
+    A subtree is known by all that it holds, a menu also by its shape alone, as the links in
+    it may change. A subtree counts once for each different article it stands beside, so copies of one
     article don't make its paragraphs look like a template. Pages emit their distinct
     subtrees once each; counts are combined before the exchange, so a host with a third of
     all pages is no burden. A template is on ``least_share`` of the pages at least, so a
@@ -248,7 +271,8 @@ def site_templates(df: DataFrame, html_col: str, url_col: str, least_pages: int,
                 page = parse(data.decode("utf-8", "replace"))
                 own = next((h for t, h in zip(page.tags, page.hashes, strict=True) if t in ("article", "main")), None)
                 own = own if own is not None else page.hashes[0] if page.hashes else 0
-                subtrees = {h for t, h in zip(page.tags, page.hashes, strict=True) if t in COUNTED}
+                subtrees = {x for t, h, m in zip(page.tags, page.hashes, page.menus, strict=True) if t in COUNTED and t not in PROSE for x in (h, m) if x}
+                subtrees |= {h for t, h in zip(page.tags, page.hashes, strict=True) if t in COUNTED and t in PROSE}
                 which += [k] * (len(subtrees) + 1)
                 found += [None, *subtrees]
                 beside += [own] * (len(subtrees) + 1)

@@ -49,6 +49,14 @@ def test_templates_alone_remove_the_furniture(spark):
     assert all(got[100 + i] == html_text.main_text(html_text.parse(page(i)), set()) and clean(i) in got[100 + i] for i in range(2))
 
 
+def test_menus_that_change_go_by_their_shape(spark):
+    menu = lambda i: "<section><ul>" + "".join(f"<li><a href='/{i}{k}'>Other story {i} {k}</a>" for k in range(3 + i % 4)) + "</ul></section>"
+    story = lambda i: f"<div><h1><a href='/{i}'>Title {i}</a></h1><p>Story {i} cites <a href='#'>source {i}</a>.<p><a href='#'>Only a link {i}</a></div>"
+    rows = [(i, f"http://menus.example/{i}", f"<body>{menu(i)}{story(i)}</body>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nStory {i} cites source {i}.\nOnly a link {i}" for i in range(20)}
+
+
 def test_long_pages(spark):
     rows = [(i, f"http://long.example/{i}", f"<body><div>menu</div>{''.join(f'<p>line {k} of {i}' for k in range(30_000))}</body>") for i in range(6)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
