@@ -60,10 +60,11 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, seed: int = 0, max_blocks: i
     ``rows_each`` rows are sorted, never a whole shard.
 
     Null and repeated rows are rows like any other. An empty table gives an empty result.
-    Input columns called shard or slot, or with a leading underscore, are dropped.
+    Input columns called shard or slot are replaced, all others pass through.
     """
-    own = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith("_")]
-    base = df.select(*own)
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    own = [f"c{i}" for i in range(len(names))]
+    base = df.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(names, own, strict=True)))
     pid = F.spark_partition_id().alias("_block")
     base = cut_lineage(base.coalesce(max_blocks))
     sizes = {r["_block"]: r["count"] for r in base.groupBy(pid).count().collect()}
@@ -93,4 +94,4 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, seed: int = 0, max_blocks: i
     dealt = base.select("*", pid).mapInArrow(deal, StructType([*base.schema.fields, *extra]))
     bits = pieces_for(sum(sizes.values()), n_shards, rows_each).bit_length() - 1
     dealt = dealt.withColumn("_piece", F.shiftright("_key", KEY_BITS - bits))
-    return gapless_rank(dealt, ["shard"], ["_key", "_row"], "_piece", "slot").select(*own, "shard", "slot")
+    return gapless_rank(dealt, ["shard"], ["_key", "_row"], "_piece", "slot").select(*(F.col(x).alias(c) for x, c in zip(own, names, strict=True)), "shard", "slot")

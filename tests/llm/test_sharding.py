@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,6 +29,13 @@ def test_few_or_no_rows_and_repeats(spark):
     assert Counter(r.shard for r in sharding.shuffle_to_shards(df, 5).collect()) == Counter(dict.fromkeys(range(5), 2))
 
 
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(i, -i, str(i), 7, i) for i in range(30)], "`_key` long, `_row` long, `a.b` string, slot int, c1 long")
+    rows = sharding.shuffle_to_shards(df, 3).collect()
+    assert sorted((r["_key"], r["_row"], r["a.b"], r["c1"]) for r in rows) == [(i, -i, str(i), i) for i in range(30)]
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(3) for k in range(10)]
+
+
 def test_seed_decides(spark):
     a, b, c = (shuffled(spark, 60, seed=s) for s in (1, 1, 2))
     place = lambda rows: {r.text: (r.shard, r.slot) for r in rows}
@@ -67,4 +75,8 @@ def test_whole_table(spark, sf):
     rows = op1_shard_hypergeometric(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id: r.size for r in rows} == {d: len(t.encode()) + 1 for d, t in docs.items()}
-    assert {r.shard for r in rows} == set(range(16)) and {r.law for r in rows} == {"rows"}
+    assert {r.shard for r in rows} == set(range(16)) and {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    assert all(r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in rows) and len(rows) == len(docs)
+    sizes = Counter(r.shard for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(16) for k in range(sizes[s])]
