@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_tree, html_text, language_id, media_ogg, packing, projections, repeats, secrets, sharding, simhash
+from larkspur.functions.text import words
+from larkspur.llm import bpe_tree, html_text, language_id, media_ogg, packing, periodic, projections, repeats, secrets, sharding, simhash
 
 SHARDS = 16
 
@@ -88,8 +89,29 @@ def op2_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by a checksum of its id goes on in repeats of its words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    damaged = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"))).alias("w")).withColumn("n", F.size("w"))
+    damaged = damaged.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return damaged.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_run_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every text, and the text without their repeats."""
+    found = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("word_runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.array_max(F.transform("word_runs", lambda r: F.struct(r["length"], (-r["start"]).alias("at"), (-r["period"]).alias("by"))))
+    named = found.select("doc_id", "run_collapsed", F.size("word_runs").cast("long").alias("n_runs"), lines.alias("lines"), best.alias("best"))
+    longest = named.withColumns({"start": -F.col("best.at"), "length": F.col("best.length"), "period": -F.col("best.by")})
+    digest = F.sha2(F.when(F.col("n_runs") > 0, F.concat("lines", F.lit("\n"))).otherwise(F.lit("")), 256)
+    exponent = F.expr("1000 * length div period").alias("exponent_milli")
+    return longest.select("doc_id", "n_runs", "start", "length", "period", exponent, digest.alias("runs_sha256"), F.sha2("run_collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op2_embedding_collisions, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls)
+    own = (op1_shard_hypergeometric, op2_embedding_collisions, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls, op11_run_convolution)
     return {f.__name__: f for f in own}
 
 
