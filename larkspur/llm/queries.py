@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import words
-from larkspur.llm import bpe_tree, html_text, language_id, media_ogg, packing, periodic, projections, repeats, secrets, sharding, simhash
+from larkspur.llm import bpe_tree, dialogue, html_text, language_id, media_ogg, packing, periodic, projections, repeats, secrets, sharding, simhash
+from larkspur.operators.learning import folded
 
 SHARDS = 16
 
@@ -110,8 +113,43 @@ def op11_run_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest.select("doc_id", "n_runs", "start", "length", "period", exponent, digest.alias("runs_sha256"), F.sha2("run_collapsed", 256).alias("collapsed_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults, by a checksum of conversation and turn: rows dropped, emptied, without sentence ends, repeated, or said by the user."""
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    h = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    changed = {
+        "role": F.when(h == 4, "user").otherwise(role),
+        "text": F.when(h == 1, "").when(h == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text),
+        "copies": F.when(h == 3, 2).otherwise(1),
+    }
+    present = h != 0
+    return rows.select("conv_id", *(F.when(present, c).alias(name) for name, c in ({"turn": F.col("turn")} | changed).items()), present.alias("present")).fillna(1, "copies")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after damage, and the cheapest repair of its structure.
+
+    A digest of a whole conversation needs its turns in order, so pieces go by a task one after the other; it holds the audit and the digest's state.
+    """
+    found = dialogue.repair(damaged(table(spark, sf_dir, "conversations")))
+    counted = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    parts = found.select("conv_id", "piece", *(F.col(f"stats.{c}") for c in counted), dialogue.audit(F.col("edits")).alias("audit"), dialogue.repaired_text(F.col("edits")).alias("text"))
+
+    def add(state: tuple | None, *row: object) -> tuple:
+        *stats, letters, text = row
+        now, audits, digest, begun = state or (stats, [], hashlib.sha256(), False)
+        audits.append(letters)
+        if text is not None:
+            digest.update(("\n" * begun + text).encode())
+        return now, audits, digest, begun or text is not None
+
+    fields = [*((c, "long", pa.int64()) for c in counted), ("audit", "string", pa.string()), ("repaired_sha256", "string", pa.string())]
+    return folded(parts, ["conv_id"], ["piece"], [*counted, "audit", "text"], None, add, fields, lambda s: (*s[0], "".join(s[1]), s[2].hexdigest()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op2_embedding_collisions, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls, op11_run_convolution)
+    own = (op1_shard_hypergeometric, op2_embedding_collisions, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls, op11_run_convolution, op12_conversation_repair)
     return {f.__name__: f for f in own}
 
 
