@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import words
-from larkspur.llm import bpe_tree, dialogue, html_text, language_id, media_ogg, packing, periodic, projections, repeats, secrets, sharding, simhash
+from larkspur.llm import bpe_tree, dialogue, html_text, language_id, media_ogg, packing, periodic, projections, quality, repeats, secrets, sharding, simhash
 from larkspur.operators.learning import folded
 
 SHARDS = 16
@@ -148,8 +148,16 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded(parts, ["conv_id"], ["piece"], [*counted, "audit", "text"], None, add, fields, lambda s: (*s[0], "".join(s[1]), s[2].hexdigest()))
 
 
+def op13_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text, learned from the labels of the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(F.col("doc_id")))
+    found = quality.score(docs, quality.fit(docs, labels, "quality"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard_hypergeometric, op2_embedding_collisions, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls, op11_run_convolution, op12_conversation_repair)
+    own = (op1_shard_hypergeometric, op2_embedding_collisions, op3_media_ogg, op4_suffix_columns, op5_html_templates, op6_language_id, op7_secret_entropy, op8_simhash_ball, op9_bpe_tree, op10_pack_nnls, op11_run_convolution, op12_conversation_repair, op13_quality_additive)
     return {f.__name__: f for f in own}
 
 
