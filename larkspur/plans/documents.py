@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.operators import documents as ops
-from larkspur.operators import relational
+from larkspur.operators import adaptive, relational
 from larkspur.plans.registry import query, table
 
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')"
@@ -70,6 +70,17 @@ def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.chunk(docs(spark, sf_dir, "text"), "doc_id", "text", target=120, most=200, least=30)
 
 
+#: Titles of sections, by number.
+TITLES = ("Surgical technique", "Anatomy", "Tumor grade", "Management", "A case", "Differential", "CT imaging", "Outcome study", "Other")
+
+
+@query()
+def chunk_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents, with limits by a title and by the complexity of the text."""
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("doc_id") % len(TITLES) + 1).cast("int"))
+    return adaptive.chunk_adaptive(docs(spark, sf_dir, "text").withColumn("title", title), "doc_id", "title", "text")
+
+
 @query("SELECT doc_id, list_sort(list_distinct(list_concat([doc_id % 9, doc_id % 5, doc_id % 7], range(1, doc_id % 4 + 2))))::INTEGER[] AS cited FROM documents")
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
