@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from larkspur.plans import analytics, documents, entities, graph, learning, linking, phrases, relational, retrieval, rules, stores, streams, validity, vector_index  # noqa: F401
+    from larkspur.plans import analytics, documents, entities, graph, keyword, learning, linking, phrases, relational, retrieval, rules, stores, streams, validity, vector_index  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

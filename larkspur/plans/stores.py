@@ -79,3 +79,21 @@ def table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.arrays_zip(F.regexp_extract_all("html", F.lit(link), F.lit(1)).alias("a"), F.regexp_extract_all("html", F.lit(link), F.lit(2)).alias("b"))
     rows = table(spark, sf_dir, "pages").select("page_id", F.transform(cells, lambda x: F.array(x["a"], x["b"])).alias("r")).where(F.size("r") > 0)
     return rows.select("page_id", rules.parse_markdown_table(rules.markdown_table(F.col("r"))).alias("rows"))
+
+
+@query("""
+    WITH p AS (SELECT DISTINCT page_id % 20 AS part FROM pages)
+    SELECT part, CASE part % 5 WHEN 1 THEN 'touched' WHEN 2 THEN 'changed' WHEN 3 THEN 'new' ELSE 'same' END AS state, 1 AS files FROM p UNION ALL SELECT part, 'gone', 1 FROM p WHERE part % 5 = 4""")
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages in a file for each of twenty folders, scanned against a scan that knew some of them with other times, sizes or names, or not at all."""
+    path = new_folder(spark)
+    pages = table(spark, sf_dir, "pages").withColumn("part", F.col("page_id") % 20)
+    pages.repartition(20, "part").write.partitionBy("part").json(path)
+    nothing = spark.createDataFrame([], "path string, size long, modified timestamp, content_hash string")
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
+    first = files.scan_changes(spark, path, nothing, "*.json").withColumn("kind", part % 5).where("kind <> 3")
+    earlier = F.when(F.col("kind").isin(1, 2), F.col("modified") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("modified"))
+    known = first.select("path", (F.col("size") + F.when(F.col("kind") == 2, 1).otherwise(0)).alias("size"), earlier.alias("modified"), F.when(F.col("kind") == 2, "other").otherwise(F.col("content_hash")).alias("content_hash"), "kind")
+    lost = known.where("kind = 4").withColumn("path", F.concat("path", F.lit(".old")))
+    found = files.scan_changes(spark, path, files.cut_lineage(known.unionByName(lost).drop("kind")), "*.json")
+    return found.groupBy(part.alias("part"), "state").agg(F.count("*").cast("int").alias("files"))

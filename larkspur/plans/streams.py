@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.plans.registry import query
 from larkspur.streaming import logs
+from larkspur.streaming import recent as live
 
 
 def _cents() -> list[Column]:
@@ -36,3 +37,18 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = logs.read_log(spark, f"{sf_dir}/events.parquet")
     twice = log.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     return logs.run_available(logs.distinct_recent(twice, "ts", ["event_id"]).select("event_id", "user_id", "event_type"), "append")
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events), l AS (SELECT *, lag(ms) OVER w AS before, lag(event_id) OVER w AS was FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))
+    SELECT user_id, event_id, coalesce(ms - before <= 7200000, FALSE) AS hit, CASE WHEN ms - before <= 7200000 THEN was END AS served FROM l""")
+def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each user's event finds the one before it still alive after two hours."""
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.PROVIDER)
+    try:
+        log = logs.read_log(spark, f"{sf_dir}/events.parquet")
+        out = logs.run_available(live.recent(log, "ts", "user_id", "event_id", 2 * 3600 * 1000), "append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "hit", "served")

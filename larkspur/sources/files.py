@@ -70,6 +70,35 @@ def scan_directory(spark: SparkSession, path: str, pattern: str = "*.pdf") -> Da
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"))
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, size, modified) of all files below ``path``; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def scan_changes(spark: SparkSession, path: str, last: DataFrame, pattern: str = "*", page: int = 10_000) -> DataFrame:
+    """(path, size, modified, content_hash, state): the files below ``path`` against the ``last`` scan (path, size, modified, content_hash).
+
+    A listing tells what may have changed: a file of the same size and time is ``same`` and keeps
+    its hash unread. Only the others are read and hashed, by their paths, ``page`` at a time; one whose
+    content is what it was is ``touched``, else ``changed``, or ``new`` without a row in ``last``.
+    ``gone`` files come with what was known of them. Paths pass through the driver as in any listing, contents don't.
+    """
+    now = cut_lineage(list_files(spark, path, pattern))
+    known = last.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.col("content_hash").alias("_hash"))
+    both = now.join(known, "path", "left")
+    same = F.col("_size").eqNullSafe(F.col("size")) & F.col("_modified").eqNullSafe(F.col("modified"))
+    fresh = [r["path"] for r in both.where(~same).select("path").toLocalIterator()]
+    result = both.where(same).select("path", "size", "modified", F.col("_hash").alias("content_hash"), F.lit("same").alias("state"))
+    for i in range(0, len(fresh), page):
+        named = [p.replace("\\", "\\\\").translate({ord(c): f"\\{c}" for c in "{}[]*?"}) for p in fresh[i : i + page]]
+        read = spark.read.format("binaryFile").load(named).select("path", F.sha2("content", 256).alias("content_hash"))
+        state = F.when(F.col("_size").isNull(), "new").when(F.col("_hash").eqNullSafe(F.col("content_hash")), "touched").otherwise("changed")
+        result = result.unionByName(both.join(read, "path").select("path", "size", "modified", "content_hash", state.alias("state")))
+    gone = known.join(now.select("path"), "path", "left_anti").select("path", F.col("_size").alias("size"), F.col("_modified").alias("modified"), F.col("_hash").alias("content_hash"), F.lit("gone").alias("state"))
+    return result.unionByName(gone)
+
+
 def export_phase(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """Write tables as Parquet with a manifest (name, rows), which is returned; rows are counted while they are written."""
     from pyspark.sql import Observation
