@@ -39,10 +39,11 @@ def equals(value: object) -> Callable[[Column], Column]:
     return lambda x: x == value
 
 
-def first_samples(value: Column, order: Sequence[Column], n: int) -> Column:
-    """The values of the first ``n`` rows of a group in the order of numbers ``order``."""
-    rows = F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), value.alias("value"))))
-    return F.transform(F.slice(rows, 1, n), lambda r: r["value"])
+def first_samples(df: DataFrame, key: Sequence[str], value: str, order: Sequence[Column], n: int) -> DataFrame:
+    """(key, samples): the values of the first ``n`` rows of each key in ``order``; ranked first, so that no more than these come together."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    few = df.select(*key, F.col(value).alias("_v"), rank.alias("_r")).where(F.col("_r") <= n)
+    return few.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias("samples"))
 
 
 def streaks(df: DataFrame, key: str, day: str, as_of: Column) -> DataFrame:

@@ -60,11 +60,9 @@ def three_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, event_type, count(*) AS n, round(avg(value), 8) AS mean, list_slice(list(event_id ORDER BY ts DESC, event_id DESC) FILTER (WHERE value > 20), 1, 5) AS samples
     FROM events GROUP BY 1, 2 HAVING count(*) FILTER (WHERE value > 20) > 0""")
 def array_agg_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    good = F.when(F.col("value") > 20, F.struct((-F.col("us")).alias("a"), (-F.col("event_id")).alias("b"), F.col("event_id").alias("id")))
-    samples = F.transform(F.slice(F.array_sort(F.collect_list(good)), 1, 5), lambda r: r["id"])
-    out = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"), samples.alias("samples"))
-    return out.where(F.size("samples") > 0)
+    e = table(spark, sf_dir, "events")
+    samples = ops.first_samples(e.where("value > 20"), ["user_id", "event_type"], "event_id", [F.desc("ts"), F.desc("event_id")], 5)
+    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean")).join(samples, ["user_id", "event_type"])
 
 
 @query("""

@@ -78,10 +78,11 @@ def type_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_k(s, "score", "vec_id", 25, key=EACH)
 
 
-@query(f"WITH {_S} SELECT query_id, vec_id, round(sim * CASE WHEN label = 0 THEN 0.1 ELSE 1 + (authority - 0.7) * 0.15 END, 6) AS score FROM s WHERE sim > 0.1")
+@query(first(f"WITH {_S} SELECT query_id, vec_id, round(sim * CASE WHEN label = 0 THEN 0.1 ELSE 1 + (authority - 0.7) * 0.15 END, 6) AS score FROM s WHERE sim > 0.1", 50, "score"))
 def authority_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     boost = ops.authority_boost(F.col("authority"), F.col("label"), 0)
-    return candidates(spark, sf_dir).where("sim > 0.1").select("query_id", "vec_id", F.round(F.col("sim") * boost, 6).alias("score"))
+    s = candidates(spark, sf_dir).where("sim > 0.1").select("query_id", "vec_id", F.round(F.col("sim") * boost, 6).alias("score"))
+    return ops.top_k(s, "score", "vec_id", 50, key=EACH)
 
 
 _LISTED = first("SELECT query_id, vec_id, weight, row_number() OVER (PARTITION BY query_id, weight ORDER BY sim DESC, vec_id) AS rank FROM s", 40, "weight, sim").replace("PARTITION BY query_id ORDER BY weight, sim", "PARTITION BY query_id, weight ORDER BY sim")
@@ -119,21 +120,23 @@ def ensemble_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {_S}, r AS (SELECT query_id, label, vec_id, sim + len(list_intersect(cuis, ['c3', 'd5'])) * 0.2::DOUBLE * 0.1::DOUBLE + CASE WHEN vec_id % 4 = 0 THEN 0.1 ELSE 0 END::DOUBLE AS raw FROM s WHERE sim > 0)
-    SELECT query_id, vec_id, round(raw / max(raw) OVER (PARTITION BY query_id, label), 6) AS score FROM r""")
+    SELECT * FROM (SELECT query_id, vec_id, round(raw / max(raw) OVER (PARTITION BY query_id, label), 6) AS score FROM r) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 50""")
 def medical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlap = F.size(F.array_intersect("cuis", asked()))
     raw = F.col("sim") + overlap * 0.2 * 0.1 + F.when(F.col("vec_id") % 4 == 0, 0.1).otherwise(0.0)
     s = candidates(spark, sf_dir).where("sim > 0").select("query_id", "label", "vec_id", raw.alias("score"))
-    return ops.relative_to_best(s, "score", ["query_id", "label"]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    best = ops.relative_to_best(s, "score", ["query_id", "label"]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return ops.top_k(best, "score", "vec_id", 50, key=EACH)
 
 
 @query(f"""
     WITH {_S}, r AS (SELECT query_id, vec_id, label, 0.4::DOUBLE * sim + 0.3::DOUBLE * {_QUALITY} AS a, (vec_id % 10) / 10.0::DOUBLE AS diversity FROM s WHERE sim > 0), t AS (SELECT *, 0.7::DOUBLE * a + 0.3::DOUBLE * diversity AS b FROM r)
-    SELECT query_id, vec_id, round(b / max(b) OVER (PARTITION BY query_id, label), 6) AS score FROM t""")
+    SELECT * FROM (SELECT query_id, vec_id, round(b / max(b) OVER (PARTITION BY query_id, label), 6) AS score FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 50""")
 def pipeline_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = 0.7 * (0.4 * F.col("sim") + 0.3 * ops.quality_score(_parts())) + 0.3 * ((F.col("vec_id") % 10) / 10.0)
     s = candidates(spark, sf_dir).where("sim > 0").select("query_id", "label", "vec_id", b.alias("score"))
-    return ops.relative_to_best(s, "score", ["query_id", "label"]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    best = ops.relative_to_best(s, "score", ["query_id", "label"]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return ops.top_k(best, "score", "vec_id", 50, key=EACH)
 
 
 @query("""

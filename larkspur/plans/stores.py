@@ -21,7 +21,7 @@ def new_folder(spark: SparkSession) -> str:
 
 @query("SELECT doc_id::VARCHAR AS id, source AS document_id, text AS content, n_chars::INTEGER AS page_number, [doc_id::FLOAT, 1::FLOAT] AS embedding, NULL::VARCHAR AS summary FROM documents")
 def chunk_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents appended as chunks under other column names, a folder for each source, and read back."""
+    """Documents appended as chunks under other column names, in a bounded number of folders, and read back."""
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("text").alias("content"), F.col("n_chars").alias("start_page"), F.array(F.col("doc_id").cast("float"), F.lit(1.0).cast("float")).alias("text_embedding"), F.lit("x").alias("unknown"))
     path = new_folder(spark)
@@ -55,9 +55,10 @@ def graph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of each source as summaries: how many hold, what is wrong, and the ten shortest."""
     d = table(spark, sf_dir, "documents")
-    samples = analytics.first_samples(F.col("doc_id"), [F.col("n_chars"), F.col("doc_id")], 10)
+    samples = analytics.first_samples(d, ["source"], "doc_id", [F.col("n_chars"), F.col("doc_id")], 10).withColumnRenamed("source", "_source")
     short = F.col("n_chars") < 200
-    return d.groupBy("source").agg(F.count("*").alias("total"), F.count_if(~short).alias("valid"), F.count_if(short).alias("short"), F.count_if(~F.col("text").rlike("[.!?]$")).alias("cut_off"), samples.alias("samples"))
+    counts = d.groupBy("source").agg(F.count("*").alias("total"), F.count_if(~short).alias("valid"), F.count_if(short).alias("short"), F.count_if(~F.col("text").rlike("[.!?]$")).alias("cut_off"))
+    return counts.join(samples, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 @query("SELECT tag, round(avg(rating), 8) AS mean FROM (SELECT unnest([event_type, 'phase_' || event_id % 5]) AS tag, CASE WHEN value < 30 THEN 1 WHEN value < 60 THEN 2 WHEN value < 150 THEN 3 ELSE 4 END AS rating FROM events) GROUP BY 1 HAVING avg(rating) < 2.5")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Canonical schemas of the document model.
@@ -51,9 +51,28 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns)
 
 
+#: Folders that stored chunks are dealt into.
+CHUNK_FOLDERS = 256
+
+
+def chunk_folder(document_id: Column) -> Column:
+    """The folder of a document's chunks."""
+    return F.pmod(F.xxhash64(document_id.cast("string")), F.lit(CHUNK_FOLDERS)).cast("int")
+
+
 def append_chunks(df: DataFrame, path: str) -> None:
-    """Append chunks below ``path``, a folder for each document, so that a document is read or replaced alone."""
-    conform(df, "chunks").repartition("document_id").write.mode("append").partitionBy("document_id").parquet(path)
+    """Append chunks below ``path`` in folders by a hash of their document, sorted, so that a document is read alone and a large one has many writers."""
+    rows = conform(df, "chunks").withColumn("folder", chunk_folder(F.col("document_id")))
+    dealt = rows.repartitionByRange("folder", "document_id", "chunk_index", "id").sortWithinPartitions("folder", "document_id", "chunk_index")
+    dealt.write.mode("append").partitionBy("folder").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
+    """Stored chunks, of all documents or of one; for one, its folder alone is opened, and sorted files are skipped by their statistics."""
+    rows = spark.read.parquet(path)
+    if document_id is not None:
+        rows = rows.where((F.col("folder") == chunk_folder(F.lit(document_id))) & (F.col("document_id") == document_id))
+    return rows.drop("folder")
 
 
 def write_catalog(df: DataFrame, path: str) -> None:

@@ -193,6 +193,7 @@ def test_files(spark, tmp_path):
     chunk = spark.createDataFrame([("c1", "d1", [1.0], 4), ("c2", "d2", None, None)], "id string, document_id string, text_embedding array<float>, start_page int")
     files.append_chunks(chunk, f"{tmp_path}/chunks")
     back = {r.id: r for r in spark.read.parquet(f"{tmp_path}/chunks").collect()}
+    assert [r.id for r in files.read_chunks(spark, f"{tmp_path}/chunks", "d1").collect()] == ["c1"] and files.read_chunks(spark, f"{tmp_path}/chunks").count() == 2
     assert back["c1"].embedding == [1.0] and back["c1"].page_number == 4 and back["c2"].embedding is None
     manifest = files.export_phase({"a": spark.range(7), "b": spark.range(2)}, f"{tmp_path}/export")
     assert {r.name: r.rows for r in manifest.collect()} == {"a": 7, "b": 2}
