@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,7 +47,8 @@ PROSE = frozenset("p blockquote article main h1 h2 h3 h4 h5 h6".split())
 #: Elements whose subtrees are counted. Marks inside a line, such as a word in bold, are only templates with all that is around them.
 COUNTED = (BLOCKS | DROPPED) - KEPT_WHOLE
 
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
+#: A start tag may have ">" in quotes, in the first 200 pieces of its attributes; so a page of broken quotes isn't read to its end from every tag.
+TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'){0,200}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z0-9]+")
 #: The first part of a URL's authority without user, port and case.
@@ -81,6 +82,7 @@ def parse(source: str) -> Page:
     shapes: list[list[bytes]] = [[]]
     texts: list[list[int]] = [[0, 0]]
     opened: Counter[str] = Counter()
+    depths: defaultdict[str, list[int]] = defaultdict(lambda: [-1])
     digest = xxhash.xxh3_64_digest
 
     def text(value: str) -> None:
@@ -95,6 +97,7 @@ def parse(source: str) -> Page:
         i = stack.pop()
         tag = page.tags[i]
         opened[tag] -= 1
+        depths[tag].pop()
         parts = inside.pop()
         own = [tag.encode(), b" ".join(marks(page.attributes[i]))]
         h = digest(b"\0".join([*own, *parts]))
@@ -111,17 +114,13 @@ def parse(source: str) -> Page:
                 shapes[-1].append(h)
 
     def close_to(tags: tuple[str, ...], shields: tuple[str, ...]) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            tag = page.tags[stack[depth]]
-            if tag in tags:
-                while len(stack) > depth:
-                    close()
-                return
-            if tag in shields:
-                return
-
-    at = 0
-    while m := TOKEN.search(source, at):
+        depth = max(depths[t][-1] for t in tags)
+        if depth > max((depths[t][-1] for t in shields), default=-1):
+            while len(stack) > depth:
+                close()
+
+    at, last = 0, source.rfind(">")
+    while (m := TOKEN.search(source, at)) if at <= last else None:
         text(source[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -142,6 +141,7 @@ def parse(source: str) -> Page:
         page.hashes.append(0)
         page.menus.append(0)
         page.flow.append(i)
+        depths[tag].append(len(stack))
         stack.append(i)
         inside.append([])
         shapes.append([])
@@ -156,7 +156,7 @@ def parse(source: str) -> Page:
                 close()
         elif tag in VOID:
             close()
-    text(source[at:])
+    text(source[at:].split("<!--", 1)[0])
     while stack:
         close()
     return page

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from larkspur.llm import html_text
@@ -57,6 +58,15 @@ def test_menus_that_change_go_by_their_shape(spark):
     assert got == {i: f"Title {i}\nStory {i} cites source {i}.\nOnly a link {i}" for i in range(20)}
 
 
+def test_broken_pages_are_read_in_one_pass():
+    began = time.monotonic()
+    for page in ("<a " * 300_000, "x<a " * 300_000 + ">", "<p><button>" + "<div>" * 200_000, "<a '\">" * 100_000, '<a ">" ' * 100_000, "<!x " * 200_000, "<li><ul>" * 50_000 + "<li>" * 100_000, "a<!--" * 200_000):
+        html_text.parse(page)
+    assert time.monotonic() - began < 40
+    assert text_of("a <b> c <!-- never ends") == "a c" and text_of("a <!-- x") == "a" and text_of("1 < 2 <a") == "1 < 2 <a"
+    assert text_of("<p>a<button>b<p>c</button><p>d") == "a\nd" and text_of("<table><tr><td><p>a<table><tr><td>b</table>c<td>d</table>") == "a\nb\nc\nd"
+
+
 def test_long_pages(spark):
     rows = [(i, f"http://long.example/{i}", f"<body><div>menu</div>{''.join(f'<p>line {k} of {i}' for k in range(30_000))}</body>") for i in range(6)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
