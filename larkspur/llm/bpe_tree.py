@@ -9,6 +9,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
@@ -26,9 +27,11 @@ SURE = regex.compile(r"(?<=\p{L})(?= \p{L})")
 
 
 class Codec:
-    """Encodes and decodes with the ranks of one file; whole texts come out as the library would encode them at once."""
+    """Encodes and decodes with the ranks of one file; whole texts come out as the library would encode them at once. The sure places hold for one pattern; any other is refused."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("no sure places are known for this pattern")
         lines = Path(ranks_path).read_bytes().splitlines()
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, lines))}
         self.leaf = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from larkspur.llm.common import cut_lineage, row_hash, slices, text_bytes
+from larkspur.llm.common import cut_lineage, slices, text_bytes
 from larkspur.llm.components import connected_components
 
 BITS = 64
@@ -96,18 +96,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(names, "fp").select(id_col, *carry, "fp", "component_id", (F.col("_row") == F.col("_kept")).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """The rows of ``df`` that ``near_duplicates`` keeps: one of each component, whole.
-
-    Kept rows are found again by two hashes of id and text; of repeated rows one stays.
-    """
-    a, b = row_hash(id_col, text_col)
-    named = df.withColumns({"_a": a, "_b": b})
-    kept = near_duplicates(named, id_col, text_col, width, radius, seed, ("_a", "_b")).where("kept").select("_a", "_b")
-    one = Window.partitionBy("_a", "_b").orderBy("_a")
-    return named.join(kept, ["_a", "_b"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*df.columns)
-
-
 def hex_fingerprint(fp: Column) -> Column:
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), BITS // 4, "0"))

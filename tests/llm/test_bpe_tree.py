@@ -52,3 +52,8 @@ def test_whole_table(spark, sf, library):
         ids = library.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_other_patterns_are_refused():
+    with pytest.raises(ValueError, match="pattern"):
+        bpe_tree.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), r"\w+|\W")
