@@ -110,3 +110,34 @@ def test_limits_follow_kind_and_complexity(spark, sections):
 def test_what_stays_together():
     assert adaptive.tied("Step 2 opens the dura.", "This is safe.") and adaptive.tied("Use suction.", "Move carefully.") and adaptive.tied("A.", "However, no.")
     assert adaptive.tied("WHO IV tumors.", "They show criteria.") and not adaptive.tied("Use suction.", "Move on.") and not adaptive.tied("Done.", "Carefully.")
+
+
+def plain_scores(text):
+    """(readability, coherence, completeness, orphan) of a text, rule by rule."""
+    parts, count, low = sentences_of(text), len(re.findall(r"[^ \t\n\r\f\x0b]+", text)), text.lower()
+    mean = count / max(1, len(parts))
+    length = max(0.3, mean / 15) if mean < 15 else max(0.3, 1 - (mean - 25) / 30) if mean > 25 else 1.0
+    short = set(re.findall(r"\b([A-Z]{2,6})\b", text))
+    known = sum(f"({a})" in text for a in short) / len(short) if short else 1.0
+    density = 300 / count if count else 0.0
+    readable = 0.35 * length + 0.30 * known + 0.25 * (1.0 if density <= 15 else max(0.3, 1 - (density - 15) / 30)) + min(0.15, 0.05 * sum(w in low for w in documents.EXPLANATORY))
+    sets = [set(re.findall(r"[a-z0-9_]+", p.lower())) for p in parts]
+    shares = [len(a & b) / len(a) if a else 0.5 for a, b in zip(sets, sets[1:], strict=False)]
+    coherent = sum(shares) / len(shares) if shares else 0.85
+    alone = 1.0 - 0.2 * sum(bool(re.search(p, text)) for p in documents.DANGLING)
+    size = count / 20 if count < 20 else max(0.8, 1 - (count - 300) / 500) if count > 300 else 1.0
+    ended = 1.0 if re.search(r"[.!?)\"'](?=\n?\Z)", text.strip(" ")) else 0.7
+    complete = 0.30 * alone + 0.40 * 0.7 + 0.15 * ended + 0.15 * size
+    return readable, coherent, complete, any(re.search(p, text.strip(" ")[:100]) for p in documents.ORPHAN)
+
+
+def test_chunk_quality(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()}
+    got = {r.doc_id: r for r in QUERIES["chunk_quality"](spark, sf).collect()}
+    for d, text in docs.items():
+        r = got[d]
+        *scores, orphan = plain_scores(text)
+        assert (r.readability, r.coherence, r.completeness) == pytest.approx(tuple(scores)) and r.orphan == orphan, d
+        total = 0.20 * scores[0] + 0.25 * scores[1] + 0.35 * scores[2] + 0.20 * 0.8
+        total = max(0.0, total - 0.20) if orphan else total
+        assert r.quality == pytest.approx(total) and r.acceptable == (r.quality >= 0.5)
