@@ -15,12 +15,14 @@ def page_of() -> Column:
 
 
 @query("""
-    WITH c AS (SELECT doc_id AS chunk, source AS document, 'figure ' || (doc_id % 13) AS key FROM documents), i AS (SELECT vec_id AS image, 'src' || (vec_id % 20) AS document, 'figure ' || (vec_id % 17) AS key FROM embeddings)
+    WITH c AS (SELECT doc_id AS chunk, source AS document, 'figure ' || (doc_id // 100) AS key FROM documents), i AS (SELECT vec_id AS image, 'src' || (vec_id % 20) AS document, 'figure ' || (vec_id // 100) AS key FROM embeddings)
     SELECT DISTINCT document, chunk, image FROM c JOIN i USING (document, key)""")
 def link_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = F.array(F.concat(F.lit("Fig. 3."), F.col("doc_id") % 13), F.concat(F.lit("FIGURE  "), F.col("doc_id") % 13))
+    """Texts and the figures that they name; a figure's number is told by a hundred ids, so links grow with the tables and not with their product."""
+    number = F.expr("doc_id div 100")
+    refs = F.array(F.concat(F.lit("Fig. 3."), number), F.concat(F.lit("FIGURE  "), number))
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), F.col("source").alias("document"), refs.alias("refs"))
-    figure = F.concat(F.lit("fig "), F.col("vec_id") % 17)
+    figure = F.concat(F.lit("fig "), F.expr("vec_id div 100"))
     images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.concat(F.lit("src"), F.col("vec_id") % 20).alias("document"), figure.alias("figure"))
     return ops.link_by_reference(chunks, images)
 
