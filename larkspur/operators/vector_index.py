@@ -284,7 +284,7 @@ def met(index: Index, queries: DataFrame, probes: int, columns: tuple[str, ...],
     blocks = probed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     bounds = cut_lineage(pieces.join(blocks, "cell"))  # a row for each list, MOST_LISTS at most
     spread = lists.select("cell", "id", *columns).join(F.broadcast(bounds), "cell")
-    left = spread.withColumn("piece", F.pmod(F.xxhash64("id"), "pieces")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("pieces", "blocks")
+    left = spread.withColumn("piece", F.pmod(F.xxhash64("id"), "pieces")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("pieces", "blocks")  # keys of one type on both sides, as others hash apart
     asking = probed.join(F.broadcast(bounds), "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1))).drop("pieces", "blocks")
 
     def best(key: tuple, rows: pa.Table, who: pa.Table) -> pa.Table:
