@@ -37,3 +37,12 @@ def test_lists_meet_all_queries_across_partitions(spark, tmp_path, no_coalescing
     asked = e.where("vec_id < 4").selectExpr("vec_id AS query_id", "embedding AS q")
     found = vi.search(index, asked, 600, probes=len(index.centroids))
     assert found.groupBy("query_id").count().where("count = 600").count() == 4
+
+
+@pytest.mark.parametrize(("name", "bound"), [("authority_boost", 0.1)])
+def test_reranks_give_every_match(spark, sf, name, bound):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toArrow()
+    x = np.array(e.column("embedding").to_pylist(), dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = x[e.column("vec_id").to_numpy() % 100 == 0]
+    assert QUERIES[name](spark, sf).count() == (asked @ x.T > bound).sum()
