@@ -39,7 +39,7 @@ def test_lists_meet_all_queries_across_partitions(spark, tmp_path, no_coalescing
     assert found.groupBy("query_id").count().where("count = 600").count() == 4
 
 
-@pytest.mark.parametrize(("name", "bound"), [("authority_boost", 0.1), ("medical_rerank", 0)])
+@pytest.mark.parametrize(("name", "bound"), [("authority_boost", 0.1), ("medical_rerank", 0), ("pipeline_rerank", 0)])
 def test_reranks_give_every_match(spark, sf, name, bound):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toArrow()
     x = np.array(e.column("embedding").to_pylist(), dtype=float)
