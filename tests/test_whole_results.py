@@ -46,3 +46,12 @@ def test_reranks_give_every_match(spark, sf, name, bound):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     asked = x[e.column("vec_id").to_numpy() % 100 == 0]
     assert QUERIES[name](spark, sf).count() == (asked @ x.T > bound).sum()
+
+
+def test_units_end_where_words_end(spark, tmp_path):
+    """RE2 ends a word before a letter that isn't ASCII; 5 st\u00df has no unit, and \u00e45 % no number of its own."""
+    texts = ["a 5 st\u00df b 6 st c 7 st. 8 main", "x\u00e45 % y 6 % \u00e9not so. We have it. not\u00e9 that", None, "1 st 2 st 3 of"]
+    folder = tmp_path / "tables"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    rows = same_as_sql(spark, folder, "fact_extraction", "documents")
+    assert sum(r[1] == "measure" for r in rows) == 6 and sum(r[1] == "percent" for r in rows) == 1
