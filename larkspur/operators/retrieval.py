@@ -230,19 +230,19 @@ def synthesis_search(pairs: DataFrame, key: str, item: str, score: str, vector:
 
 
 def exclusive_assignment(scores: DataFrame, group: str, request: str, item: str, score: str, least: float, each: int = 1) -> DataFrame:
-    """(group, request, item, score): requests in order take their best items that no earlier request took. Groups are bounded and independent."""
+    """(group, request, item, score): requests in order take their best items that no earlier request took. Groups are bounded and independent; a fold over a group's sorted offers settles it."""
+    offer = F.struct(F.col(request).alias("r"), (-F.col(score)).alias("d"), F.col(item).alias("i"), F.col(score).alias("s"))
+    grouped = scores.where(F.col(score) >= least).groupBy(group).agg(F.array_sort(F.collect_list(offer)).alias("_o"))
     kinds = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
+    won = f"array<struct<r:{kinds[request]},i:{kinds[item]},s:{kinds[score]}>>"
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        out = []
-        for name, part in rows[rows[score] >= least].sort_values([request, score, item], ascending=[True, False, True]).groupby(request, sort=True):
-            free = part[~part[item].isin(taken)].head(each)
-            taken |= set(free[item])
-            out += [(part[group].iloc[0], name, i, s) for i, s in zip(free[item], free[score], strict=True)]
-        return pd.DataFrame(out, columns=[group, request, item, score])
+    def settle(out: Column, o: Column) -> Column:
+        same = F.size(F.filter(out, lambda x: x["r"].eqNullSafe(o["r"])))
+        taken = F.exists(out, lambda x: x["i"].eqNullSafe(o["i"]))
+        return F.when(taken | (same >= each), out).otherwise(F.concat(out, F.array(F.struct(o["r"].alias("r"), o["i"].alias("i"), o["s"].alias("s"))).cast(won)))
 
-    return scores.select(group, request, item, score).groupBy(group).applyInPandas(settle, ", ".join(f"{c} {kinds[c]}" for c in (group, request, item, score)))
+    picked = grouped.select(group, F.explode(F.aggregate("_o", F.array().cast(won), settle)).alias("_x"))
+    return picked.select(group, F.col("_x.r").alias(request), F.col("_x.i").alias(item), F.col("_x.s").alias(score))
 
 
 def keyword_score(tokens: Column, asked: Sequence[str]) -> Column:

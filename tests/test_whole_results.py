@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from larkspur.operators import exact_search as exact
+from larkspur.operators import retrieval
 from larkspur.operators import vector_index as vi
 from larkspur.plans import registry
 
@@ -81,3 +82,18 @@ def test_exact_search_over_many_pieces(spark, monkeypatch, no_coalescing, k):
         want += [(q, i, -s) for s, i in rows[:k]]
     assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
     assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=2e-6)
+
+
+def test_ids_on_a_stream_keep_their_digits(spark, tmp_path):
+    folder = tmp_path / "tables"
+    spark.sql("SELECT 1152921504606846977 + id AS event_id, id % 3 AS user_id, timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id * 37 % 200 AS INT)) AS ts FROM range(30)").coalesce(1).write.parquet(str(folder / "events.parquet"))
+    rows = same_as_sql(spark, folder, "stream_recent", "events")
+    assert len(rows) == 30 and any(True in r for r in rows)
+
+
+def test_orders_settle_without_a_call_each(spark):
+    """Each group is settled by expressions, without a Python worker."""
+    df = spark.createDataFrame([(0, 1, "x", 0.9), (0, 1, "y", 0.5), (0, 2, "x", 0.8), (0, 2, "z", 0.4), (1, 2, "x", 0.2), (1, 1, "x", 0.4)], "g int, r int, i string, s double")
+    found = retrieval.exclusive_assignment(df, "g", "r", "i", "s", 0.3, each=2)
+    assert {tuple(x) for x in found.collect()} == {(0, 1, "x", 0.9), (0, 1, "y", 0.5), (0, 2, "z", 0.4), (1, 1, "x", 0.4)}
+    assert "Pandas" not in found._jdf.queryExecution().toString()
