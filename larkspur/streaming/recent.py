@@ -26,8 +26,8 @@ class Recent(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = pd.concat(list(rows)).sort_values(["at", "id"], ignore_index=True)
         before = self.last.get() if self.last.exists() else None
-        at = now["at"].shift(1).astype("Int64")
-        seen = now["id"].shift(1).astype("Int64")
+        at = now["at"].astype("Int64").shift(1)  # not by way of doubles, which lose digits of large ids
+        seen = now["id"].astype("Int64").shift(1)
         if before is not None:
             at[0], seen[0] = before[0], before[1]
         hit = (now["at"] - at <= self.lives).fillna(False).astype(bool)
