@@ -1,4 +1,4 @@
-"""Exact vector search of many queries against all rows: blocks of queries meet pieces of rows as matrices."""
+"""Exact search of many queries against all rows, by vectors or sets: blocks of queries meet pieces of rows as matrices."""
 
 from __future__ import annotations
 
@@ -148,3 +148,51 @@ def search(
         asking, fields = asking.join(best, "query_id", "left"), [*fields, "tops"]
     pairs = pieces.crossJoin(blocks(asking, F.struct(*fields))).mapInArrow(found, f"query_id {kinds['query_id']}, {item} {kinds[item]}, {name} double")
     return pairs if k is None else top_k(pairs, name, item, k, key=["query_id"])
+
+
+def set_search(df: DataFrame, queries: DataFrame, item: str, k: int, least: float, measure: str = "jaccard", digits: int = 6, scale: float = 1.0, members: str = "members", name: str = "similarity") -> DataFrame:
+    """(query_id, item, ``name``): the ``k`` rows of ``df`` whose sets (array<string>) are most similar to each of ``queries`` (query_id, q), if ``least`` or more.
+
+    Similarity is ``scale`` times the shared members over all of both (jaccard) or over those of the
+    smaller set (overlap), rounded; ties go to the smaller item; empty and null sets are similar to nothing.
+    Shared members are counted by a product of matrices over the members of a few queries,
+    so a member that all have costs no more than another; the ``k`` best of a query leave a piece.
+    """
+    if measure not in ("jaccard", "overlap"):
+        raise ValueError("measure is jaccard or overlap")
+    rows, asked = df.count(), queries.count()
+    kinds = {f.name: f.dataType.simpleString() for f in (*df.schema.fields, *queries.schema.fields)}
+    different = lambda c: F.array_compact(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))))
+    pieces = packed(df.select(item, different(members).alias("m")), item, PIECE_ROWS, rows, F.struct(F.col(item).alias("id"), "m"), "_rows")
+    blocks = packed(queries.select("query_id", different("q").alias("m")), "query_id", BLOCK_ROWS, asked, F.struct("query_id", "m"), "_qs")
+    size = queries.agg(F.sum(F.length(F.array_join("q", ",")))).first()[0] or 0
+    blocks = F.broadcast(blocks) if size <= MOST_BROADCAST else blocks
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, who = batch.column(0)[i].values, batch.column(1)[i].values
+                part = part.take(pc.sort_indices(part.field("id")))
+                own = part.field("m")
+                sizes, words = pc.list_value_length(own).to_numpy(), own.flatten()
+                at = np.repeat(np.arange(len(part)), sizes)
+                for start in range(0, len(who), STRIP):
+                    some = who.slice(start, STRIP)
+                    wanted = some.field("m")
+                    lengths = pc.list_value_length(wanted).to_numpy()
+                    coded = wanted.flatten().dictionary_encode()
+                    ours = np.zeros((len(some), len(coded.dictionary)), dtype=np.float32)
+                    ours[np.repeat(np.arange(len(some)), lengths), coded.indices.to_numpy()] = 1
+                    places = pc.index_in(words, coded.dictionary)
+                    known = np.asarray(places.is_valid())
+                    theirs = np.zeros((len(part), len(coded.dictionary)), dtype=np.float32)
+                    theirs[at[known], places.drop_null().to_numpy()] = 1
+                    shared = (ours @ theirs.T).astype(np.float64)
+                    both = (lengths[:, None] + sizes) - shared if measure == "jaccard" else np.minimum(lengths[:, None], sizes)
+                    score = rounded(scale * shared / np.maximum(both, 1), digits)
+                    score[(score < least) | (lengths[:, None] == 0) | (sizes == 0)] = -np.inf
+                    q, x = best_places(score, k)
+                    yield pa.RecordBatch.from_arrays([some.field("query_id").take(pa.array(q)), part.field("id").take(pa.array(x)), pa.array(score[q, x])], ["query_id", item, name])
+
+    pairs = pieces.crossJoin(blocks).mapInArrow(found, f"query_id {kinds['query_id']}, {item} {kinds[item]}, {name} double")
+    return top_k(pairs, name, item, k, key=["query_id"])

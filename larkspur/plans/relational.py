@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
+from larkspur.operators import exact_search
 from larkspur.operators import relational as ops
-from larkspur.operators import retrieval
 from larkspur.plans.registry import query, table
 
 
@@ -166,10 +166,9 @@ _TRIGRAMS = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in ran
     SELECT * FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, c_custkey) <= 50""")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty customers with the most similar names for each whose id is divisible by 100."""
-    grams = table(spark, sf_dir, "customer").select("c_custkey", tx.trigrams(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("g"))
-    asked = grams.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.col("g").alias("q"))
-    found = retrieval.matches(grams, asked, lambda q: F.round(tx.jaccard(F.col("g"), q), 6), 0.3)
-    return retrieval.top_k(found.select("query_id", "c_custkey", "similarity"), "similarity", "c_custkey", 50, key=["query_id"])
+    grams = table(spark, sf_dir, "customer").select("c_custkey", tx.trigrams(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("members"))
+    asked = grams.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.col("members").alias("q"))
+    return exact_search.set_search(grams, asked, "c_custkey", 50, 0.3)
 
 
 @query("""

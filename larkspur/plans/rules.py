@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import relational, retrieval
+from larkspur.functions import text as tx
+from larkspur.operators import exact_search, relational
 from larkspur.operators import rules as ops
 from larkspur.plans.learning import _REVIEWS, reviews
 from larkspur.plans.registry import query, table
@@ -111,10 +112,9 @@ def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM s WHERE ratio >= 60 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, p_partkey) <= 100""")
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred parts with the most words in common for each whose id is divisible by 100."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    asked = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("title").alias("q"))
-    found = retrieval.matches(p, asked, lambda q: F.round(ops.token_set_ratio(F.col("title"), q), 4), 60.0, "ratio")
-    return retrieval.top_k(found.select("query_id", "p_partkey", "ratio"), "ratio", "p_partkey", 100, key=["query_id"])
+    p = table(spark, sf_dir, "part").select("p_partkey", tx.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("members"))
+    asked = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("members").alias("q"))
+    return exact_search.set_search(p, asked, "p_partkey", 100, 60.0, "overlap", 4, 100.0, name="ratio")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE (contains(lower(p_name), 'gear') OR contains(lower(p_type), 'gear')) AND p_brand = 'Brand#2' AND p_size >= 5 AND p_retailprice <= 1000 ORDER BY p_retailprice DESC, p_partkey")

@@ -97,3 +97,23 @@ def test_orders_settle_without_a_call_each(spark):
     found = retrieval.exclusive_assignment(df, "g", "r", "i", "s", 0.3, each=2)
     assert {tuple(x) for x in found.collect()} == {(0, 1, "x", 0.9), (0, 1, "y", 0.5), (0, 2, "z", 0.4), (1, 1, "x", 0.4)}
     assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("measure", ["jaccard", "overlap"])
+def test_set_search_over_many_pieces(spark, monkeypatch, no_coalescing, measure):
+    """Small pieces, repeated members, a member of all sets, empty and null sets and members."""
+    for name, most in (("PIECE_ROWS", 7), ("BLOCK_ROWS", 3), ("STRIP", 2)):
+        monkeypatch.setattr(exact, name, most)
+    sets = [None if i == 40 else [] if i == 41 else ["all", "all", None, f"a{i % 3}", f"b{i % 7}", f"c{i}"][: 3 + i % 4] for i in range(42)]
+    df = spark.createDataFrame(list(enumerate(sets)), "i long, members array<string>")
+    asked = df.where("i % 10 = 0 OR i = 41").selectExpr("i AS query_id", "members AS q")
+    want = []
+    for q in (0, 10, 20, 30):
+        b, rows = set(sets[q]) - {None}, []
+        for i, own in enumerate(sets):
+            if a := set(own or ()) - {None}:
+                s = round(len(a & b) / (len(a | b) if measure == "jaccard" else min(len(a), len(b))), 6)
+                rows += [(-s, i)] if s >= 0.3 else []
+        want += [(q, i, -s) for s, i in sorted(rows)[:5]]
+    got = exact.set_search(df, asked, "i", 5, 0.3, measure)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
