@@ -4,8 +4,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from larkspur.operators import entities, retrieval
 from larkspur.operators import exact_search as exact
-from larkspur.operators import retrieval
 from larkspur.operators import vector_index as vi
 from larkspur.plans import registry
 
@@ -117,3 +117,15 @@ def test_set_search_over_many_pieces(spark, monkeypatch, no_coalescing, measure)
         want += [(q, i, -s) for s, i in sorted(rows)[:5]]
     got = exact.set_search(df, asked, "i", 5, 0.3, measure)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [2, 100_000])
+def test_pairs_come_once_without_a_distinct(spark, monkeypatch, no_coalescing, most):
+    """Facts that share several rare words, with words that are frequent and others."""
+    monkeypatch.setattr(entities, "FREQUENT", most)
+    rows = [(f"{i}", "mg", float(1 + i % 4), ["all", f"a{i % 2}", f"b{i % 3}", f"c{i}"]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, unit string, value double, words array<string>")
+    found = entities.fact_conflicts(df.where("id % 2 = 0"), df.where("id % 3 = 0"), shared=2)
+    want = [(a[0], b[0]) for a in rows for b in rows if int(a[0]) % 2 == 0 and int(b[0]) % 3 == 0 and len(set(a[3]) & set(b[3])) >= 2 and abs(a[2] - b[2]) > 0.15 * max(a[2], b[2])]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Deduplicate" not in (plan := found._jdf.queryExecution().logical().toString()) and "Distinct" not in plan
