@@ -109,3 +109,15 @@ def test_values_live_on_a_stream(spark, tmp_path):
         spark.conf.set(provider, held)
     got = {r.id: (r.key, r.hit, r.served) for r in spark.read.parquet(out).collect()}
     assert got == {1: (7, False, None), 2: (7, True, 1), 3: (8, False, None), 5: (7, True, 2), 6: (7, False, None), 7: (8, False, None), 9: (9, False, None)}
+
+
+def test_bm25_index_has_a_row_for_each_piece(spark):
+    """Postings aren't rows, so neither the index nor a search exchanges one for each word of a text; scores don't depend on the pieces."""
+    docs = {i: f"w{i % 7} w{i % 3} common common" for i in range(400)}
+    df = spark.createDataFrame([(f"{i:03d}", t) for i, t in docs.items()], "key string, text string")
+    queries = {1: ["w1", "common", "w1"], 2: ["w6"], 3: ["common"]}
+    q = spark.createDataFrame(list(queries.items()), "query_id long, q array<string>")
+    index = keyword.bm25_index(df.repartition(5), "key", "text")
+    assert index.count() <= 5
+    got = [(r.query_id, int(r.id), r.score, r["rank"]) for r in keyword.keyword_search(index, q, 8).orderBy("query_id", "rank").collect()]
+    assert got == plain_bm25(docs, queries, 8)
