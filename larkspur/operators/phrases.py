@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +14,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from larkspur.operators.documents import keep_apart
+from larkspur.operators.exact_search import MOST_BROADCAST
+from larkspur.sources.files import cut_lineage
 
 #: Words of texts and terms.
 TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
 #: Rows handled as Python objects at once.
 SLICE = 500
+#: Words of a term that its key covers at most.
+KEY_TOKENS = 8
 
 
 def tokens(text: str | None) -> list[str]:
@@ -37,15 +43,52 @@ def _mapped(df: DataFrame, columns: Sequence[str], schema: str, convert: Callabl
     return df.select(*columns).mapInArrow(walk, schema)
 
 
-def term_keys(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """(w, t): each term (array of tokens t) under the token of it that is in the fewest texts; a term with a token that no text has can't occur and is left out.
+def run_hashes(hashes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, h) for n = 1 to ``most``: a hash of the n tokens that begin at each place; places too near the end are left out."""
+    h = hashes.copy()
+    for n in range(1, min(most, len(hashes)) + 1):
+        if n > 1:
+            h = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + hashes[n - 1 :]
+        yield n, h
 
-    ``words`` has (h, w), the different tokens of each text. Ties go to the token that sorts first.
-    """
-    each = terms.select("t", F.size(F.array_distinct("t")).alias("n"), F.explode(F.array_distinct("t")).alias("w"))
-    counts = words.join(each.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("texts"))
-    rare = each.join(counts, "w").groupBy("t", "n").agg(F.min(F.struct("texts", "w")).alias("best"), F.count("*").alias("found"))
-    return rare.where("found = n").select(F.col("best.w").alias("w"), "t")
+
+def token_hashes(lists: Sequence[Sequence[str]]) -> np.ndarray:
+    """A 64-bit hash of each token of all ``lists``, one after another."""
+    known: dict[str, int] = {}
+    for own in lists:
+        for w in own:
+            if w not in known:
+                known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return np.fromiter((known[w] for own in lists for w in own), np.uint64)
+
+
+def term_keys(terms: DataFrame) -> DataFrame:
+    """(n, k, t): each term (array of tokens t) under a hash of its first n tokens, all of them or ``KEY_TOKENS``."""
+
+    def keyed(t: list[str]) -> list[tuple]:
+        *_, (n, h) = run_hashes(token_hashes([t[:KEY_TOKENS]]), KEY_TOKENS)
+        return [(n, int(h[:1].view(np.int64)[0]), t)]
+
+    return _mapped(terms, ["t"], "n int, k long, t array<string>", keyed)
+
+
+def text_keys(texts: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(h, n, k): the hashes of all runs of ``lengths`` tokens in each text (_h, _text)."""
+    wanted = set(lengths)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                lists = [tokens(t) for t in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+                for n, h in run_hashes(token_hashes(lists), max(wanted, default=0)):
+                    if n in wanted:
+                        within = row[: len(h)] == row[n - 1 :]
+                        keys = h[within].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[: len(h)][within])), pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys)], ["h", "n", "k"])
+
+    return texts.select("_h", "_text").mapInArrow(walk, "h long, n int, k long")
 
 
 def longest_matches(text: str, terms: Sequence[Sequence[str]]) -> list[tuple[int, int, int, int, str]]:
@@ -72,16 +115,20 @@ def longest_matches(text: str, terms: Sequence[Sequence[str]]) -> list[tuple[int
 def phrase_hits(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str = "term") -> DataFrame:
     """(id_col, start, stop, token, tokens, term): leftmost-longest matches of the terms in each text, by whole words in any case.
 
-    Terms have any number of words, and there may be any number of terms: each stands under its
-    rarest word, texts meet terms by a join on words, and a text's own trie has only the
-    terms whose rarest word it has. A term without a word never matches; equal terms count once.
+    Terms have any number of words, and there may be any number of terms: each stands under a
+    hash of all its words, or of its first ``KEY_TOKENS``, and texts meet terms by a join on the hashes of their
+    own runs of as many words. So a text's own trie has only terms that are in it (longer ones: that
+    begin in it), however common their words are. A term without a word never matches; equal terms count once.
     Texts meet by a hash of their content, so equal ones are looked up once; a collision
     only makes a trie larger. Null and empty texts have no match; repeated rows have theirs each.
     """
     known = _mapped(terms.select(F.col(term_col).alias("t")).distinct(), ["t"], "t array<string>", lambda t: [(own,)] if (own := tokens(t)) else []).distinct()
+    keyed = cut_lineage(term_keys(known))
+    size = keyed.agg(F.collect_set("n"), F.sum(F.octet_length(F.array_join("t", " ")) + 64)).first()  # KEY_TOKENS lengths at most
     texts = df.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h")).where("_text is not null")
-    words = _mapped(texts, ["_h", "_text"], "h long, w string", lambda h, text: [(h, w) for w in set(tokens(text))]).distinct()
-    own = words.join(term_keys(known, words), "w").groupBy("h").agg(F.collect_set("t").alias("_terms"))
+    runs = text_keys(texts, size[0])
+    met_terms = runs.join(F.broadcast(keyed), ["n", "k"]) if (size[1] or 0) <= MOST_BROADCAST else runs.distinct().join(keyed, ["n", "k"])
+    own = met_terms.groupBy("h").agg(F.collect_set("t").alias("_terms"))
     met = texts.join(own, texts["_h"] == own["h"]).select(id_col, "_text", "_terms")
     kind = df.schema[id_col].dataType.simpleString()
     return _mapped(met, [id_col, "_text", "_terms"], f"{id_col} {kind}, start int, stop int, token int, tokens int, term string", lambda i, text, own: [(i, *m) for m in longest_matches(text, own)])

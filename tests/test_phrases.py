@@ -188,3 +188,16 @@ def test_entity_relations_query(spark, sf):
 def test_concept_words_by_column(spark):
     name = spark.createDataFrame([("ab",), ("abcd",)], "x string").select(phrases.letter_grams(F.col("x")).alias("g")).collect()
     assert [set(r.g) for r in name] == [grams("ab"), grams("abcd")]
+
+
+def test_texts_meet_only_terms_that_are_in_them(spark):
+    """Terms of common words: a text brings up no term for one of its words alone; terms longer than a key are found as well."""
+    long = " ".join(f"a{i}" for i in range(12))
+    terms = spark.createDataFrame([(t.split(),) for t in ("red fine box", "red box", "box", long)], "t array<string>")
+    keyed = phrases.term_keys(terms)
+    assert {(r.n, len(r.t)) for r in keyed.collect()} == {(3, 3), (2, 2), (1, 1), (8, 12)}
+    texts = spark.createDataFrame([(1, "Red fine red box"), (2, "red fine"), (3, f"x {long} y")], "_h long, _text string")
+    met = phrases.text_keys(texts, [1, 2, 3, 8]).join(keyed, ["n", "k"]).select("h", F.array_join("t", " ").alias("t"))
+    assert {(r.h, r.t) for r in met.collect()} == {(1, "red box"), (1, "box"), (3, long)}
+    got = phrases.phrase_hits(texts.toDF("doc", "text"), "doc", "text", terms.select(F.array_join("t", " ").alias("term")))
+    assert {(r.doc, r.token, r.tokens) for r in got.collect()} == {(1, 2, 2), (3, 1, 12)}
