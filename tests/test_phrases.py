@@ -201,3 +201,36 @@ def test_texts_meet_only_terms_that_are_in_them(spark):
     assert {(r.h, r.t) for r in met.collect()} == {(1, "red box"), (1, "box"), (3, long)}
     got = phrases.phrase_hits(texts.toDF("doc", "text"), "doc", "text", terms.select(F.array_join("t", " ").alias("term")))
     assert {(r.doc, r.token, r.tokens) for r in got.collect()} == {(1, 2, 2), (3, 1, 12)}
+
+
+@pytest.mark.parametrize("held", [0, phrases.MOST_HELD])
+def test_small_and_large_dictionaries_find_the_same(spark, monkeypatch, held):
+    """A dictionary that tasks hold whole, and one that meets the texts by joins; a small one exchanges nothing for its texts."""
+    monkeypatch.setattr(phrases, "MOST_HELD", held)
+    texts = spark.createDataFrame([(1, "The Große Box, a red BOX"), (2, "ΑΣ'Α İx red"), (3, None), (4, ""), (6, "red box red box box"), (5, "bx red")], "doc long, text string")
+    terms = spark.createDataFrame([("red box",), ("box",), ("große",), ("ας",), ("red fine box",)], "term string")
+    hits = phrases.phrase_hits(texts, "doc", "text", terms)
+    want = [(d, *m) for d, t in ((r.doc, r.text) for r in texts.collect()) for m in plain_hits(t, ["red box", "box", "große", "ας", "red fine box"])]
+    assert sorted(map(tuple, hits.collect())) == sorted(want) and len(want) == 7
+    assert held == 0 or "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    vocabulary = spark.createDataFrame([("C1", "red box", "T"), ("C2", "große", "T")], "concept string, name string, class string")
+    near = phrases.near_concepts(texts, "doc", "text", vocabulary, spark.createDataFrame([], "class string, weight double"), longest=2)
+    assert sorted((r.doc, r.start, r.stop, r.concept) for r in near.collect()) == [(1, 4, 9, "C2"), (1, 17, 24, "C1"), (6, 0, 7, "C1"), (6, 8, 15, "C1")]
+
+
+def test_runs_are_given_once_by_a_task(spark, monkeypatch):
+    """Texts of the same words bring their runs up once, not once a place, before anything is exchanged."""
+    seen = []
+    real = phrases._mapped
+
+    def watched(df, columns, schema, *rest):
+        out = real(df, columns, schema, *rest)
+        if schema == "gram string":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(phrases, "_mapped", watched)
+    texts = spark.createDataFrame([(i, "red box red box") for i in range(100)], "doc long, text string").coalesce(1)
+    vocabulary = spark.createDataFrame([("C1", "box", "T")], "concept string, name string, class string")
+    got = phrases.near_concepts(texts, "doc", "text", vocabulary, spark.createDataFrame([], "class string, weight double"), longest=1)
+    assert got.count() == 200 and seen == [2]
