@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.documents import relation_hash
-from larkspur.operators.phrases import _mapped, phrase_hits
+from larkspur.operators.phrases import _mapped, longest_matches, tokens, trie_of
+from larkspur.sources.files import cut_lineage
 
 # Words that negate, patterns of the words between two entities by relation (the first that matches), and what they are worth.
 NEGATION_CUES = (
@@ -40,25 +41,29 @@ TERMINATORS = ("but", "however", "although", "though", "except", "yet", "neverth
 _END = regex.compile(r"(?<!\b(?:Dr|Fig|No|al|vs|Vol|pp|Ch|Sec))[.!?](?=\s+\p{Lu})")
 
 
-def sentence_ends(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, start): where sentences end within each text."""
-    kind = df.schema[id_col].dataType.simpleString()
-    return _mapped(df, [id_col, text_col], f"{id_col} {kind}, start int", lambda i, text: [(i, m.start()) for m in _END.finditer(text or "")])
+def scopes(text: str, trie: dict, opens: Mapping[str, str | None]) -> list[tuple[int, str | None]]:
+    """(start, cue): where the cue that holds becomes another one, or null, in ``text``."""
+    marks = [(start, opens[term]) for start, _, _, _, term in longest_matches(text, trie)]
+    out, holds = [], None
+    for start, cue in sorted([*marks, *((m.start(), None) for m in _END.finditer(text))] if marks else [], key=lambda m: m[0]):
+        if cue != holds:
+            out.append((start, cue))
+            holds = cue
+    return out
 
 
 def negated(spans: DataFrame, df: DataFrame, id_col: str, text_col: str, cues: Sequence[str] = NEGATION_CUES, terminators: Sequence[str] = TERMINATORS) -> DataFrame:
     """``spans`` (id_col, start, stop, ...) with the cue that negates each, null where none does.
 
-    Cues open a scope, terminators and ends of sentences close it: a sweep over all of them and
-    the spans of a text in order, where a span takes the last one before it. Longer cues come before shorter ones within them.
+    Cues open a scope, terminators and ends of sentences close it: a sweep over the places where
+    these change what holds and the spans of a text in order, where a span takes the last one before it. Longer
+    cues come before shorter ones within them.
     """
-    spark = df.sparkSession
-    marks = [(c, True) for c in cues] + [(t, False) for t in terminators]
-    terms = spark.createDataFrame(marks, "term string, opens boolean")
-    key = F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
-    known = terms.select(key.alias("term"), F.when(F.col("opens"), F.col("term")).alias("cue"))
-    found = phrase_hits(df, id_col, text_col, terms).join(F.broadcast(known), "term").select(id_col, "start", "cue")  # some dozens of cues
-    events = found.union(sentence_ends(df, id_col, text_col).select(id_col, "start", F.lit(None).cast("string")))
+    opens: dict[str, str | None] = {}
+    for mark, cue in [*((c, c) for c in cues), *((t, None) for t in terminators)]:
+        opens.setdefault(" ".join(tokens(mark)), cue)
+    kind = df.schema[id_col].dataType.simpleString()
+    events = _mapped(df, [id_col, text_col], f"{id_col} {kind}, start int, cue string", lambda trie, i, text: [(i, *s) for s in scopes(text or "", trie, opens)], lambda: trie_of([k.split() for k in opens if k]))
     both = events.select(id_col, "start", F.struct("cue").alias("mark"), F.lit(0).alias("_what")).unionByName(spans.withColumn("_what", F.lit(1)), allowMissingColumns=True)
     sweep = Window.partitionBy(id_col).orderBy("start", "_what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("cue", F.last("mark", ignorenulls=True).over(sweep)["cue"]).where("_what = 1").select(*spans.columns, "cue")
@@ -84,6 +89,7 @@ def entity_relations(df: DataFrame, id_col: str, text_col: str, spans: DataFrame
     words between tell the relation. A pair is negated if either entity is, or a cue stands between them.
     The same relation, negated or not, comes once with its greatest confidence and the number of its mentions. Ids are unique.
     """
+    spans = cut_lineage(spans)  # looked at twice
     marked = negated(spans.select(id_col, "start", "stop", "concept", "class"), df, id_col, text_col, cues, terminators)
     longest = spans.agg(F.max(F.col("stop") - F.col("start"))).first()[0] or 0
     ahead = Window.partitionBy(id_col).orderBy("start").rangeBetween(0, apart + longest)
@@ -92,10 +98,12 @@ def entity_relations(df: DataFrame, id_col: str, text_col: str, spans: DataFrame
     gap = F.col("_t.start") - F.col("stop")
     paired = paired.where((gap >= 0) & (gap <= apart) & (F.col("_t.start") > F.col("start"))).select(id_col, F.struct("stop", F.col("_t.start").alias("to"), "concept", "class", F.coalesce("cue", "_t.cue").alias("cue"), F.col("_t.concept").alias("other"), F.col("_t.class").alias("other_class")).alias("p"))
     grouped = paired.groupBy(id_col).agg(F.collect_list("p").alias("_pairs"))
-    between = lambda p: F.substr(F.col("_text"), p["stop"] + 1, p["to"] - p["stop"])
     texts = df.select(id_col, F.col(text_col).alias("_text")).join(grouped, id_col)
-    each = texts.select(F.explode(F.transform("_pairs", lambda p: F.struct(p.alias("p"), between(p).alias("context")))).alias("x"))
-    found = each.select("x.p.*", "x.context").withColumn("k", kind_between(F.col("context"), F.col("class"), F.col("other_class"), patterns, expected)).where("k is not null")
+    fields = ("concept", "class", "cue", "other", "other_class")
+    kinds = dict(marked.select("concept", "class", "cue", F.col("concept").alias("other"), F.col("class").alias("other_class")).dtypes)
+    # a worker cuts the words between out of the text, as Spark's substring counts from the start of the text each time
+    each = _mapped(texts, ["_text", "_pairs"], ", ".join(f"{c} {kinds[c]}" for c in fields) + ", context string", lambda text, pairs: [(*(p[c] for c in fields), text[p["stop"] : p["to"]]) for p in pairs])
+    found = each.withColumn("k", kind_between(F.col("context"), F.col("class"), F.col("other_class"), patterns, expected)).where("k is not null")
     rows = found.select(F.col("concept").alias("source"), F.col("other").alias("target"), "k.relation", F.col("cue").isNotNull().alias("is_negated"), "cue", "k.confidence")
     hashed = rows.withColumn("hash", relation_hash(F.col("source"), F.col("target"), F.col("relation"), F.col("is_negated")))
     return hashed.groupBy("hash", "source", "target", "relation", "is_negated").agg(F.min("cue").alias("cue"), F.max("confidence").alias("confidence"), F.count("*").alias("mentions"))

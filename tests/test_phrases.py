@@ -234,3 +234,9 @@ def test_runs_are_given_once_by_a_task(spark, monkeypatch):
     vocabulary = spark.createDataFrame([("C1", "box", "T")], "concept string, name string, class string")
     got = phrases.near_concepts(texts, "doc", "text", vocabulary, spark.createDataFrame([], "class string, weight double"), longest=1)
     assert got.count() == 200 and seen == [2]
+
+
+def test_scopes_change_only_where_the_cue_does():
+    trie = phrases.trie_of([["not"], ["but"]])
+    assert relations.scopes("It is. Not here, not there but so. Then not. Not so", trie, {"not": "not", "but": None}) == [(7, "not"), (27, None), (40, "not"), (43, None), (45, "not")]
+    assert relations.scopes("It is. It is so. Then", trie, {"not": "not", "but": None}) == []
