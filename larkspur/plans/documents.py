@@ -59,9 +59,11 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four scores, the total and its verdict, for every document."""
     t = F.col("text")
-    d = docs(spark, sf_dir, "text").withColumns({"readability": ops.readability(t, F.lit(3)), "coherence": F.coalesce(ops.continuity(t), F.lit(0.85)), "completeness": ops.completeness(t, F.lit(0.7)), "type_specific": F.lit(0.8), "orphan": ops.is_orphan(t)})
+    d = docs(spark, sf_dir, "text").withColumns({"_parts": ops.sentences(t), "_count": tx.word_count(t)})  # taken once for all scores
+    parts, count = F.col("_parts"), F.col("_count")
+    d = d.withColumns({"readability": ops.readability(t, F.lit(3), parts, count), "coherence": F.coalesce(ops.continuity(t, parts), F.lit(0.85)), "completeness": ops.completeness(t, F.lit(0.7), count), "type_specific": F.lit(0.8), "orphan": ops.is_orphan(t)})
     total = ops.quality({c: F.col(c) for c in ops.QUALITY_WEIGHTS}, F.col("orphan"))
-    return d.drop("text").withColumn("quality", total).withColumn("acceptable", F.col("quality") >= 0.5)
+    return d.drop("text", "_parts", "_count").withColumn("quality", total).withColumn("acceptable", F.col("quality") >= 0.5)
 
 
 @query()

@@ -141,3 +141,12 @@ def test_chunk_quality(spark, sf):
         total = 0.20 * scores[0] + 0.25 * scores[1] + 0.35 * scores[2] + 0.20 * 0.8
         total = max(0.0, total - 0.20) if orphan else total
         assert r.quality == pytest.approx(total) and r.acceptable == (r.quality >= 0.5)
+
+
+def test_chunk_quality_splits_sentences_once(spark, sf):
+    """The scores share one split into sentences, and the words of each sentence are taken once."""
+    plan = QUERIES["chunk_quality"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("et al|vs") == 1 and plan.count("[a-z0-9_]+") == 1
+    texts = spark.createDataFrame([("A b. B c. C",), ("...",), (None,), ("One. ",), ("A b. !. B",)], "t string")
+    got = [r[0] for r in texts.select(documents.continuity(F.col("t"))).collect()]
+    assert got == [0.5, None, None, None, 0.5]
