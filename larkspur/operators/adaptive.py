@@ -58,8 +58,8 @@ TOGETHER = (
     ((r"(?i)(Grade|WHO|Spetzler)\s+[IVX\d]+",), (), (), ("characterized by", "defined as", "criteria")),
     ((), ("1p/19q", "mutation"), (), ("prognosis", "survival", "outcome")),
 )
-# Fixed value: where sentences end.
-SENTENCE_END = r"(?<!\bDr)(?<!\bFig)(?<!\bNo)(?<!\bal)(?<!\bapprox)(?<!\bvs)(?<!\bet)(?<!\bi\.e)(?<!\be\.g)(?<!\bSt)(?<!\bVol)\.\s+(?=[A-Z])"
+# Fixed value: where sentences end. The full stop comes first, so that abbreviations are looked for at full stops alone.
+SENTENCE_END = r"\.(?<!\bDr\.)(?<!\bFig\.)(?<!\bNo\.)(?<!\bal\.)(?<!\bapprox\.)(?<!\bvs\.)(?<!\bet\.)(?<!\bi\.e\.)(?<!\be\.g\.)(?<!\bSt\.)(?<!\bVol\.)\s+(?=[A-Z])"
 
 
 def kind_of(title: Column) -> Column:
