@@ -11,7 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vector import cosine
 from larkspur.operators import exact_search as exact
 from larkspur.operators.vector_index import least_hashes, matrix, unit, usable
 from larkspur.sources.files import cut_lineage
@@ -22,6 +21,8 @@ GROUPS_AT_ONCE = 256
 LEAF_ROWS, LEAF_SAMPLE, MOST_TREES = 4096, 128, 64
 #: Share of the nearest that trees bring together, and one that needs no further rounds.
 SHARE, ENOUGH = 0.96, 0.92
+#: Most neighbours of a node in one row of the graph that is searched.
+EDGES = 64
 #: Members whose similarities a worker holds at once, parts of a row that give its bar, and entries of lists merged together.
 STRIP, PARTS, ENTRIES = 128, 128, 1 << 20
 
@@ -294,28 +295,47 @@ def graph_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int
 
     A walk starts at ``entries`` nodes, those of the least hashes, and looks at the neighbours, in
     both directions, of the ``beam`` best nodes met, until these have all been looked at. All queries walk together:
-    a round is a join of their new nodes with the graph and the vectors, and ends in a checkpoint.
+    a round is a join of their new nodes with the graph and the vectors, and ends in a checkpoint of the
+    best nodes alone: one that isn't among these never is again, so it may be met twice.
     """
-    both = cut_lineage(graph.select("id", "other").union(graph.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
+    both = graph.select("id", "other").union(graph.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+    piece = ((F.row_number().over(Window.partitionBy("id").orderBy("other")) - 1) / EDGES).cast("int")
+    edges = cut_lineage(both.withColumn("_piece", piece).groupBy("id", "_piece").agg(F.collect_list("other").alias("others")).drop("_piece"))
+    nodes = cut_lineage(nodes)
     asked = cut_lineage(usable(queries, "query_id", "q").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    near = F.round(cosine(F.col("v"), F.col("q")), 12).alias("similarity")
+    kinds = {f.name: f.dataType.simpleString() for f in (*nodes.schema.fields, *asked.schema.fields) if f.name.endswith("id")}
+    one = asked.select(F.size("q")).first()
+    dim, each = one[0] if one else 1, asked.count()
+
+    def small(df: DataFrame, rows: int, width: int) -> DataFrame:
+        return F.broadcast(df) if rows * width <= exact.MOST_BROADCAST else df
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, q = matrix(batch.column(2), dim), matrix(batch.column(3), dim)
+            s = np.round((x * q).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (q * q).sum(axis=1)), 12)
+            some = pa.array(np.flatnonzero(s >= batch.column(4).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(s).take(some), pa.array(np.ones(len(some), dtype=bool))], ["query_id", "id", "similarity", "fresh"])
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.select("query_id", "id", "v", "q", "bar").mapInArrow(scored, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double, fresh boolean")
 
     def kept(found: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= beam)
 
     start = cut_lineage(least_hashes(nodes, entries))
-    seen = cut_lineage(start.crossJoin(asked).select("query_id", "id", near, F.lit(True).alias("fresh")))  # a bounded number of nodes for each query
+    met = cut_lineage(kept(near(start.crossJoin(asked).withColumn("bar", F.lit(float("-inf"))))))  # a bounded number of nodes for each query
     for _ in range(rounds):
-        front = kept(seen).where("fresh").select("query_id", "id")
-        reached = front.join(both, "id").select("query_id", F.col("other").alias("id")).distinct().join(seen, ["query_id", "id"], "left_anti")
-        new = reached.join(nodes, "id").join(asked, "query_id").select("query_id", "id", near, F.lit(True).alias("fresh"))
-        looked = front.withColumn("_looked", F.lit(True))
-        old = seen.join(looked, ["query_id", "id"], "left").select("query_id", "id", "similarity", (F.col("fresh") & F.col("_looked").isNull()).alias("fresh"))
-        seen = cut_lineage(old.unionByName(new))
-        if kept(seen).where("fresh").isEmpty():
+        fresh = met.where("fresh").count()
+        if not fresh:
             break
-    return kept(seen).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+        front = met.where("fresh").select("query_id", "id")
+        reached = edges.join(small(front, fresh, 64), "id").select("query_id", F.explode("others").alias("id")).distinct().join(met.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        bars = met.groupBy("query_id").agg(F.when(F.count("*") >= beam, F.min("similarity")).otherwise(float("-inf")).alias("bar"))
+        new = near(reached.join(nodes, "id").join(small(asked.join(bars, "query_id"), each, dim * 8), "query_id"))
+        met = cut_lineage(kept(met.select("query_id", "id", "similarity", F.lit(False).alias("fresh")).unionByName(new)))
+    return met.where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
 
 
 def to_nodes(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:

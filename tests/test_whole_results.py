@@ -163,3 +163,28 @@ def test_neighbour_lists_with_many_copies(spark, monkeypatch, no_coalescing, tre
     x = np.random.default_rng(9).normal(size=(2000, 16))
     x[500:1200] = x[0]
     assert recall_of_lists(spark, x) >= 0.9
+
+
+def test_walks_carry_their_best_nodes_alone(spark, monkeypatch, no_coalescing):
+    """A walk over a graph with a hub ends as one in plain Python does, and no more than the beam goes from round to round."""
+    x = np.random.default_rng(10).normal(size=(300, 8)).astype(np.float32)
+    links = {(i, j) for i in range(300) for j in ((i * 7 + 1) % 300, (i + 1) % 300, 5) if i != j}
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    asked = nodes.where("id < 6").selectExpr("id AS query_id", "v AS q").unionByName(spark.createDataFrame([(900, [0.0] * 8), (901, None)], "query_id long, q array<float>"))
+    sizes, cut = [], graphs.cut_lineage
+    monkeypatch.setattr(graphs, "EDGES", 2, raising=False)
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df: (sizes.append(df.groupBy("query_id").count().agg({"count": "max"}).first()[0]) if "fresh" in df.columns else None, cut(df))[1])
+    got = graphs.graph_search(nodes, spark.createDataFrame(sorted(links), "id long, other long"), asked, k=4, beam=12, entries=3).collect()
+    starts = [r.id for r in vi.least_hashes(nodes, 3).collect()]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    beside = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(300)}
+    want = []
+    for q in range(6):
+        s, seen, looked = u @ u[q], set(starts), set()
+        best = lambda: sorted(seen, key=lambda i: (-s[i], i))[:12]  # noqa: B023, E731
+        while front := set(best()) - looked:
+            looked |= front
+            seen |= set().union(*(beside[i] for i in front))
+        want += [(q, i, n) for n, i in enumerate(best()[:4], 1)]
+    assert sorted((r.query_id, r.id, r["rank"]) for r in got) == sorted(want)
+    assert max(sizes) <= 12
