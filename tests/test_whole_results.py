@@ -93,6 +93,20 @@ def test_ids_on_a_stream_keep_their_digits(spark, tmp_path):
     assert len(rows) == 30 and any(True in r for r in rows)
 
 
+def test_streams_keep_rows_without_user_time_or_id(spark, tmp_path):
+    """Null users are a user, rows without a time come last, and times before 1970 and in a gap of the session's zone count as they are."""
+    folder = tmp_path / "tables"
+    ts = "CASE WHEN id % 7 = 0 THEN null WHEN id % 5 = 0 THEN timestamp_ntz '1969-12-31 20:00:00.000500' ELSE timestamp_ntz '2024-03-31 00:00:00.000500' END + make_dt_interval(0, 0, CAST(id * 37 % 200 AS INT))"
+    spark.sql(f"SELECT CASE WHEN id % 11 > 0 THEN id END AS event_id, CASE WHEN id % 3 > 0 THEN id % 3 END AS user_id, {ts} AS ts FROM range(300)").coalesce(1).write.parquet(str(folder / "events.parquet"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = same_as_sql(spark, folder, "stream_recent", "events")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(rows) == 300 and sum(True in r for r in rows) > 100
+
+
 def test_orders_settle_without_a_call_each(spark):
     """Each group is settled by expressions, without a Python worker."""
     df = spark.createDataFrame([(0, 1, "x", 0.9), (0, 1, "y", 0.5), (0, 2, "x", 0.8), (0, 2, "z", 0.4), (1, 2, "x", 0.2), (1, 1, "x", 0.4)], "g int, r int, i string, s double")
