@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.retrieval import top_k
+from larkspur.sources.files import cut_lineage
 
 #: Rows of a piece, queries of a block, and queries whose scores a worker holds at once.
 PIECE_ROWS, BLOCK_ROWS, STRIP = 2048, 1024, 128
@@ -157,15 +158,21 @@ def set_search(df: DataFrame, queries: DataFrame, item: str, k: int, least: floa
     smaller set (overlap), rounded; ties go to the smaller item; empty and null sets are similar to nothing.
     Shared members are counted by a product of matrices over the members of a few queries,
     so a member that all have costs no more than another; the ``k`` best of a query leave a piece.
+    Equal sets meet once: of rows with one set only the ``k`` least items can be among the best, and
+    queries with one set have the same best, so work is that of the different sets.
     """
     if measure not in ("jaccard", "overlap"):
         raise ValueError("measure is jaccard or overlap")
-    rows, asked = df.count(), queries.count()
     kinds = {f.name: f.dataType.simpleString() for f in (*df.schema.fields, *queries.schema.fields)}
-    different = lambda c: F.array_compact(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))))
-    pieces = packed(df.select(item, different(members).alias("m")), item, PIECE_ROWS, rows, F.struct(F.col(item).alias("id"), "m"), "_rows")
-    blocks = packed(queries.select("query_id", different("q").alias("m")), "query_id", BLOCK_ROWS, asked, F.struct("query_id", "m"), "_qs")
-    size = queries.agg(F.sum(F.length(F.array_join("q", ",")))).first()[0] or 0
+    different = lambda c: F.array_sort(F.array_compact(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>")))))
+    least_first = F.row_number().over(Window.partitionBy("m").orderBy(item))
+    kept = cut_lineage(df.select(item, different(members).alias("m")).withColumn("_n", least_first).where(F.col("_n") <= k).drop("_n"))
+    asking = queries.select("query_id", different("q").alias("m"))
+    sets = cut_lineage(asking.groupBy("m").agg(F.min("query_id").alias("query_id")))
+    rows, (asked, size) = kept.count(), sets.agg(F.count("*"), F.sum(F.length(F.array_join("m", ",")))).first()
+    size = size or 0
+    pieces = packed(kept, item, PIECE_ROWS, rows, F.struct(F.col(item).alias("id"), "m"), "_rows")
+    blocks = packed(sets, "query_id", BLOCK_ROWS, asked, F.struct("query_id", "m"), "_qs")
     blocks = F.broadcast(blocks) if size <= MOST_BROADCAST else blocks
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,4 +202,6 @@ def set_search(df: DataFrame, queries: DataFrame, item: str, k: int, least: floa
                     yield pa.RecordBatch.from_arrays([some.field("query_id").take(pa.array(q)), part.field("id").take(pa.array(x)), pa.array(score[q, x])], ["query_id", item, name])
 
     pairs = pieces.crossJoin(blocks).mapInArrow(found, f"query_id {kinds['query_id']}, {item} {kinds[item]}, {name} double")
-    return top_k(pairs, name, item, k, key=["query_id"])
+    best = top_k(pairs, name, item, k, key=["query_id"]).withColumnRenamed("query_id", "_first")
+    own = asking.join(sets.withColumnRenamed("query_id", "_first"), "m").select("query_id", "_first")
+    return own.join(best, "_first").select("query_id", item, name)

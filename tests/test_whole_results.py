@@ -135,6 +135,18 @@ def test_set_search_over_many_pieces(spark, monkeypatch, no_coalescing, measure)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_equal_sets_meet_once(spark, monkeypatch):
+    """Of 900 rows with three sets in any order, a search over the four best of each set gives the best of all."""
+    sets = [["a", "b"], ["b", "a", "c"], ["d"]]
+    df = spark.createDataFrame([(i, sets[i % 3][:: 1 if i % 2 else -1]) for i in range(900)], "i long, members array<string>")
+    seen, packed = [], exact.packed
+    monkeypatch.setattr(exact, "packed", lambda df, key, most, rows, *a: seen.append(rows) or packed(df, key, most, rows, *a))
+    found = exact.set_search(df, df.where("i % 10 = 0").selectExpr("i AS query_id", "members AS q"), "i", 4, 0.5)
+    want = {0: [(i, 1.0) for i in (0, 3, 6, 9)], 1: [(i, 1.0) for i in (1, 4, 7, 10)], 2: [(i, 1.0) for i in (2, 5, 8, 11)]}
+    assert sorted(map(tuple, found.collect())) == [(q, i, s) for q in range(0, 900, 10) for i, s in want[q % 3]]
+    assert seen == [12, 3]
+
+
 @pytest.mark.parametrize("most", [2, 100_000])
 def test_pairs_come_once_without_a_distinct(spark, monkeypatch, no_coalescing, most):
     """Facts that share several rare words, with words that are frequent and others."""
