@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from larkspur.operators import entities, retrieval
+from larkspur.operators import entities, retrieval, validity
 from larkspur.operators import exact_search as exact
 from larkspur.operators import neighbour_graph as graphs
 from larkspur.operators import vector_index as vi
@@ -147,6 +147,24 @@ def test_equal_sets_meet_once(spark, monkeypatch):
     assert seen == [12, 3]
 
 
+def test_mentions_of_small_groups_meet_without_words(spark, monkeypatch, no_coalescing):
+    """Pairs are those of all mentions compared, whether groups are small, large or both; small ones rank no words."""
+    rows = [(f"{i:02}", i % 3 if i < 30 else None, f"s{i % 4}", "%" if i % 5 else "mm", float(i * 7 % 40), ["all", f"a{i % 2}", f"b{i % 3}", "all"]) for i in range(36)]
+    df = spark.createDataFrame(rows, "id string, topic int, src string, unit string, value double, words array<string>")
+    want = []
+    for a in rows[:30]:
+        for b in rows[:30]:
+            gap = abs(a[4] - b[4]) * (1 if a[3] == "%" else 100 / (max(a[4], b[4]) or 1))
+            if a[0] < b[0] and a[1] == b[1] and a[3] == b[3] and a[2] != b[2] and len(set(a[5]) & set(b[5])) >= 2 and gap > (3 if a[3] == "%" else 20):
+                want.append((a[0], b[0], a[4], b[4]))
+    asked, ranked = [], validity.rare_words
+    monkeypatch.setattr(validity, "rare_words", lambda *a: asked.append(a) or ranked(*a))
+    for most, times in ((256, 0), (1, 1), (4, 2)):
+        monkeypatch.setattr(validity, "TOGETHER", most)
+        found = validity.number_conflicts(df).collect()
+        assert sorted((r.a, r.b, r.av, r.bv) for r in found) == sorted(want) and len(asked) == times
+
+
 @pytest.mark.parametrize("most", [2, 100_000])
 def test_pairs_come_once_without_a_distinct(spark, monkeypatch, no_coalescing, most):
     """Facts that share several rare words, with words that are frequent and others."""
